@@ -46,6 +46,12 @@ class Ctx:
     def combined(self) -> DataFrame:
         return P.combined_view(self.scored, self.untrained)
 
+    @cached_property
+    def combined_status(self) -> DataFrame:
+        from fairband.functions.scalar import status
+        return self.combined.withColumn("status", status(
+            F.col(self.spec.target), self.spec.low, self.spec.high, "prediction_available"))
+
     def table(self, name: str, columns=None) -> DataFrame:
         from fairband.sources.tables import read_table
         return read_table(self.spark, self.sf_dir, name, columns)

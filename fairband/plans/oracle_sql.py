@@ -119,7 +119,16 @@ untrained AS (
 combined AS (
   SELECT * FROM scored
   UNION ALL BY NAME
-  SELECT * FROM untrained)
+  SELECT * FROM untrained),
+cstat AS (
+  SELECT * EXCLUDE (status),
+         CASE WHEN NOT coalesce(prediction_available, true) OR predicted_low_eur IS NULL
+                   OR predicted_high_eur IS NULL THEN 'prediction_not_available'
+              WHEN gross_annual_eur IS NULL THEN 'unknown'
+              WHEN gross_annual_eur > predicted_high_eur THEN 'overpaid'
+              WHEN gross_annual_eur < predicted_low_eur THEN 'underpaid'
+              ELSE 'fair' END AS status
+  FROM combined)
 """
 
 
