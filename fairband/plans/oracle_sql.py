@@ -9,7 +9,7 @@ from __future__ import annotations
 
 
 def snap(expr: str, d: int = 6) -> str:
-    return f"(floor(({expr}) * 1e{d} + 0.5) / 1e{d})"
+    return f"(floor(({expr}) * 1e{d} + 4.99876543e-1) / 1e{d})"
 
 
 CURRENT_FROM = "TIMESTAMP '2001-01-01'"

@@ -1 +1,407 @@
-"""Registered queries."""
+"""Registered aggregation / distribution / metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fairband.functions.scalar import per_90, snap
+from fairband.operators import analytics as A
+from fairband.plans.context import Ctx
+from fairband.plans.oracle_sql import snap as S, with_panel
+from fairband.plans.registry import register
+
+
+def _snap_cols(df, digits: dict):
+    return df.select(*[snap(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+DEC_OVERALL = "CAST(sum(CAST(overall AS DECIMAL(24,1))) AS DOUBLE) / count(overall)"
+DEC_AGE = "CAST(sum(CAST(age AS DECIMAL(24,0))) AS DOUBLE) / count(age)"
+
+
+@register("league_stats", with_panel(f"""
+, tp AS (SELECT league_name, short_name AS top_paid_name, gross_annual_eur AS top_paid_salary FROM (
+    SELECT league_name, short_name, gross_annual_eur,
+           row_number() OVER (PARTITION BY league_name ORDER BY gross_annual_eur DESC, player_pk) AS rn
+    FROM combined WHERE gross_annual_eur IS NOT NULL) WHERE rn = 1)
+SELECT c.league_name, count(*) AS n_players, {S('avg(gross_annual_eur)', 4)} AS mean_salary,
+       {S('min(gross_annual_eur)', 4)} AS min_salary, {S('max(gross_annual_eur)', 4)} AS max_salary,
+       {S('stddev_samp(gross_annual_eur)', 4)} AS std_salary, {S(DEC_OVERALL, 6)} AS mean_overall,
+       {S("avg(CASE WHEN coalesce(range_accuracy_result AND gross_annual_eur IS NOT NULL, false) THEN 1.0 ELSE 0.0 END) * 100", 6)} AS range_accuracy_pct,
+       count(gross_annual_eur) > 0 AS has_salary_data,
+       {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary,
+       any_value(tp.top_paid_name) AS top_paid_name, {S('any_value(tp.top_paid_salary)', 4)} AS top_paid_salary
+FROM combined c LEFT JOIN tp ON c.league_name = tp.league_name GROUP BY c.league_name"""))
+def q_league_stats(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    out = A.league_stats(c.combined, c.spec)
+    return _snap_cols(out, {"mean_salary": 4, "min_salary": 4, "max_salary": 4, "std_salary": 4,
+                            "mean_overall": 6, "range_accuracy_pct": 6, "median_salary": 4,
+                            "top_paid_salary": 4})
+
+
+@register("position_stats", with_panel(f"""
+SELECT position, count(*) AS n_players, count(coalesce(gross_annual_eur, predicted_center_eur)) AS n_valued,
+       {S('avg(coalesce(gross_annual_eur, predicted_center_eur))', 4)} AS mean_salary,
+       {S('min(coalesce(gross_annual_eur, predicted_center_eur))', 4)} AS min_salary,
+       {S('max(coalesce(gross_annual_eur, predicted_center_eur))', 4)} AS max_salary,
+       {S("avg(CASE WHEN gross_annual_eur IS NOT NULL THEN (CASE WHEN coalesce(range_accuracy_result, false) THEN 1.0 ELSE 0.0 END) END) * 100", 6)} AS range_accuracy_pct,
+       {S(DEC_AGE, 6)} AS mean_age,
+       {S('quantile_cont(coalesce(gross_annual_eur, predicted_center_eur), 0.5)', 4)} AS median_salary
+FROM combined GROUP BY position HAVING count(coalesce(gross_annual_eur, predicted_center_eur)) > 0"""))
+def q_position_stats(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.position_stats(c.combined, c.spec),
+                      {"mean_salary": 4, "min_salary": 4, "max_salary": 4, "range_accuracy_pct": 6,
+                       "mean_age": 6, "median_salary": 4})
+
+
+AGE_CASE = """CASE WHEN age >= 17 AND age < 21 THEN '17-20' WHEN age >= 21 AND age < 24 THEN '21-23'
+  WHEN age >= 24 AND age < 27 THEN '24-26' WHEN age >= 27 AND age < 30 THEN '27-29'
+  WHEN age >= 30 AND age < 33 THEN '30-32' WHEN age >= 33 AND age < 40 THEN '33-39' END"""
+
+
+@register("age_buckets", with_panel(f"""
+SELECT age_bucket, count(*) AS n_players, {S('avg(gross_annual_eur)', 4)} AS mean_salary,
+       {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary
+FROM (SELECT *, {AGE_CASE} AS age_bucket FROM scored) WHERE age_bucket IS NOT NULL GROUP BY 1"""))
+def q_age_buckets(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.age_buckets(c.scored, c.spec), {"mean_salary": 4, "median_salary": 4})
+
+
+@register("peak_age", with_panel(f"""
+SELECT age, {S('avg(gross_annual_eur)', 4)} AS mean_salary FROM scored WHERE gross_annual_eur IS NOT NULL
+GROUP BY age ORDER BY avg(gross_annual_eur) DESC, age LIMIT 1"""))
+def q_peak_age(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.peak_age(c.scored, c.spec), {"mean_salary": 4})
+
+
+@register("overview", with_panel(f"""
+SELECT count(*) AS total, count(gross_annual_eur) AS n_salary,
+       {S('avg(gross_annual_eur)', 4)} AS mean_salary, {S('min(gross_annual_eur)', 4)} AS min_salary,
+       {S('max(gross_annual_eur)', 4)} AS max_salary,
+       {S('CASE WHEN count(gross_annual_eur) > 1 THEN stddev_samp(gross_annual_eur) ELSE 0.0 END', 4)} AS std_salary,
+       {S(DEC_AGE, 6)} AS mean_age, min(age) AS min_age, max(age) AS max_age,
+       count(DISTINCT league_name) AS n_leagues, count(DISTINCT position) AS n_positions,
+       {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary
+FROM combined"""))
+def q_overview(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.overview(c.combined, c.spec),
+                      {"mean_salary": 4, "min_salary": 4, "max_salary": 4, "std_salary": 4,
+                       "mean_age": 6, "median_salary": 4})
+
+
+@register("describe", with_panel(f"""
+SELECT count(gross_annual_eur) AS count, {S('avg(gross_annual_eur)', 4)} AS mean,
+       {S('stddev_samp(gross_annual_eur)', 4)} AS std, {S('min(gross_annual_eur)', 4)} AS min,
+       {S('max(gross_annual_eur)', 4)} AS max,
+       {S('quantile_cont(gross_annual_eur, 0.25)', 4)} AS q25, {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS q50,
+       {S('quantile_cont(gross_annual_eur, 0.75)', 4)} AS q75
+FROM trained"""))
+def q_describe(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.describe(c.trained, "gross_annual_eur"),
+                      {k: 4 for k in ("mean", "std", "min", "max", "q25", "q50", "q75")})
+
+
+@register("value_counts_top", with_panel("""
+SELECT club_name, count(*) AS n FROM combined GROUP BY 1 ORDER BY n DESC, club_name LIMIT 5"""))
+def q_value_counts(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.value_counts_top(c.combined, "club_name", 5)
+
+
+@register("group_median_order", with_panel(f"""
+SELECT league_name, {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median FROM scored GROUP BY 1"""))
+def q_group_medians(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.group_medians(c.scored, "league_name", "gross_annual_eur"), {"median": 4})
+
+
+ATTRS = ["age", "overall", "rating", "minutes", "goals", "assists"]
+
+
+@register("attr_means_by_group", with_panel(
+    "SELECT position, count(*) AS n, " + ", ".join(f"{S(f'avg({a})', 6)} AS mean_{a}" for a in ATTRS)
+    + " FROM scored GROUP BY position"))
+def q_attr_means(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.attr_means_by_group(c.scored, "position", ATTRS), {f"mean_{a}": 6 for a in ATTRS})
+
+
+@register("age_curve", with_panel(f"""
+SELECT position, age, {S('avg(gross_annual_eur)', 4)} AS mean_salary FROM scored GROUP BY 1, 2"""))
+def q_age_curve(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.age_curve(c.scored, c.spec), {"mean_salary": 4})
+
+
+@register("rolling_mean_3", with_panel(f"""
+, curve AS (SELECT position, age, avg(gross_annual_eur) AS mean_salary FROM scored GROUP BY 1, 2)
+SELECT position, age, {S('mean_salary', 4)} AS mean_salary, {S('rolling_mean', 4)} AS rolling_mean FROM (
+  SELECT *, avg(mean_salary) OVER (PARTITION BY position ORDER BY age ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS rolling_mean,
+         count(*) OVER (PARTITION BY position) AS n FROM curve) WHERE n >= 3"""))
+def q_rolling(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    curve = A.age_curve(c.scored, c.spec)
+    return _snap_cols(A.rolling_mean_3(curve, "position", "age", "mean_salary"),
+                      {"mean_salary": 4, "rolling_mean": 4})
+
+
+@register("within_pct", with_panel(f"""
+SELECT {S("avg(CASE WHEN abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur <= 0.3 THEN 1.0 ELSE 0.0 END) * 100", 6)} AS within_pct,
+       count(*) AS n FROM scored WHERE gross_annual_eur > 0"""))
+def q_within(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.within_pct(c.scored, "predicted_center_eur", "gross_annual_eur"), {"within_pct": 6})
+
+
+@register("range_accuracy", with_panel(f"""
+SELECT {S("avg(CASE WHEN range_accuracy_result THEN 1.0 ELSE 0.0 END) * 100", 6)} AS range_accuracy_pct,
+       count(*) AS n FROM scored WHERE gross_annual_eur IS NOT NULL AND predicted_low_eur IS NOT NULL"""))
+def q_range_acc(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.range_accuracy(c.scored, c.spec), {"range_accuracy_pct": 6})
+
+
+@register("range_check", with_panel("""
+SELECT player_pk, range_accuracy_result AS range_ok,
+       round_even(CASE WHEN gross_annual_eur <= 0 THEN 1.0
+            WHEN gross_annual_eur >= predicted_low_eur AND gross_annual_eur <= predicted_high_eur THEN 0.0
+            WHEN gross_annual_eur < predicted_low_eur THEN (predicted_low_eur - gross_annual_eur) / gross_annual_eur
+            ELSE (gross_annual_eur - predicted_high_eur) / gross_annual_eur END * 100, 1) AS range_dist_pct
+FROM scored"""))
+def q_range_check(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.range_check(c.scored, c.spec).select("player_pk", "range_ok", "range_dist_pct")
+
+
+@register("reg_metrics", with_panel(f"""
+, yb AS (SELECT avg(ln(1 + gross_annual_eur)) AS ybar FROM scored)
+SELECT {S("1.0 - sum(power(ln(1 + gross_annual_eur) - ln(1 + predicted_center_eur), 2)) / sum(power(ln(1 + gross_annual_eur) - ybar, 2))", 9)} AS r2_log,
+       {S('avg(abs(predicted_center_eur - gross_annual_eur))', 4)} AS mae,
+       {S('sqrt(avg(power(predicted_center_eur - gross_annual_eur, 2)))', 4)} AS rmse, count(*) AS n
+FROM scored, yb"""))
+def q_reg_metrics(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.reg_metrics(c.scored, "predicted_center_eur", "gross_annual_eur"),
+                      {"r2_log": 9, "mae": 4, "rmse": 4})
+
+
+@register("mape", with_panel(f"""
+SELECT {S('avg(abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100)', 6)} AS mape, count(*) AS n,
+       {S('quantile_cont(abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100, 0.5)', 6)} AS median_ape
+FROM scored WHERE gross_annual_eur > 50000"""))
+def q_mape(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.mape(c.scored, "predicted_center_eur", "gross_annual_eur", 50000),
+                      {"mape": 6, "median_ape": 6})
+
+
+@register("overpaid_reduction", with_panel(f"""
+SELECT count(*) AS n_overpaid, {S('sum(gross_annual_eur)', 2)} AS sum_actual,
+       {S('sum(predicted_center_eur)', 2)} AS sum_center,
+       {S('CASE WHEN sum(gross_annual_eur) > 0 THEN (sum(gross_annual_eur) - sum(predicted_center_eur)) / sum(gross_annual_eur) ELSE 0.0 END * 100', 6)} AS total_reduction_pct,
+       {S('quantile_cont((gross_annual_eur - predicted_center_eur) / gross_annual_eur * 100, 0.5)', 6)} AS median_reduction_pct
+FROM scored WHERE gross_annual_eur > predicted_high_eur"""))
+def q_overpaid_red(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.overpaid_reduction(c.scored, c.spec),
+                      {"sum_actual": 2, "sum_center": 2, "total_reduction_pct": 6, "median_reduction_pct": 6})
+
+
+@register("residual_std", with_panel(f"""
+SELECT {S('stddev_pop(ln(1 + gross_annual_eur) - ln(1 + predicted_center_eur))', 9)} AS residual_std FROM scored"""))
+def q_residual_std(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.residual_std(c.scored, "predicted_center_eur", "gross_annual_eur"), {"residual_std": 9})
+
+
+@register("residuals", with_panel(f"""
+SELECT league_name, {S('avg((predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100)', 6)} AS mean_residual_pct,
+       count(*) AS n FROM scored WHERE gross_annual_eur > 0 GROUP BY 1"""))
+def q_residuals(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.residuals_by_group(c.scored, "league_name", "predicted_center_eur", "gross_annual_eur"),
+                      {"mean_residual_pct": 6})
+
+
+@register("percentile_rank", with_panel("""
+SELECT player_pk, round_even(cume_dist() OVER (ORDER BY gross_annual_eur) * 100, 1) AS percentile_rank FROM scored"""))
+def q_percentile_rank(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.percentile_rank(c.scored, "gross_annual_eur").select("player_pk", "percentile_rank")
+
+
+@register("spearman", with_panel(f"""
+SELECT {S('corr(rx, ry)', 9)} AS spearman, count(*) AS n FROM (
+  SELECT rank() OVER (ORDER BY gross_annual_eur) + (count(*) OVER (PARTITION BY gross_annual_eur) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY minutes) + (count(*) OVER (PARTITION BY minutes) - 1) / 2.0 AS ry
+  FROM scored WHERE gross_annual_eur IS NOT NULL AND minutes IS NOT NULL)"""))
+def q_spearman(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.spearman(c.scored, "gross_annual_eur", "minutes"), {"spearman": 9})
+
+
+NUMS = ["age", "overall", "international_reputation", "value_eur", "appearances", "minutes",
+        "goals", "assists", "rating", "market_value_eur"]
+
+
+@register("corr_to_target", with_panel(
+    "SELECT feature, " + S("corr", 9) + " AS corr, " + S("abs(corr)", 9) + " AS abs_corr FROM (SELECT unnest(["
+    + ", ".join(f"'{n}'" for n in NUMS) + "]) AS feature, unnest(["
+    + ", ".join(f"corr({n}, gross_annual_eur)" for n in NUMS) + "]) AS corr FROM scored) WHERE corr IS NOT NULL"))
+def q_corr_target(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.corr_to_target(c.scored, NUMS, "gross_annual_eur"), {"corr": 9, "abs_corr": 9})
+
+
+KEYF = ["age", "overall", "minutes", "goals", "rating", "market_value_eur"]
+_PAIRS = [(a, b) for i, a in enumerate(KEYF) for b in KEYF[i + 1:]]
+
+
+@register("corr_matrix", with_panel(
+    "SELECT feature_a, feature_b, " + S("corr", 9) + " AS corr FROM (SELECT unnest(["
+    + ", ".join(f"'{a}'" for a, _ in _PAIRS) + "]) AS feature_a, unnest(["
+    + ", ".join(f"'{b}'" for _, b in _PAIRS) + "]) AS feature_b, unnest(["
+    + ", ".join(f"corr({a}, {b})" for a, b in _PAIRS) + "]) AS corr FROM scored)"))
+def q_corr_matrix(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.corr_matrix(c.scored, KEYF), {"corr": 9})
+
+
+@register("performance_index", with_panel(f"""
+, b AS (SELECT player_pk, rating, overall,
+        CASE WHEN minutes > 0 THEN goals / (minutes / 90.0) ELSE 0.0 END AS g90,
+        CASE WHEN minutes > 0 THEN assists / (minutes / 90.0) ELSE 0.0 END AS a90 FROM scored),
+m AS (SELECT min(rating) r0, max(rating) r1, min(overall) o0, max(overall) o1, min(g90) g0, max(g90) g1,
+             min(a90) a0, max(a90) a1 FROM b)
+SELECT player_pk, {S('''((CASE WHEN r1 > r0 THEN (rating - r0) / (r1 - r0) ELSE 0.0 END
+    + CASE WHEN o1 > o0 THEN (overall - o0) / (o1 - o0) ELSE 0.0 END)
+    + CASE WHEN g1 > g0 THEN (g90 - g0) / (g1 - g0) ELSE 0.0 END)
+    + CASE WHEN a1 > a0 THEN (a90 - a0) / (a1 - a0) ELSE 0.0 END''', 9)} / 4 AS performance_index FROM b, m"""))
+def q_performance_index(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    b = c.scored.select("player_pk", "rating", "overall", per_90("goals", "minutes").alias("g90"),
+                        per_90("assists", "minutes").alias("a90"))
+    out = A.performance_index(b, ["rating", "overall", "g90", "a90"])
+    return out.select("player_pk", (snap(F.col("performance_index") * 4, 9) / 4).alias("performance_index"))
+
+
+@register("feature_stats", with_panel(
+    "SELECT feature, " + S("mean", 6) + " AS mean, " + S("CASE WHEN std = 0 THEN 1.0 ELSE std END", 6)
+    + " AS std FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in NUMS) + "]) AS feature, unnest(["
+    + ", ".join(f"avg({n})" for n in NUMS) + "]) AS mean, unnest(["
+    + ", ".join(f"stddev_pop({n})" for n in NUMS) + "]) AS std FROM trained)"))
+def q_feature_stats(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.feature_stats(c.trained, NUMS), {"mean": 6, "std": 6})
+
+
+def _hist_sql(expr, bins, src):
+    return with_panel(f"""
+, hb AS (SELECT {expr} AS v FROM {src} WHERE {expr} IS NOT NULL),
+mm AS (SELECT min(v) AS mn, max(v) AS mx FROM hb)
+SELECT bin, count(*) AS n, {S('any_value(mn + (mx - mn) * (bin - 1) / ' + str(bins) + ')', 6)} AS lo,
+       {S('any_value(mn + (mx - mn) * bin / ' + str(bins) + ')', 6)} AS hi
+FROM (SELECT CASE WHEN mx > mn THEN least(CAST(floor((v - mn) / (mx - mn) * {bins}) AS BIGINT) + 1, {bins})
+                  ELSE 1 END AS bin, mn, mx FROM hb, mm) GROUP BY bin""")
+
+
+@register("histogram", _hist_sql("gross_annual_eur", 30, "trained"))
+def q_histogram(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.histogram(c.trained, "gross_annual_eur", 30), {"lo": 6, "hi": 6})
+
+
+@register("log_histogram", _hist_sql("ln(1 + gross_annual_eur)", 40, "trained"))
+def q_log_histogram(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.histogram(c.trained, F.log1p("gross_annual_eur"), 40), {"lo": 6, "hi": 6})
+
+
+@register("box_stats", with_panel(f"""
+, q AS (SELECT position, quantile_cont(gross_annual_eur, 0.25) AS q1, quantile_cont(gross_annual_eur, 0.5) AS median,
+               quantile_cont(gross_annual_eur, 0.75) AS q3 FROM scored WHERE gross_annual_eur IS NOT NULL GROUP BY 1)
+SELECT s.position, {S('q.q1', 4)} AS q1, {S('q.median', 4)} AS median, {S('q.q3', 4)} AS q3,
+       {S('min(CASE WHEN gross_annual_eur >= q1 - 1.5 * (q3 - q1) THEN gross_annual_eur END)', 4)} AS whisker_lo,
+       {S('max(CASE WHEN gross_annual_eur <= q3 + 1.5 * (q3 - q1) THEN gross_annual_eur END)', 4)} AS whisker_hi,
+       count(*) FILTER (WHERE gross_annual_eur < q1 - 1.5 * (q3 - q1) OR gross_annual_eur > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM scored s JOIN q ON s.position = q.position WHERE gross_annual_eur IS NOT NULL GROUP BY s.position, q.q1, q.median, q.q3"""))
+def q_box(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.box_stats(c.scored, "position", "gross_annual_eur"),
+                      {"q1": 4, "median": 4, "q3": 4, "whisker_lo": 4, "whisker_hi": 4})
+
+
+@register("violin_density", with_panel(f"""
+, base AS (SELECT position, gross_annual_eur AS v FROM scored WHERE gross_annual_eur IS NOT NULL),
+g AS (SELECT min(v) AS mn, max(v) AS mx, stddev_samp(v) AS sd, count(*) AS n FROM base),
+binned AS (SELECT position, least(floor((v - mn) / CASE WHEN (mx - mn) / 200 > 0 THEN (mx - mn) / 200 ELSE 1.0 END), 199) AS b,
+                  count(*) AS c FROM base, g GROUP BY 1, 2),
+pts AS (SELECT position, b, c, gi, mn + (mx - mn) * gi / 49 AS x, mn + (b + 0.5) * ((mx - mn) / 200) AS center,
+               1.06 * sd * pow(n, -0.2) AS h FROM binned, g, range(0, 50) t(gi)),
+dens AS (SELECT position, gi, x, sum(c * (exp(-0.5 * pow((x - center) / h, 2)) / (h * sqrt(2 * 3.141592653589793)))) AS s
+         FROM pts GROUP BY 1, 2, 3),
+tot AS (SELECT position, sum(c) AS t FROM binned GROUP BY 1)
+SELECT d.position, CAST(gi AS INTEGER) AS grid_index, {S('x', 6)} AS x, {S('s / t', 15)} AS density
+FROM dens d JOIN tot USING (position)"""))
+def q_violin(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.violin_density(c.scored, "position", "gross_annual_eur"), {"x": 6, "density": 15})
+
+
+@register("cumulative_accuracy", with_panel(f"""
+, tot AS (SELECT count(*) AS n FROM scored WHERE prediction_error_pct IS NOT NULL)
+SELECT t, {S('100.0 * (SELECT count(*) FROM scored WHERE abs(prediction_error_pct) <= t) / n', 6)} AS pct_within
+FROM range(0, 101) r(t), tot"""))
+def q_cum_acc(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.cumulative_accuracy(c.scored, "prediction_error_pct"), {"pct_within": 6})
+
+
+@register("tolerance_curve", with_panel(f"""
+, d AS (SELECT CASE WHEN gross_annual_eur <= 0 THEN 1.0
+            WHEN gross_annual_eur >= predicted_low_eur AND gross_annual_eur <= predicted_high_eur THEN 0.0
+            WHEN gross_annual_eur < predicted_low_eur THEN (predicted_low_eur - gross_annual_eur) / gross_annual_eur
+            ELSE (gross_annual_eur - predicted_high_eur) / gross_annual_eur END AS d
+        FROM scored WHERE gross_annual_eur IS NOT NULL AND predicted_low_eur IS NOT NULL)
+SELECT {S('i * 0.05', 6)} AS tolerance, {S('100.0 * (SELECT count(*) FROM d WHERE d <= i * 0.05 + 1e-12) / (SELECT count(*) FROM d)', 6)} AS range_accuracy_pct
+FROM range(0, 11) r(i)"""))
+def q_tol_curve(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.tolerance_curve(c.scored, c.spec), {"tolerance": 6, "range_accuracy_pct": 6})
+
+
+@register("systematic_sample", with_panel("""
+, n AS (SELECT greatest(1, floor(count(*) / 80)) AS step FROM scored)
+SELECT player_pk FROM (SELECT player_pk, row_number() OVER (ORDER BY gross_annual_eur, player_pk) - 1 AS rn FROM scored), n
+WHERE rn % step = 0"""))
+def q_sys_sample(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.systematic_sample(c.scored, "gross_annual_eur", "player_pk").select("player_pk")
+
+
+@register("distinct_sorted", with_panel("""
+SELECT DISTINCT league_name FROM combined WHERE league_name IS NOT NULL"""))
+def q_distinct(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return A.distinct_sorted(c.combined, "league_name")
+
+
+@register("missing_count", with_panel(
+    "SELECT column_name, n_missing FROM (SELECT unnest([" + ", ".join(
+        f"'{n}'" for n in ["player_pk", "api_football_id", "short_name", "nationality", "season",
+                           "appearances", "market_value_eur", "gross_annual_eur", "preferred_foot"])
+    + "]) AS column_name, unnest([" + ", ".join(
+        f"count(*) FILTER (WHERE {n} IS NULL)" for n in
+        ["player_pk", "api_football_id", "short_name", "nationality", "season", "appearances",
+         "market_value_eur", "gross_annual_eur", "preferred_foot"]) + "]) AS n_missing FROM panel)"))
+def q_missing(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    cols = ["player_pk", "api_football_id", "short_name", "nationality", "season", "appearances",
+            "market_value_eur", "gross_annual_eur", "preferred_foot"]
+    return A.missing_count(c.panel.select(*cols))
