@@ -1 +1,197 @@
-"""Registered queries."""
+"""Registered model queries (rows-only checks: results depend on learned models)."""
+
+from __future__ import annotations
+
+from functools import cached_property, reduce
+
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from fairband.functions.scalar import in_range, range_check_ok, status
+from fairband.operators import features as FE
+from fairband.operators import models as M
+from fairband.operators.panel import first_best
+from fairband.plans.context import Ctx
+from fairband.plans.registry import register
+
+RF_TREES, RF_DEPTH = 50, 8
+
+
+class Train:
+    """Feature table + label + split + folds for one data folder, assembled lazily."""
+
+    def __init__(self, spark, sf_dir):
+        self.ctx = Ctx(spark, sf_dir)
+        self.spec = self.ctx.spec
+        self.feats = self.spec.feature_columns
+
+    @cached_property
+    def table(self):
+        ft = FE.feature_table(self.ctx.trained, self.spec)
+        ft = M.with_folds(M.with_label(ft, self.spec), self.spec.key)
+        return M.assemble(ft, self.feats).persist()
+
+    @cached_property
+    def scaled(self):
+        sc = FE.fit_scaler(self.table.filter(F.col("split") == "train"), self.feats)
+        x = FE.standard_scale(self.table.drop("features"), sc, self.feats)
+        return M.assemble(x, self.feats)
+
+    @property
+    def train(self):
+        return self.table.filter(F.col("split") == "train")
+
+    @cached_property
+    def rf(self):
+        return M.forest(RF_TREES, RF_DEPTH).fit(M.stable_order(self.train, self.spec.key))
+
+
+def _report(model, df, spec, name):
+    return M.regression_report(model.transform(df), spec, name)
+
+
+def _linear(kind):
+    def q(spark, sf_dir):
+        t = Train(spark, sf_dir)
+        tr = t.scaled.filter(F.col("split") == "train")
+        n = tr.count()
+        ystd = tr.agg(F.stddev_pop(M.LABEL)).first()[0]
+        return _report(M.linear_model(kind, n=n, y_std_pop=ystd).fit(tr), t.scaled, t.spec, kind)
+    return q
+
+
+for _k in ("linear", "ridge", "lasso"):
+    register(f"fit_{_k}")(_linear(_k))
+
+
+@register("fit_rf")
+def q_fit_rf(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    return _report(t.rf, t.table, t.spec, "random_forest")
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    m = M.boosting(30, 5, 0.1).fit(M.stable_order(t.train, t.spec.key))
+    return _report(m, t.table, t.spec, "gradient_boosting")
+
+
+@register("fit_xgb")
+def q_fit_xgb(spark, sf_dir):
+    """Regularised boosting stand-in: row subsampling + per-tree feature subsets (no L1/L2 leaf penalty in MLlib)."""
+    t = Train(spark, sf_dir)
+    m = M.boosting(30, 4, 0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2) \
+        .fit(M.stable_order(t.train, t.spec.key))
+    return _report(m, t.table, t.spec, "boosting_regularised")
+
+
+@register("predict_range")
+def q_predict_range(spark, sf_dir):
+    """Random-forest P25-P75 ranges for every trained row, plus error, flags and status."""
+    t = Train(spark, sf_dir)
+    s = t.spec
+    out = M.predict_range(t.rf, t.table, s)
+    a = F.col(s.target)
+    return out.select(
+        s.key, "split", a.alias(s.target), s.low, s.high, s.center,
+        F.coalesce(in_range(a, s.low, s.high), F.lit(False)).alias("actual_in_range"),
+        F.coalesce(range_check_ok(a, s.low, s.high), F.lit(False)).alias("range_accuracy_result"),
+        status(a, s.low, s.high).alias("status"))
+
+
+@register("score_new_entities")
+def q_score_new(spark, sf_dir):
+    """Entities outside the trained set (e.g. other leagues): features from their latest
+    activity (missing -> training medians), then forest ranges."""
+    t = Train(spark, sf_dir)
+    s = t.spec
+    tr = t.train
+    med = FE.fit_medians(tr, list(s.base_features))
+    new = FE.onehot_drop_first(FE.encode_foot(t.ctx.untrained, s), s.position, s.position_categories)
+    new = FE.engineer_features(FE.median_impute(new, med), s)
+    new = M.assemble(new, t.feats)
+    out = M.predict_range(t.rf, new, s)
+    return out.select(s.key, s.league, s.low, s.high, s.center,
+                      status(F.col(s.target), s.low, s.high).alias("status"))
+
+
+@register("cross_validate")
+def q_cv(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    cvm = M.cross_validate(M.forest(20, 6), M.stable_order(t.train, t.spec.key))
+    rows = M.cv_table(cvm, None)
+    return spark.createDataFrame([(r["candidate"], r["cv_mean"], r["cv_std"]) for r in rows],
+                                 "candidate int, cv_mean double, cv_std double")
+
+
+@register("grid_search")
+def q_grid(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    est = M.forest(20, 6)
+    grid = ParamGridBuilder().addGrid(est.maxDepth, [4, 8]).addGrid(est.numTrees, [10, 30]).build()
+    cvm = M.cross_validate(est, M.stable_order(t.train, t.spec.key), grid)
+    rows = M.cv_table(cvm, grid)
+    df = spark.createDataFrame([(r["candidate"], r["params"]["maxDepth"], r["params"]["numTrees"],
+                                 r["cv_mean"], r["cv_std"]) for r in rows],
+                               "candidate int, max_depth int, num_trees int, cv_mean double, cv_std double")
+    return first_best(df.withColumn("g", F.lit(0)), ["g"], "cv_mean", "candidate").drop("g")
+
+
+@register("stacking")
+def q_stacking(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    tr = t.scaled.filter(F.col("split") == "train")
+    n = tr.count()
+    ystd = tr.agg(F.stddev_pop(M.LABEL)).first()[0]
+    bases = {"ridge": M.linear_model("ridge", n, ystd), "lasso": M.linear_model("lasso"),
+             "rf": M.forest(20, 6), "gbt": M.boosting(10, 3)}
+    meta = M.linear_model("ridge", n, ystd)
+    _, pred = M.stacking(bases, meta, tr, t.scaled, t.spec.key)
+    pred = pred.join(t.scaled.select(t.spec.key, "split"), t.spec.key)
+    return M.regression_report(pred, t.spec, "stacking")
+
+
+@register("model_metrics_table")
+def q_metrics_table(spark, sf_dir):
+    """Every model's train/test report in one tidy table."""
+    qs = [_linear("linear"), _linear("ridge"), _linear("lasso"), q_fit_rf, q_fit_gbt]
+    return reduce(lambda a, b: a.unionByName(b), [q(spark, sf_dir) for q in qs])
+
+
+@register("model_select")
+def q_model_select(spark, sf_dir):
+    """Highest test within-30 % among candidates; the first listed wins ties."""
+    tab = q_metrics_table(spark, sf_dir).filter(F.col("split") == "test")
+    order = F.array_position(F.array(*[F.lit(m) for m in
+                                       ["linear", "ridge", "lasso", "random_forest", "gradient_boosting"]]),
+                             F.col("model"))
+    return first_best(tab.withColumn("ordinal", order).withColumn("g", F.lit(0)), ["g"], "within_30", "ordinal") \
+        .drop("g")
+
+
+@register("feature_importance")
+def q_importance(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    rows = M.importance_rows(t.rf, t.feats)
+    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    """Train / test R² of the linear model when trained on the first 10 %..100 % (hash share)."""
+    t = Train(spark, sf_dir)
+    parts = []
+    for share in range(10, 101, 10):
+        tr = t.scaled.filter((F.col("split") == "train") & (FE.split_bucket(F.col(t.spec.key) * 7 + 3) < share))
+        m = M.linear_model("ridge", max(tr.count(), 1), 1.0).fit(tr)
+        parts.append(M.regression_report(m.transform(t.scaled), t.spec, "ridge")
+                     .withColumn("train_share", F.lit(share)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("residual_std_model")
+def q_residual_std_model(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    p = t.rf.transform(t.table)
+    return p.agg(F.stddev_pop(F.col(M.LABEL) - F.col("prediction")).alias("residual_std"))
