@@ -24,7 +24,16 @@ def dec_mean(col: str, scale: int) -> Column:
 
 
 def _join_groups(left: DataFrame, right: DataFrame, groups) -> DataFrame:
-    return left.join(right, list(groups), "left") if groups else left.join(right, how="left")
+    """Attach per-group results; with no groups both sides are one row and the right
+    side's columns become scalar subqueries (no join at all)."""
+    if groups:
+        return left.join(right, list(groups), "left")
+    return attach_scalars(left, right)
+
+
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add every column of a one-row frame as an uncorrelated scalar subquery."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
 # ---------------------------------------------------------------- group reports
@@ -111,7 +120,7 @@ def overview(df: DataFrame, spec: PanelSpec) -> DataFrame:
                F.countDistinct(spec.league).alias("n_leagues"),
                F.countDistinct(spec.position).alias("n_positions"))
     med = group_quantiles(df, [], spec.target, {"median_salary": 0.5})
-    return g.join(med, how="left")
+    return attach_scalars(g, med)
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -120,7 +129,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     g = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                F.min(c).alias("min"), F.max(c).alias("max"))
     q = group_quantiles(df, [], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return g.join(q, how="left")
+    return attach_scalars(g, q)
 
 
 def value_counts_top(df: DataFrame, column: str, k: int = 5) -> DataFrame:
@@ -219,7 +228,7 @@ def overpaid_reduction(df: DataFrame, spec: PanelSpec) -> DataFrame:
                  F.sum(spec.target).alias("sum_actual"), F.sum(spec.center).alias("sum_center"))
     g = g.withColumn("total_reduction_pct",
                      safe_ratio(F.col("sum_actual") - F.col("sum_center"), "sum_actual") * 100)
-    return g.join(group_quantiles(base, [], "_red", {"median_reduction_pct": 0.5}), how="left")
+    return attach_scalars(g, group_quantiles(base, [], "_red", {"median_reduction_pct": 0.5}))
 
 
 def residual_std(df: DataFrame, pred: str, actual: str) -> DataFrame:

@@ -51,7 +51,10 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
                         .alias(f"_b_{n}"))
     bounds = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *brackets)
 
-    joined = base.join(bounds, on=groups, how="inner") if groups else base.crossJoin(bounds)
+    if groups:
+        joined = base.join(bounds, on=groups, how="inner")
+    else:
+        joined = base.withColumns({c: bounds.select(c).scalar() for c in bounds.columns})
     entries = []
     small = F.col("_n") <= F.lit(2 * accuracy)
     for i, n in enumerate(names):

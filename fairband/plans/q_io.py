@@ -1 +1,243 @@
-"""Registered queries."""
+"""Registered source/sink, payload, request-log, cache and explanation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fairband.functions.scalar import snap
+from fairband.operators import refresh as RF
+from fairband.plans.context import Ctx
+from fairband.plans.oracle_sql import snap as S, with_panel
+from fairband.plans.registry import register
+from fairband.sources import io as IO
+from fairband.sources.tables import SCHEMAS
+
+
+@register("artifact_store", with_panel("""
+SELECT status, count(*) AS n FROM scored GROUP BY 1"""))
+def q_artifact(spark, sf_dir):
+    """Scored table -> parquet snapshot (partitioned by status) -> read back."""
+    c = Ctx(spark, sf_dir)
+    path = IO.save_snapshot(c.scored.select("player_pk", "status", "predicted_low_eur", "predicted_high_eur"),
+                            "scored_" + sf_dir.strip("/").replace("/", "_"), ["status"])
+    return IO.load_snapshot(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("metrics_sink", with_panel(f"""
+SELECT 'peer_range' AS model, 'within_30' AS metric,
+       {S("avg(CASE WHEN abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur <= 0.3 THEN 1.0 ELSE 0.0 END) * 100", 6)} AS value
+FROM scored WHERE gross_annual_eur > 0"""))
+def q_metrics_sink(spark, sf_dir):
+    from fairband.operators.analytics import within_pct
+    c = Ctx(spark, sf_dir)
+    m = within_pct(c.scored, "predicted_center_eur", "gross_annual_eur").select(
+        F.lit("peer_range").alias("model"), F.lit("within_30").alias("metric"),
+        snap("within_pct", 6).alias("value"))
+    return IO.metrics_sink(m, "metrics_" + sf_dir.strip("/").replace("/", "_"))
+
+
+EXPORT_COLS = ["player_pk", "short_name", "position", "league_name", "club_name", "nationality",
+               "age", "overall", "gross_annual_eur", "predicted_center_eur", "predicted_low_eur",
+               "predicted_high_eur", "status"]
+
+
+def _export(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    src = c.combined_status.select(*EXPORT_COLS)
+    path, out = IO.export_csv(src, "export_" + sf_dir.strip("/").replace("/", "_"))
+    back = IO.read_export(spark, path, out.schema)
+    return src, back
+
+
+@register("export_csv", with_panel("""
+SELECT count(*) AS n, count(gross_annual_eur) AS n_salary FROM cstat"""))
+def q_export(spark, sf_dir):
+    _, back = _export(spark, sf_dir)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.count("Gross Annual Eur").alias("n_salary"))
+
+
+@register("roundtrip_consistency")
+def q_roundtrip(spark, sf_dir):
+    src, back = _export(spark, sf_dir)
+    back = back.select(*[F.col(IO.title_case(c)).alias(c) for c in EXPORT_COLS])
+    return IO.roundtrip_consistency(src, back, "player_pk")
+
+
+_CAT_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(s.fields)} AS n_columns, 0 AS n_forbidden FROM {t}"
+    for t, s in SCHEMAS.items())
+
+
+@register("catalog_audit", _CAT_SQL)
+def q_catalog(spark, sf_dir):
+    return IO.catalog_audit(spark, sf_dir)
+
+
+@register("source_funnel", with_panel("""
+SELECT 'attributes' AS source, count(*) AS n_rows, count(*) AS n_matched FROM attrs
+UNION ALL SELECT 'salaries', count(*), count(*) FILTER (WHERE player_pk IN (SELECT player_pk FROM attrs)) FROM salaries
+UNION ALL SELECT 'stats', count(*), count(*) FILTER (WHERE player_pk IN (SELECT player_pk FROM attrs)) FROM stats
+UNION ALL SELECT 'market', count(*), count(*) FILTER (WHERE player_pk IN (SELECT player_pk FROM attrs)) FROM market
+UNION ALL SELECT 'trained', count(*), count(*) FROM trained"""))
+def q_funnel(spark, sf_dir):
+    from functools import reduce
+    c = Ctx(spark, sf_dir)
+    t = c.tables
+    keys = t.attributes.select("player_pk")
+
+    def one(name, df):
+        m = df.join(keys, "player_pk", "left_semi").agg(F.count(F.lit(1)).alias("n_matched"))
+        n = df.agg(F.count(F.lit(1)).alias("n_rows"))
+        return n.withColumn("n_matched", m.select("n_matched").scalar()).select(
+            F.lit(name).alias("source"), "n_rows", "n_matched")
+    parts = [one("attributes", t.attributes), one("salaries", t.salaries), one("stats", t.stats),
+             one("market", t.market), one("trained", c.trained)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("json_payload_parse", with_panel("""
+SELECT player_pk AS player_id, CAST(row_number() OVER (PARTITION BY player_pk ORDER BY season) - 1 AS INTEGER) AS block_no,
+       CAST(appearances AS INTEGER) AS appearances, CAST(minutes AS INTEGER) AS minutes,
+       CAST(goals AS INTEGER) AS goals, CAST(assists AS INTEGER) AS assists
+FROM stats"""))
+def q_payload(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    docs = IO.build_payloads(c.panel, c.tables.stats)
+    return IO.json_payload_parse(docs).select("player_id", "block_no", "appearances", "minutes", "goals", "assists")
+
+
+@register("events_props_parse", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+def q_props(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    ev = c.table("events", ["event_id", "props"])
+    return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@register("statblock_rollup", with_panel(f"""
+SELECT player_pk AS player_id, CAST(sum(appearances) AS BIGINT) AS appearances, CAST(sum(minutes) AS BIGINT) AS minutes,
+       CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
+       {S("coalesce(avg(CASE WHEN round_even(rating, 2) <> 0 THEN CAST(round_even(rating, 2) AS DOUBLE) END), 0.0)", 6)} AS rating,
+       'Midfielder' AS position
+FROM stats GROUP BY 1"""))
+def q_statblock(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    blocks = IO.json_payload_parse(IO.build_payloads(c.panel, c.tables.stats))
+    out = IO.statblock_rollup(blocks, rating_digits=None)
+    return out.select("player_id", "appearances", "minutes", "goals", "assists",
+                      snap("rating", 6).alias("rating"), "position")
+
+
+@register("season_rollup", with_panel("""
+SELECT player_pk, count(*) AS n_seasons, sum(appearances) AS appearances, sum(minutes) AS minutes,
+       max(season) AS last_season FROM stats GROUP BY 1"""))
+def q_season_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return IO.season_rollup(c.tables.stats)
+
+
+LOG_SQL = """log AS (
+  SELECT event_type AS endpoint,
+         CASE WHEN event_type = 'error' THEN (CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) >= 50 THEN 500 ELSE 404 END)
+              WHEN CAST(json_extract(props, '$.k') AS INTEGER) = 0 THEN 0 ELSE 200 END AS status,
+         value / 10 AS elapsed_s, ts FROM events)"""
+
+
+@register("log_error_rollup", f"""WITH {LOG_SQL}
+SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE status >= 200 AND status < 300) AS n_success,
+       count(*) FILTER (WHERE status >= 500 OR status = 0) AS n_server_error,
+       count(*) FILTER (WHERE status >= 400 AND status < 500) AS n_client_error,
+       {S('quantile_cont(elapsed_s * 1000, 0.5)', 6)} AS p50_ms, {S('quantile_cont(elapsed_s * 1000, 0.95)', 6)} AS p95_ms,
+       {S('CASE WHEN count(*) - count(*) FILTER (WHERE status >= 400 AND status < 500) > 0 THEN count(*) FILTER (WHERE status >= 500 OR status = 0) / (count(*) - count(*) FILTER (WHERE status >= 400 AND status < 500)) * 100 ELSE 0.0 END', 6)} AS error_rate_pct
+FROM log GROUP BY 1""")
+def q_log_rollup(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    out = IO.log_error_rollup(IO.request_log(c.table("events")))
+    return out.select(*[snap(x, 6).alias(x) if x in ("p50_ms", "p95_ms", "error_rate_pct") else F.col(x)
+                        for x in out.columns])
+
+
+@register("latency_summary", f"""WITH {LOG_SQL}
+SELECT count(*) AS n, {S('avg(elapsed_s)', 9)} AS mean_s,
+       {S('avg(CASE WHEN status >= 200 AND status < 300 THEN 1.0 ELSE 0.0 END) * 100', 6)} AS success_pct,
+       {S('quantile_cont(elapsed_s, 0.95)', 9)} AS p95_s, {S('quantile_cont(elapsed_s, 0.99)', 9)} AS p99_s,
+       {S('count(*) / (epoch(max(ts)) - epoch(min(ts)))', 9)} AS qps,
+       quantile_cont(elapsed_s, 0.95) > 0.5 AS degraded
+FROM log""")
+def q_latency(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    out = IO.latency_summary(IO.request_log(c.table("events")))
+    d = {"mean_s": 9, "success_pct": 6, "p95_s": 9, "p99_s": 9, "qps": 9}
+    return out.select(*[snap(x, d[x]).alias(x) if x in d else F.col(x) for x in out.columns])
+
+
+CACHE_SQL = """cache AS (
+  SELECT s.player_pk, s.predicted_low_eur, s.predicted_high_eur, s.predicted_center_eur,
+         CASE WHEN s.league_name = 'PROMO' THEN 'peer_range:v0' ELSE 'peer_range:v1' END AS model_version,
+         CAST(d.last_ship AS TIMESTAMP) AS computed_at
+  FROM scored s JOIN (SELECT l_partkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1) d
+    ON s.player_pk = d.l_partkey)"""
+
+
+def _cache(c):
+    li = c.table("lineitem", ["l_partkey", "l_shipdate"]).groupBy("l_partkey").agg(F.max("l_shipdate").alias("last_ship"))
+    s = c.scored.select("player_pk", "league_name", "predicted_low_eur", "predicted_high_eur", "predicted_center_eur")
+    return s.join(li, s.player_pk == li.l_partkey).select(
+        "player_pk", "predicted_low_eur", "predicted_high_eur", "predicted_center_eur",
+        F.when(F.col("league_name") == "PROMO", F.lit("peer_range:v0")).otherwise(F.lit("peer_range:v1")).alias("model_version"),
+        F.col("last_ship").cast("timestamp").alias("computed_at"))
+
+
+@register("cache_read", with_panel(f""", {CACHE_SQL}
+SELECT player_pk, computed_at FROM cache WHERE model_version = 'peer_range:v1'
+  AND computed_at > TIMESTAMP '2001-11-04' - INTERVAL 30 DAYS"""))
+def q_cache_read(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    out = RF.cache_read(_cache(c), c.panel.select("player_pk"), "peer_range:v1", "2001-11-04", ttl_days=30)
+    return out.select("player_pk", "computed_at")
+
+
+@register("anti_cached", with_panel(f""", {CACHE_SQL}
+SELECT player_pk FROM panel WHERE player_pk NOT IN (
+  SELECT player_pk FROM cache WHERE model_version = 'peer_range:v1'
+    AND computed_at > TIMESTAMP '2001-11-04' - INTERVAL 30 DAYS)"""))
+def q_anti_cached(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    fresh = RF.cache_read(_cache(c), None, "peer_range:v1", "2001-11-04", ttl_days=30)
+    return RF.anti_cached(c.panel.select("player_pk"), fresh)
+
+
+@register("cache_upsert", with_panel(f""", {CACHE_SQL},
+upd AS (SELECT player_pk, predicted_low_eur, predicted_high_eur, predicted_center_eur,
+               'peer_range:v1' AS model_version, TIMESTAMP '2001-11-04' AS computed_at, 1 AS src
+        FROM scored WHERE league_name = 'PROMO'),
+u AS (SELECT *, 0 AS src FROM cache UNION ALL BY NAME SELECT * FROM upd)
+SELECT model_version, count(*) AS n, CAST(max(computed_at) AS VARCHAR) AS newest FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_pk ORDER BY computed_at DESC, src DESC) AS rn FROM u) WHERE rn = 1
+GROUP BY 1"""))
+def q_cache_upsert(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    upd = c.scored.filter(F.col("league_name") == "PROMO").select(
+        "player_pk", "predicted_low_eur", "predicted_high_eur", "predicted_center_eur",
+        F.lit("peer_range:v1").alias("model_version"),
+        F.lit("2001-11-04").cast("timestamp").alias("computed_at"))
+    out = RF.cache_upsert(_cache(c), upd)
+    return out.groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.date_format(F.max("computed_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
+
+
+@register("template_explanation")
+def q_explanation(spark, sf_dir):
+    """Sentence per trained row from the peer range, percentile rank and top factor."""
+    from fairband.operators.analytics import feature_stats, percentile_rank
+    from fairband.operators.explain import explanation_context, feature_contributions, template_explanation
+    c = Ctx(spark, sf_dir)
+    feats = ["overall", "minutes", "appearances", "goals", "assists", "rating", "age"]
+    means = {r["feature"]: r["mean"] for r in feature_stats(c.scored, feats).collect()}
+    corr = c.scored.agg(*[F.corr(f, "gross_annual_eur").alias(f) for f in feats]).first()
+    imps = sorted([(0, f, abs(corr[f] or 0.0)) for f in feats], key=lambda t: -t[2])
+    x = feature_contributions(percentile_rank(c.scored, "gross_annual_eur"), imps, means, 5)
+    x = x.withColumn("top_feature", F.col("contributions")[0]["feature"])
+    x = explanation_context(template_explanation(x))
+    return x.select("player_pk", "explanation", "explanation_context")
