@@ -1 +1,26 @@
-"""Registered queries."""
+"""Registered Structured Streaming queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from fairband.plans.context import Ctx
+from fairband.plans.registry import register
+from fairband.streaming.rollup import stream_log_rollup, stream_score_upsert
+
+
+@register("stream_log_rollup", """
+SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+       count(*) AS n FROM events GROUP BY 1, 2""")
+def q_stream_rollup(spark, sf_dir):
+    out = stream_log_rollup(spark, sf_dir, "log_rollup_" + uuid.uuid4().hex[:8])
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+@register("stream_score_upsert")
+def q_stream_upsert(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    out = stream_score_upsert(spark, sf_dir, c.scored, "score_upsert_" + uuid.uuid4().hex[:8])
+    return out.groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
