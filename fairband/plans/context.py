@@ -16,9 +16,11 @@ from fairband.spec import PanelSpec, default_spec
 class Ctx:
     """Lazily built panel views for one (session, data folder)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, spec: PanelSpec | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: PanelSpec | None = None,
+                 persist_panel: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
         self.spec = spec or default_spec()
+        self.persist_panel = persist_panel
 
     @cached_property
     def tables(self) -> DomainTables:
@@ -26,7 +28,11 @@ class Ctx:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return P.base_projection(P.build_panel(self.tables, self.spec))
+        """One row per entity.  A batch job that derives several outputs from it sets
+        ``persist_panel`` so the lineitem aggregation runs once (cached blocks are
+        recomputed from lineage if an executor is lost)."""
+        p = P.base_projection(P.build_panel(self.tables, self.spec))
+        return p.persist() if self.persist_panel else p
 
     @cached_property
     def trained(self) -> DataFrame:
