@@ -32,7 +32,7 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
     """One row per group with one column per entry of ``probs`` (name -> q in [0, 1]).
 
     ``value`` may be a column name or a Column.  NULL values are ignored; a
-    group without values gets NULL quantiles.  ``approx=True`` returns the
+    group without any value has no output row (callers left-join).  ``approx=True`` returns the
     one-pass ``percentile_approx`` answer instead.
     """
     groups = list(groups)

@@ -20,7 +20,7 @@ def test_status_precedence_and_range_check(spark):
                     range_distance_pct("a", "lo", "hi").alias("d")).collect()
     assert [r.s for r in out] == ["unknown", "prediction_not_available", "overpaid", "underpaid", "fair",
                                   "fair", "underpaid", "underpaid", "overpaid", "underpaid"]
-    assert [r.ok for r in out][4:] == [True, True, False, False, False, True]
+    assert [r.ok for r in out][4:] == [True, True, False, False, True, True]
     assert out[6].d == 1.0 and out[7].d == 1.0
 
 

@@ -18,7 +18,7 @@ def test_group_quantiles_match_numpy_small_and_large_groups(spark):
         vals = np.array([v for k, v in rows if k == g and v is not None])
         for name, q in probs.items():
             assert abs(got[g][name] - np.percentile(vals, q * 100)) <= 1e-9 * max(1.0, abs(got[g][name]))
-    assert got[3]["p50"] is None
+    assert 3 not in got  # no values -> no row; reports left-join onto their groups
 
 
 def test_global_quantile_without_groups(spark):
