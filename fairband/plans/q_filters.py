@@ -335,3 +335,36 @@ def q_base_projection(spark, sf_dir):
     return P.base_projection(c.trained).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_positions"),
         F.count("nationality").alias("n_nationality"))
+
+
+@register("extremes", with_panel(f"""
+(SELECT player_pk, {S('prediction_error_pct', 6)} AS prediction_error_pct, 'largest' AS side FROM scored
+ ORDER BY prediction_error_pct DESC, player_pk LIMIT 5)
+UNION ALL
+(SELECT player_pk, {S('prediction_error_pct', 6)} AS prediction_error_pct, 'smallest' AS side FROM scored
+ ORDER BY prediction_error_pct ASC, player_pk LIMIT 5)"""))
+def q_extremes(spark, sf_dir):
+    """``extremes`` / ``concat_extremes``: 5 largest ∪ 5 smallest signed errors."""
+    from fairband.operators.ranking import extremes
+    c = Ctx(spark, sf_dir)
+    out = extremes(c.scored.select("player_pk", "prediction_error_pct"), "prediction_error_pct", "player_pk", 5)
+    return out.select("player_pk", snap("prediction_error_pct", 6).alias("prediction_error_pct"), "side")
+
+
+@register("sufficiency_gate", with_panel("""
+, cur AS (SELECT player_pk, appearances AS current_apps FROM stats WHERE season = 2001),
+hist AS (SELECT player_pk, sum(appearances) AS history_apps FROM stats GROUP BY 1),
+g AS (SELECT p.player_pk, coalesce(c.current_apps, 0.0) AS cu, coalesce(h.history_apps, 0.0) AS hi, p.overall
+      FROM panel p LEFT JOIN cur c ON p.player_pk = c.player_pk LEFT JOIN hist h ON p.player_pk = h.player_pk)
+SELECT CAST((cu < 20)::INT + (hi < 20)::INT AS INTEGER) AS n_warnings,
+       CASE WHEN overall IS NULL THEN 'no_attributes' WHEN cu = 0 THEN 'no_current_activity' END AS error_code,
+       count(*) AS n
+FROM g GROUP BY 1, 2"""))
+def q_sufficiency(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    st = c.tables.stats
+    cur = st.filter(F.col("season") == 2001).select("player_pk", F.col("appearances").alias("current_apps"))
+    hist = st.groupBy("player_pk").agg(F.sum("appearances").alias("history_apps"))
+    g = c.panel.select("player_pk", "overall").join(cur, "player_pk", "left").join(hist, "player_pk", "left")
+    out = P.sufficiency_gate(g, "current_apps", "history_apps", "overall")
+    return out.groupBy(F.size("warnings").alias("n_warnings"), "error_code").agg(F.count(F.lit(1)).alias("n"))
