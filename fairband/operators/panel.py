@@ -57,19 +57,26 @@ def panel_left_joins(base: DataFrame, others, key: str) -> DataFrame:
     return out
 
 
-def build_panel(tables, spec: PanelSpec, latest_season: bool = True, aliases: dict | None = None) -> DataFrame:
+def build_panel(tables, spec: PanelSpec, latest_season: bool = True, aliases: dict | None = None,
+                fused: bool = True) -> DataFrame:
     """attributes ⟕ identity ⟕ salaries ⟕ latest stats ⟕ market -> one row per entity.
 
+    ``fused=True`` (default) joins one per-entity activity aggregate that already
+    carries all four (one shuffle on the key instead of four joins);
+    ``fused=False`` chains the separate tables like the reference does, and with
     ``latest_season=False`` keeps one row per season (the reference's fan-out).
     """
-    stats = tables.stats
-    if latest_season:
-        stats = latest_per_key(stats, spec.key, spec.season)
-    panel = panel_left_joins(
-        tables.attributes,
-        [(tables.identity, "_identity"), (tables.salaries, "_salary"),
-         (stats, "_stats"), (tables.market, "_market")],
-        spec.key)
+    if fused and latest_season and hasattr(tables, "activity"):
+        panel = panel_left_joins(tables.attributes, [(tables.activity, "_activity")], spec.key)
+    else:
+        stats = tables.stats
+        if latest_season:
+            stats = latest_per_key(stats, spec.key, spec.season)
+        panel = panel_left_joins(
+            tables.attributes,
+            [(tables.identity, "_identity"), (tables.salaries, "_salary"),
+             (stats, "_stats"), (tables.market, "_market")],
+            spec.key)
     return (panel
             .withColumn(spec.position, position_with_fallback(F.lit(None).cast("string"), "player_positions"))
             .withColumn(spec.league, league_alias(spec.league, aliases or {})))

@@ -28,20 +28,24 @@ MARGIN = 4
 
 
 def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = False,
-                    accuracy: int = ACCURACY) -> DataFrame:
+                    accuracy: int = ACCURACY, extra: dict | None = None) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (name -> q in [0, 1]).
 
     ``value`` may be a column name or a Column.  NULL values are ignored; a
-    group without any value has no output row (callers left-join).  ``approx=True`` returns the
-    one-pass ``percentile_approx`` answer instead.
+    group without any value has no output row (callers left-join).  ``extra``
+    maps output names to aggregate Columns over ``_v`` (the value) that ride
+    along in the first pass (e.g. a mean), saving a separate aggregate + join.
+    ``approx=True`` returns the one-pass ``percentile_approx`` answer instead.
     """
     groups = list(groups)
+    extra = extra or {}
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*groups, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     names = list(probs)
     if approx:
         return base.groupBy(*groups).agg(
-            *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names])
+            *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names],
+            *[c.alias(k) for k, c in extra.items()])
 
     eps = MARGIN / accuracy
     brackets = []
@@ -49,14 +53,15 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
         q = float(probs[n])
         brackets.append(F.percentile_approx("_v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy)
                         .alias(f"_b_{n}"))
-    bounds = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *brackets)
+    bounds = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *brackets,
+                                       *[c.alias(k) for k, c in extra.items()])
 
     if groups:
         joined = base.join(bounds, on=groups, how="inner")
     else:
         joined = base.withColumns({c: bounds.select(c).scalar() for c in bounds.columns})
-    entries = []
     small = F.col("_n") <= F.lit(2 * accuracy)
+    entries = []
     for i, n in enumerate(names):
         # groups of <= 2*accuracy rows use all their values: the sketch's rank slack
         # (<= n/accuracy) plus the 1-2 rank offset between "approx" and interpolation
@@ -66,9 +71,15 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
         slot = F.when(F.col("_v") < lo, F.struct(F.lit(i).alias("k"), F.lit(None).cast("double").alias("x"))) \
                 .when(F.col("_v") <= hi, F.struct(F.lit(i).alias("k"), F.col("_v").alias("x")))
         entries.append(slot)
-    cand = (joined.select(*groups, "_n", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-            .groupBy(*groups, "_n", F.col("_e.k").alias("_k"), F.col("_e.x").alias("_x"))
+    carry = ["_n"] + list(extra)
+    cand = (joined.select(*groups, *carry,
+                          F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
+            .groupBy(*groups, *carry, F.col("_e.k").alias("_k"), F.col("_e.x").alias("_x"))
             .agg(F.count(F.lit(1)).alias("_c")))
+    # one exchange on the group keys serves both the running count (partitioned by
+    # groups + quantile id, a finer clustering) and the final per-group aggregate
+    if groups:
+        cand = cand.repartition(*groups)
     w = Window.partitionBy(*groups, "_k").orderBy(F.col("_x").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     qarr = F.array(*[F.lit(float(probs[n])) for n in names])
@@ -78,19 +89,20 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
               .withColumn("_pos", pos)
               .withColumn("_fl", F.floor("_pos")).withColumn("_ce", F.ceil("_pos"))
               .filter(F.col("_x").isNotNull()))
-    picked = ranked.groupBy(*groups, "_k").agg(
-        F.max(F.when((F.col("_first") <= F.col("_fl")) & (F.col("_fl") <= F.col("_last")), F.col("_x"))).alias("_lo"),
-        F.max(F.when((F.col("_first") <= F.col("_ce")) & (F.col("_ce") <= F.col("_last")), F.col("_x"))).alias("_hi"),
-        F.first("_pos").alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    picked = picked.select(*groups, "_k", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("_q"))
-    out = picked.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_k") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
-    # keep groups that had values but whose quantile rows were all filtered (cannot happen
-    # with a correct bracket) visible as NULL by joining on the bound table's groups
-    if groups:
-        return bounds.select(*groups).join(out, on=groups, how="left")
-    return out
+    hit_lo = (F.col("_first") <= F.col("_fl")) & (F.col("_fl") <= F.col("_last"))
+    hit_hi = (F.col("_first") <= F.col("_ce")) & (F.col("_ce") <= F.col("_last"))
+    aggs = []
+    for i, n in enumerate(names):
+        k = F.col("_k") == i
+        aggs += [F.max(F.when(k & hit_lo, F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when(k & hit_hi, F.col("_x"))).alias(f"_hi{i}"),
+                 F.max(F.when(k, F.col("_pos"))).alias(f"_pos{i}")]
+    picked = ranked.filter(hit_lo | hit_hi).groupBy(*groups, *list(extra)).agg(*aggs)
+    outs = []
+    for i, n in enumerate(names):
+        lo, hi, p = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
+        outs.append((lo + (hi - lo) * (p - F.floor(p))).alias(n))
+    return picked.select(*groups, *outs, *list(extra))
 
 
 def median_of(df: DataFrame, groups, value, name: str = "median", approx: bool = False) -> DataFrame:

@@ -23,10 +23,9 @@ def peer_range(train: DataFrame, rows: DataFrame, spec: PanelSpec, peers=None,
     measured size allows and otherwise plans a shuffled join.
     """
     peers = list(peers or (spec.league, spec.position))
-    y = F.log1p(F.col(spec.target))
-    q = group_quantiles(train, peers, spec.target, {"_p_low": low_q, "_p_high": high_q}, approx=approx)
-    m = train.groupBy(*peers).agg(F.avg(y).alias("_p_mean"))
-    stats = q.join(m, peers, "inner").select(
+    q = group_quantiles(train, peers, spec.target, {"_p_low": low_q, "_p_high": high_q}, approx=approx,
+                        extra={"_p_mean": F.avg(F.log1p(F.col("_v")))})
+    stats = q.select(
         *peers,
         F.col("_p_low").alias(spec.low),
         F.col("_p_high").alias(spec.high),

@@ -17,7 +17,7 @@ class Ctx:
     """Lazily built panel views for one (session, data folder)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, spec: PanelSpec | None = None,
-                 persist_panel: bool = False):
+                 persist_panel: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
         self.spec = spec or default_spec()
         self.persist_panel = persist_panel

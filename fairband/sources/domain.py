@@ -135,6 +135,31 @@ def _noun_map():
     return map_literal(NOUN_CODES)
 
 
+def activity(seasons: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the panel needs from activity in ONE aggregate per entity: salary,
+    market value, identity bridge and the latest season's stats (``max_by`` on the
+    season, which is unique per entity, so the pick is deterministic)."""
+    stats = seasons.withColumns({
+        "appearances": F.col("n_rows").cast("double"), "goals": F.col("n_goals").cast("double"),
+        "assists": F.col("n_assists").cast("double"),
+        "rating": F.col("discount_sum").cast("double") * F.lit(100) / F.col("n_rows")})
+    latest = F.max_by(F.struct(*[F.col(c) for c in ("season", "appearances", "minutes", "goals",
+                                                       "assists", "rating")]), F.col("season"))
+    g = (stats.groupBy("player_pk").agg(
+        F.sum("pay_sum").alias("pay_sum"), F.sum("pay_n").alias("pay_n"),
+        F.max("market_max").alias("market_value_eur"), F.min("min_suppkey").alias("api_football_id"),
+        latest.alias("_l")))
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    return (g.join(sup, F.col("api_football_id") == F.col("s_suppkey"), "left")
+            .join(nat, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .select("player_pk", "api_football_id", F.col("n_name").alias("nationality"),
+                    *[F.col(f"_l.{c}").alias(c) for c in ("season", "appearances", "minutes", "goals",
+                                                           "assists", "rating")],
+                    "market_value_eur",
+                    F.when(F.col("pay_n") > 0, _dec_mean("pay_sum", "pay_n")).alias("gross_annual_eur")))
+
+
 class DomainTables:
     """The four source tables of the reference plus the identity bridge, built lazily."""
 
@@ -147,6 +172,7 @@ class DomainTables:
         self.salaries = salaries(self.rollup)
         self.market = market_values(self.rollup)
         self.identity = identity(spark, sf_dir, self.rollup)
+        self.activity = activity(self.seasons, spark, sf_dir)
 
 
 def latest_stats(stats: DataFrame, key: str = "player_pk", season: str = "season") -> DataFrame:
