@@ -195,3 +195,20 @@ def q_residual_std_model(spark, sf_dir):
     t = Train(spark, sf_dir)
     p = t.rf.transform(t.table)
     return p.agg(F.stddev_pop(F.col(M.LABEL) - F.col("prediction")).alias("residual_std"))
+
+
+@register("path_attribution")
+def q_path_attribution(spark, sf_dir):
+    """Per-row forest attribution; returned with the additivity gap (bias + Σ - prediction)."""
+    t = Train(spark, sf_dir)
+    attr = M.path_attribution(t.rf, t.table, t.spec.key, t.feats, RF_DEPTH)
+    tot = attr.groupBy(t.spec.key).agg(F.sum("contribution").alias("total"))
+    pred = t.rf.transform(t.table).select(t.spec.key, "prediction")
+    return tot.join(pred, t.spec.key).select(t.spec.key, "total", "prediction",
+                                             F.abs(F.col("total") - F.col("prediction")).alias("additivity_gap"))
+
+
+@register("attribution_summary")
+def q_attribution_summary(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    return M.attribution_summary(M.path_attribution(t.rf, t.table, t.spec.key, t.feats, RF_DEPTH), t.spec.key)
