@@ -230,9 +230,17 @@ def regression_report(pred: DataFrame, spec: PanelSpec, model_name: str, split_c
         F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(model_name))
 
 
-def with_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Deterministic fold id in 0..k-1 from the key hash (not partition dependent)."""
-    return df.withColumn("fold", (split_bucket(key) % k).cast("int"))
+def with_folds(df: DataFrame, key: str, k: int = 5, contiguous: bool = True) -> DataFrame:
+    """Fold id in 0..k-1.  ``contiguous=True``: unshuffled contiguous blocks in key order
+    (fold = floor(rank * k / n), ranks from the distributed prefix-sum rank table);
+    otherwise a key hash.  Neither depends on partitioning."""
+    if not contiguous:
+        return df.withColumn("fold", (split_bucket(key) % k).cast("int"))
+    from fairband.operators.analytics import value_rank_table
+    ranks = value_rank_table(df.select(key), key).select(key, (F.col("n_at_or_below") - 1).alias("_rk"))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return df.join(ranks, key, "left").withColumn(
+        "fold", F.least(F.floor(F.col("_rk") * k / n), F.lit(k - 1)).cast("int")).drop("_rk")
 
 
 def cross_validate(estimator, df: DataFrame, grid=None, parallelism: int = 4, seed: int = 42):
