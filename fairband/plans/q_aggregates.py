@@ -405,3 +405,92 @@ def q_missing(spark, sf_dir):
     cols = ["player_pk", "api_football_id", "short_name", "nationality", "season", "appearances",
             "market_value_eur", "gross_annual_eur", "preferred_foot"]
     return A.missing_count(c.panel.select(*cols))
+
+
+@register("avg_rank", with_panel("""
+SELECT player_pk, rank() OVER (ORDER BY minutes) + (count(*) OVER (PARTITION BY minutes) - 1) / 2.0 AS minutes_rank
+FROM trained WHERE minutes IS NOT NULL"""))
+def q_avg_rank(spark, sf_dir):
+    """``avg_rank``: ties share the average 1-based rank (distributed rank table)."""
+    c = Ctx(spark, sf_dir)
+    return A.average_rank(c.trained.filter(F.col("minutes").isNotNull()), "minutes", "minutes_rank") \
+        .select("player_pk", "minutes_rank")
+
+
+@register("first_best", with_panel("""
+SELECT league_name, player_pk, overall FROM (
+  SELECT league_name, player_pk, overall,
+         row_number() OVER (PARTITION BY league_name ORDER BY overall DESC NULLS LAST, player_pk) AS rn
+  FROM panel) WHERE rn = 1"""))
+def q_first_best(spark, sf_dir):
+    """``first_best``: per group the highest metric; the lowest ordinal (key) wins ties."""
+    from fairband.operators.panel import first_best
+    c = Ctx(spark, sf_dir)
+    return first_best(c.panel, ["league_name"], "overall", "player_pk").select("league_name", "player_pk", "overall")
+
+
+_NUMERIC = ["player_pk", "api_football_id", "age", "overall", "international_reputation", "value_eur",
+            "season", "appearances", "minutes", "goals", "assists", "rating", "market_value_eur",
+            "gross_annual_eur"]
+
+
+@register("numeric_columns", with_panel(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n_values FROM panel" for c in _NUMERIC)))
+def q_numeric_columns(spark, sf_dir):
+    """``numeric_columns``: the numeric fields of the panel (chosen from the schema) with
+    their non-null counts in one aggregate."""
+    from fairband.operators.panel import numeric_columns
+    c = Ctx(spark, sf_dir)
+    cols = numeric_columns(c.panel)
+    wide = c.panel.agg(*[F.count(x).alias(x) for x in cols])
+    stack = ", ".join(f"'{x}', `{x}`" for x in cols)
+    return wide.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, n_values)")
+
+
+@register("scalar_functions", with_panel(f"""
+SELECT player_pk,
+       'EUR ' || format('{{:,.0f}}', gross_annual_eur) AS salary_display,
+       'EUR ' || format('{{:,.0f}}', predicted_low_eur) || ' - EUR ' || format('{{:,.0f}}', predicted_high_eur) AS range_display,
+       CASE WHEN predicted_center_eur > 0
+            THEN round_even((predicted_high_eur - predicted_low_eur) / predicted_center_eur * 100, 1) ELSE 0.0 END AS range_width_pct,
+       round_even(1.0 / (1.0 + rating), 3) AS similarity_score,
+       {S('least(greatest(prediction_error_pct, 0.0), 200.0)', 6)} AS clipped_error_pct,
+       coalesce(CASE league_name WHEN 'PROMO' THEN 'PROMOTIONAL' END, league_name) AS league_alias,
+       CASE upper(trim(split_part(player_positions, ',', 1)))
+            WHEN 'GK' THEN 'Goalkeeper' WHEN 'CB' THEN 'Defender' WHEN 'LB' THEN 'Defender'
+            WHEN 'CM' THEN 'Midfielder' WHEN 'CAM' THEN 'Midfielder' WHEN 'RW' THEN 'Attacker'
+            WHEN 'ST' THEN 'Attacker' END AS mapped_position,
+       trim(split_part(player_positions, ',', 1)) || ' and ' || trim(split_part(player_positions, ',', 2)) AS roles,
+       CASE WHEN age <= 23 THEN 'At just ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', still developing'
+            WHEN age <= 26 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', entering the prime years'
+            WHEN age <= 30 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', in the prime years'
+            WHEN age <= 33 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', experienced'
+            ELSE 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', a veteran' END AS age_phrase,
+       CASE WHEN rating * 10 >= 85 THEN 'rated among the elite' WHEN rating * 10 >= 80 THEN 'rated high quality'
+            WHEN rating * 10 >= 75 THEN 'a solid contributor' END AS overall_phrase,
+       CASE WHEN coalesce(international_reputation, 0) >= 5 THEN 'global star'
+            WHEN coalesce(international_reputation, 0) >= 4 THEN 'internationally known'
+            WHEN coalesce(international_reputation, 0) >= 3 THEN 'recognised internationally'
+            WHEN coalesce(international_reputation, 0) >= 2 THEN 'building a reputation'
+            ELSE 'establishing themself' END AS reputation_phrase,
+       'peer_range:36' AS model_version
+FROM scored"""))
+def q_scalar_functions(spark, sf_dir):
+    """§2.8 scalar helpers evaluated over every scored row."""
+    from fairband.functions import scalar as SC
+    c = Ctx(spark, sf_dir)
+    s = c.scored
+    return s.select(
+        "player_pk",
+        SC.fmt_eur("gross_annual_eur").alias("salary_display"),
+        SC.range_display("predicted_low_eur", "predicted_high_eur").alias("range_display"),
+        SC.range_width_pct("predicted_low_eur", "predicted_high_eur", "predicted_center_eur").alias("range_width_pct"),
+        SC.similarity_score("rating").alias("similarity_score"),
+        snap(SC.clip("prediction_error_pct", 0.0, 200.0), 6).alias("clipped_error_pct"),
+        SC.league_alias("league_name", {"PROMO": "PROMOTIONAL"}).alias("league_alias"),
+        SC.map_position("player_positions").alias("mapped_position"),
+        SC.list_phrase("player_positions").alias("roles"),
+        SC.age_phrase("age").alias("age_phrase"),
+        SC.overall_phrase(F.col("rating") * 10).alias("overall_phrase"),
+        SC.reputation_phrase("international_reputation").alias("reputation_phrase"),
+        SC.model_version("peer_range", 36).alias("model_version"))
