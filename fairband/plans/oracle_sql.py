@@ -1,7 +1,7 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
 The CTEs below restate the domain mapping of ``fairband.sources.domain`` in
-SQL.  Money means come from exact DECIMAL sums and every floating output is
+SQL.  Money means come from exact integer-cent sums and every floating output is
 snapped with ``floor(x * 10^d + 0.5) / 10^d`` exactly as on the Spark side.
 """
 
@@ -31,8 +31,8 @@ seasons AS (
          count(*) AS n_rows, sum(l_quantity) AS minutes,
          count(*) FILTER (WHERE l_returnflag = 'R') AS n_goals,
          count(*) FILTER (WHERE l_returnflag = 'A') AS n_assists,
-         sum(CAST(l_discount AS DECIMAL(12,2))) AS discount_sum,
-         sum(CASE WHEN l_shipdate >= {CURRENT_FROM} THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS pay_sum,
+         sum(CAST(floor(l_discount * 100.0 + 0.5) AS BIGINT)) AS discount_cents,
+         sum(CASE WHEN l_shipdate >= {CURRENT_FROM} THEN CAST(floor(l_extendedprice * 100.0 + 0.5) AS BIGINT) END) AS pay_cents,
          count(*) FILTER (WHERE l_shipdate >= {CURRENT_FROM}) AS pay_n,
          max(CASE WHEN l_returnflag = 'R' AND l_shipdate >= {MARKET_FROM} THEN l_extendedprice END) AS market_max,
          min(l_suppkey) AS min_suppkey
@@ -40,14 +40,14 @@ seasons AS (
 stats AS (
   SELECT player_pk, season, CAST(n_rows AS DOUBLE) AS appearances, minutes,
          CAST(n_goals AS DOUBLE) AS goals, CAST(n_assists AS DOUBLE) AS assists,
-         CAST(discount_sum AS DOUBLE) * 100 / n_rows AS rating
+         CAST(discount_cents AS DOUBLE) / n_rows AS rating
   FROM seasons),
 prollup AS (
-  SELECT player_pk, sum(pay_sum) AS pay_sum, sum(pay_n) AS pay_n,
+  SELECT player_pk, sum(pay_cents) AS pay_cents, sum(pay_n) AS pay_n,
          max(market_max) AS market_value_eur, min(min_suppkey) AS api_football_id
   FROM seasons GROUP BY 1),
 salaries AS (
-  SELECT player_pk, CAST(pay_sum AS DOUBLE) / pay_n AS gross_annual_eur FROM prollup WHERE pay_n > 0),
+  SELECT player_pk, CAST(pay_cents AS DOUBLE) / 100.0 / pay_n AS gross_annual_eur FROM prollup WHERE pay_n > 0),
 market AS (SELECT player_pk, market_value_eur FROM prollup WHERE market_value_eur IS NOT NULL),
 ident AS (
   SELECT r.player_pk, r.api_football_id, n.n_name AS nationality

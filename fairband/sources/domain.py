@@ -17,8 +17,8 @@ Role mapping (fixed values of this adapter):
   salary (target) = mean l_extendedprice of lines shipped on/after CURRENT_FROM,
   market value = max l_extendedprice of 'R' lines shipped on/after MARKET_FROM,
   identity bridge = min(l_suppkey) -> supplier -> nation (nationality).
-Means of money are computed from exact DECIMAL sums so every engine gets the
-same double.
+Means of money are computed from exact integer-cent sums (LONG, order
+independent) so every engine gets the same double.
 """
 
 from __future__ import annotations
@@ -42,8 +42,13 @@ def _ts(s: str):
     return F.lit(s).cast("timestamp_ntz")
 
 
-def _dec_mean(amount_dec: str, n: str):
-    return F.col(amount_dec).cast("double") / F.col(n)
+def _cents(c: str):
+    """Exact cents of a 2-decimal amount as LONG: floor(x * 100 + 0.5)."""
+    return F.floor(F.col(c) * F.lit(100.0) + F.lit(0.5))
+
+
+def _cent_mean(cents: str, n: str):
+    return F.col(cents).cast("double") / F.lit(100.0) / F.col(n)
 
 
 def lineitem_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +64,8 @@ def lineitem_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum("l_quantity").alias("minutes"),
                  F.count_if(F.col("l_returnflag") == "R").alias("n_goals"),
                  F.count_if(F.col("l_returnflag") == "A").alias("n_assists"),
-                 F.sum(F.col("l_discount").cast("decimal(12,2)")).alias("discount_sum"),
-                 F.sum(F.when(cur, F.col("l_extendedprice").cast("decimal(18,2)"))).alias("pay_sum"),
+                 F.sum(_cents("l_discount")).alias("discount_cents"),
+                 F.sum(F.when(cur, _cents("l_extendedprice"))).alias("pay_cents"),
                  F.count_if(cur).alias("pay_n"),
                  F.max(F.when(mkt, F.col("l_extendedprice"))).alias("market_max"),
                  F.min("l_suppkey").alias("min_suppkey")))
@@ -74,19 +79,19 @@ def player_stats(seasons: DataFrame) -> DataFrame:
         F.col("minutes"),
         F.col("n_goals").cast("double").alias("goals"),
         F.col("n_assists").cast("double").alias("assists"),
-        (F.col("discount_sum").cast("double") * F.lit(100) / F.col("n_rows")).alias("rating"),
+        (F.col("discount_cents").cast("double") / F.col("n_rows")).alias("rating"),
     )
 
 
 def part_rollup(seasons: DataFrame) -> DataFrame:
     """Per-entity rollup of the season table (salary, market value, identity bridge)."""
     g = seasons.groupBy("player_pk").agg(
-        F.sum("pay_sum").alias("pay_sum"), F.sum("pay_n").alias("pay_n"),
+        F.sum("pay_cents").alias("pay_cents"), F.sum("pay_n").alias("pay_n"),
         F.max("market_max").alias("market_value_eur"),
         F.min("min_suppkey").alias("api_football_id"))
     return g.select(
         "player_pk", "market_value_eur", "api_football_id",
-        F.when(F.col("pay_n") > 0, _dec_mean("pay_sum", "pay_n")).alias("gross_annual_eur"))
+        F.when(F.col("pay_n") > 0, _cent_mean("pay_cents", "pay_n")).alias("gross_annual_eur"))
 
 
 def salaries(rollup: DataFrame) -> DataFrame:
@@ -142,11 +147,11 @@ def activity(seasons: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = seasons.withColumns({
         "appearances": F.col("n_rows").cast("double"), "goals": F.col("n_goals").cast("double"),
         "assists": F.col("n_assists").cast("double"),
-        "rating": F.col("discount_sum").cast("double") * F.lit(100) / F.col("n_rows")})
+        "rating": F.col("discount_cents").cast("double") / F.col("n_rows")})
     latest = F.max_by(F.struct(*[F.col(c) for c in ("season", "appearances", "minutes", "goals",
                                                        "assists", "rating")]), F.col("season"))
     g = (stats.groupBy("player_pk").agg(
-        F.sum("pay_sum").alias("pay_sum"), F.sum("pay_n").alias("pay_n"),
+        F.sum("pay_cents").alias("pay_cents"), F.sum("pay_n").alias("pay_n"),
         F.max("market_max").alias("market_value_eur"), F.min("min_suppkey").alias("api_football_id"),
         latest.alias("_l")))
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
@@ -157,7 +162,7 @@ def activity(seasons: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.col(f"_l.{c}").alias(c) for c in ("season", "appearances", "minutes", "goals",
                                                            "assists", "rating")],
                     "market_value_eur",
-                    F.when(F.col("pay_n") > 0, _dec_mean("pay_sum", "pay_n")).alias("gross_annual_eur")))
+                    F.when(F.col("pay_n") > 0, _cent_mean("pay_cents", "pay_n")).alias("gross_annual_eur")))
 
 
 class DomainTables:
