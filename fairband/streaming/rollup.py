@@ -59,19 +59,40 @@ def stream_score_upsert(spark: SparkSession, sf_dir: str, scored: DataFrame, nam
     """Activity stream (lineitem files) -> touched entities -> rescored rows upserted into a
     versioned cache snapshot (one new folder per micro-batch; the newest folder is current)."""
     base = scratch_path(spark, f"streams/{name}")
-    state = {"current": None}
 
     def sink(batch: DataFrame, epoch: int) -> None:
         touched = batch.groupBy(F.col("l_partkey").alias("player_pk")).agg(
             F.max("l_shipdate").cast("timestamp").alias("computed_at"))
         fresh = (scored.select("player_pk", "predicted_low_eur", "predicted_high_eur", "predicted_center_eur")
                  .join(touched, "player_pk").withColumn("model_version", F.lit(version)))
-        cur = spark.read.parquet(state["current"]) if state["current"] else fresh.limit(0)
-        nxt = f"{base}/snapshot_{epoch:06d}"
-        cache_upsert(cur, fresh).write.mode("overwrite").parquet(nxt)
-        state["current"] = nxt
+        prev = latest_snapshot(spark, base, before_epoch=epoch)
+        cur = spark.read.parquet(prev) if prev else fresh.limit(0)
+        # a retried epoch rewrites its own folder from the previous epoch's snapshot: idempotent
+        cache_upsert(cur, fresh).write.mode("overwrite").parquet(f"{base}/snapshot_{epoch:06d}")
 
     q = (event_stream(spark, sf_dir, "lineitem").writeStream.foreachBatch(sink)
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(state["current"]) if state["current"] else None
+    last = latest_snapshot(spark, base)
+    return spark.read.parquet(last) if last else None
+
+
+def latest_snapshot(spark: SparkSession, base: str, before_epoch: int | None = None) -> str | None:
+    """Newest committed ``snapshot_<epoch>`` folder under ``base`` (listed through the
+    Hadoop file system of the path, so it works on HDFS / object stores and survives
+    a driver restart).  A folder counts once its ``_SUCCESS`` marker exists."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/snapshot_*")) or []
+    best = None
+    for st in found:
+        name = st.getPath().getName()
+        epoch = int(name.split("_")[1])
+        if before_epoch is not None and epoch >= before_epoch:
+            continue
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath().toString() + "/_SUCCESS")):
+            continue
+        if best is None or epoch > best[0]:
+            best = (epoch, st.getPath().toString())
+    return best[1] if best else None
