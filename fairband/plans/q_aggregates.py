@@ -494,3 +494,63 @@ def q_scalar_functions(spark, sf_dir):
         SC.overall_phrase(F.col("rating") * 10).alias("overall_phrase"),
         SC.reputation_phrase("international_reputation").alias("reputation_phrase"),
         SC.model_version("peer_range", 36).alias("model_version"))
+
+
+@register("cume_rank", with_panel("""
+SELECT player_pk, round_even(cume_dist() OVER (ORDER BY market_value_eur) * 100, 1) AS market_cume_pct
+FROM panel WHERE market_value_eur IS NOT NULL"""))
+def q_cume_rank(spark, sf_dir):
+    """``cume_rank``: share of rows at or below each value (distributed prefix sums)."""
+    c = Ctx(spark, sf_dir)
+    base = c.panel.filter(F.col("market_value_eur").isNotNull())
+    return A.percentile_rank(base, "market_value_eur", "market_cume_pct").select("player_pk", "market_cume_pct")
+
+
+@register("latest_per_key", with_panel(f"""
+SELECT player_pk, season, {S('rating', 6)} AS rating FROM latest"""))
+def q_latest_per_key(spark, sf_dir):
+    """``latest_per_key``: newest season per entity (row_number = 1, NULL seasons last)."""
+    from fairband.operators.panel import latest_per_key
+    c = Ctx(spark, sf_dir)
+    out = latest_per_key(c.tables.stats, "player_pk", "season")
+    return out.select("player_pk", "season", snap("rating", 6).alias("rating"))
+
+
+@register("scalar_transforms", with_panel(f"""
+SELECT player_pk,
+       {S('ln(1 + value_eur)', 6)} AS log_value,
+       {S('exp(ln(1 + value_eur)) - 1', 4)} AS value_back,
+       CASE WHEN overall > 0 THEN value_eur / overall ELSE 0.0 END AS value_per_overall,
+       CASE WHEN minutes > 0 THEN goals / (minutes / 90.0) ELSE 0.0 END AS goals_per_90,
+       age * age AS age_squared, overall * international_reputation AS overall_x_reputation,
+       CASE WHEN market_value_eur IS NULL OR isnan(market_value_eur) OR abs(market_value_eur) = 'inf'::DOUBLE
+            THEN 0.0 ELSE market_value_eur END AS market_filled,
+       coalesce(nullif(international_reputation, 0), 1.0) AS level_or_one,
+       {S('CASE WHEN gross_annual_eur > 0 THEN (predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100 ELSE 0.0 END', 6)} AS signed_error_pct,
+       {S('CASE WHEN gross_annual_eur > 0 THEN abs(gross_annual_eur - predicted_center_eur) / gross_annual_eur * 100 END', 6)} AS abs_error_pct,
+       gross_annual_eur >= predicted_low_eur AND gross_annual_eur <= predicted_high_eur AS in_range,
+       round_even(overall, 0) AS overall_rounded,
+       CASE WHEN position = 'Attacker' THEN 'playing in attack' ELSE replace(lower(position) || '_role', '_', ' ') END AS position_label
+FROM scored"""))
+def q_scalar_transforms(spark, sf_dir):
+    """§2.8 numeric helpers: log1p/expm1, safe ratio, per 90, square, product, inf/NaN -> 0,
+    coalesce default, error percentages, in-range, banker's rounding, display names."""
+    from fairband.functions import scalar as SC
+    c = Ctx(spark, sf_dir)
+    s = c.scored
+    return s.select(
+        "player_pk",
+        snap(F.log1p("value_eur"), 6).alias("log_value"),
+        snap(F.expm1(F.log1p("value_eur")), 4).alias("value_back"),
+        SC.safe_ratio("value_eur", "overall").alias("value_per_overall"),
+        SC.per_90("goals", "minutes").alias("goals_per_90"),
+        (F.col("age") * F.col("age")).alias("age_squared"),
+        (F.col("overall") * F.col("international_reputation")).alias("overall_x_reputation"),
+        SC.inf_nan_to_zero("market_value_eur").alias("market_filled"),
+        F.coalesce(F.nullif(F.col("international_reputation"), F.lit(0)), F.lit(1.0)).alias("level_or_one"),
+        snap(SC.signed_error_pct("predicted_center_eur", "gross_annual_eur"), 6).alias("signed_error_pct"),
+        snap(SC.abs_error_pct("gross_annual_eur", "predicted_center_eur"), 6).alias("abs_error_pct"),
+        SC.in_range("gross_annual_eur", "predicted_low_eur", "predicted_high_eur").alias("in_range"),
+        SC.round_half_even("overall", 0).alias("overall_rounded"),
+        SC.humanize_name(F.concat(F.lower("position"), F.lit("_role")),
+                         {"attacker_role": "playing in attack"}).alias("position_label"))

@@ -212,3 +212,19 @@ def q_path_attribution(spark, sf_dir):
 def q_attribution_summary(spark, sf_dir):
     t = Train(spark, sf_dir)
     return M.attribution_summary(M.path_attribution(t.rf, t.table, t.spec.key, t.feats, RF_DEPTH), t.spec.key)
+
+
+@register("feature_contributions")
+def q_feature_contributions(spark, sf_dir):
+    """``feature_contributions`` / ``top_contributions``: per row the 10 most important
+    forest features with value, dataset mean and direction."""
+    from fairband.operators.explain import feature_contributions
+    t = Train(spark, sf_dir)
+    imps = M.importance_rows(t.rf, t.feats)
+    row = t.table.agg(*[F.avg(f).alias(f) for f in t.feats]).first()
+    means = {f: row[f] for f in t.feats}
+    out = feature_contributions(t.table, imps, means, 10)
+    return out.select(t.spec.key, F.posexplode("contributions").alias("rank0", "c")).select(
+        t.spec.key, (F.col("rank0") + 1).alias("rank"), F.col("c.feature").alias("feature"),
+        F.col("c.importance").alias("importance"), F.col("c.value").alias("value"),
+        F.col("c.mean").alias("mean"), F.col("c.direction").alias("direction"))
