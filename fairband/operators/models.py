@@ -7,9 +7,6 @@ source files happened to be split.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -40,10 +37,6 @@ def stable_order(df: DataFrame, key: str, parts: int | None = None) -> DataFrame
     return df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
 
 
-def n_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def linear_model(kind: str, n: int = 1, y_std_pop: float = 1.0, alpha: float | None = None) -> LinearRegression:
     """OLS / ridge / lasso on already standardised inputs.
 
@@ -293,13 +286,3 @@ def importance_rows(model, features) -> list[tuple]:
     order = sorted(range(len(features)), key=lambda i: (-imp[i], features[i]))
     return [(r + 1, features[i], float(imp[i])) for r, i in enumerate(order)]
 
-
-@dataclass
-class FittedRange:
-    model: object
-    features: list
-    scaled: bool = False
-
-
-def fit_pipeline(stages, df):
-    return Pipeline(stages=stages).fit(df)

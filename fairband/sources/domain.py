@@ -180,7 +180,3 @@ class DomainTables:
         self.activity = activity(self.seasons, spark, sf_dir)
 
 
-def latest_stats(stats: DataFrame, key: str = "player_pk", season: str = "season") -> DataFrame:
-    from fairband.operators.panel import latest_per_key
-    return latest_per_key(stats, key, season)
-

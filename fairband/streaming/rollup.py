@@ -35,13 +35,23 @@ def windowed_counts(events: DataFrame, window: str = "1 day", slide: str | None
 
 
 def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "complete") -> str:
-    """Drain the stream (``availableNow``) into a parquet folder; returns the folder."""
+    """Drain the stream (``availableNow``) into a parquet folder; returns the folder.
+
+    ``complete``: each batch rewrites the whole result (state keeps every window;
+    right for bounded replays and tests).  ``append``: only windows closed by the
+    watermark are emitted and their state is dropped, so an unbounded stream runs
+    in bounded memory; each batch lands in its own epoch sub-folder, so a retried
+    epoch overwrites only itself.
+    """
     spark = stream_df.sparkSession
     out = scratch_path(spark, f"streams/{name}/table")
     ckpt = scratch_path(spark, f"streams/{name}/checkpoint")
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        if output_mode == "append":
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        else:
+            batch.write.mode("overwrite").parquet(out)
 
     q = (stream_df.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -49,9 +59,11 @@ def run_to_table(stream_df: DataFrame, name: str, output_mode: str = "complete")
     return out
 
 
-def stream_log_rollup(spark: SparkSession, sf_dir: str, name: str, window: str = "1 day") -> DataFrame:
-    path = run_to_table(windowed_counts(event_stream(spark, sf_dir), window), name)
-    return spark.read.parquet(path)
+def stream_log_rollup(spark: SparkSession, sf_dir: str, name: str, window: str = "1 day",
+                      output_mode: str = "complete", slide: str | None = None) -> DataFrame:
+    path = run_to_table(windowed_counts(event_stream(spark, sf_dir), window, slide), name, output_mode)
+    df = spark.read.parquet(path)
+    return df.drop("epoch") if "epoch" in df.columns else df
 
 
 def stream_score_upsert(spark: SparkSession, sf_dir: str, scored: DataFrame, name: str,
