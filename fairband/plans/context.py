@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ class Ctx:
     """Lazily built panel views for one (session, data folder)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, spec: PanelSpec | None = None,
-                 persist_panel: bool = True):
+                 persist_panel: bool | None = None):
         self.spark, self.sf_dir = spark, sf_dir
         self.spec = spec or default_spec()
+        if persist_panel is None:
+            persist_panel = os.environ.get("FAIRBAND_PERSIST_PANEL", "1") != "0"
         self.persist_panel = persist_panel
 
     @cached_property
