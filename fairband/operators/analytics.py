@@ -203,8 +203,9 @@ def reg_metrics(df: DataFrame, pred: str, actual: str) -> DataFrame:
     """R² on the log1p scale, MAE and RMSE on the money scale, in one pass (+1 scalar)."""
     y, p = F.log1p(F.col(actual)), F.log1p(F.col(pred))
     ybar = df.agg(F.avg(F.log1p(F.col(actual)))).scalar()
+    sst = F.sum((y - ybar) ** 2)
     return df.agg(
-        (F.lit(1.0) - F.sum((y - p) ** 2) / F.sum((y - ybar) ** 2)).alias("r2_log"),
+        (F.lit(1.0) - F.sum((y - p) ** 2) / F.nullif(sst, F.lit(0.0))).alias("r2_log"),
         F.avg(F.abs(F.col(pred) - F.col(actual))).alias("mae"),
         F.sqrt(F.avg((F.col(pred) - F.col(actual)) ** 2)).alias("rmse"),
         F.count(F.lit(1)).alias("n"))
@@ -244,6 +245,21 @@ def residuals_by_group(df: DataFrame, group: str, pred: str, actual: str) -> Dat
 
 # ---------------------------------------------------------------- ranks and correlation
 
+def varying(df: DataFrame, column: str) -> Column:
+    """The column where it has any spread, else NULL.
+
+    Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI mode when a column is
+    constant (pandas returns NaN); feeding NULLs instead yields a NULL
+    correlation.  The spread test is a scalar subquery (merged with its
+    siblings into one aggregate)."""
+    spread = df.agg(F.max(column) > F.min(column)).scalar()
+    return F.when(spread, F.col(column))
+
+
+def safe_corr(df: DataFrame, a: str, b: str) -> Column:
+    return F.corr(varying(df, a), varying(df, b))
+
+
 def value_rank_table(df: DataFrame, value: str) -> DataFrame:
     """Per distinct value: count, rows strictly below and rows at-or-below, computed as a
     distributed prefix sum: range-partition the distinct values, sum inside each
@@ -281,12 +297,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman rho = Pearson correlation of average ranks (pairs with both values)."""
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(base, x, "_rx"), y, "_ry")
-    return ranked.agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.agg(safe_corr(ranked, "_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def corr_to_target(df: DataFrame, columns, target: str, top: int = 20) -> DataFrame:
     """|Pearson| of every column against the target (pairwise complete), strongest first."""
-    wide = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    wide = df.agg(*[safe_corr(df, c, target).alias(c) for c in columns])
     stack = ", ".join(f"'{c}', `{c}`" for c in columns)
     long = wide.selectExpr(f"stack({len(columns)}, {stack}) AS (feature, corr)")
     return (long.withColumn("abs_corr", F.abs("corr")).filter(F.col("corr").isNotNull())
@@ -296,7 +312,7 @@ def corr_to_target(df: DataFrame, columns, target: str, top: int = 20) -> DataFr
 def corr_matrix(df: DataFrame, columns) -> DataFrame:
     """All pairwise Pearson correlations in one aggregate, as tidy (a, b, corr) rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[safe_corr(df, a, b).alias(f"{a}__{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (feature_a, feature_b, corr)")
 

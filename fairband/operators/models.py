@@ -217,7 +217,7 @@ def regression_report(pred: DataFrame, spec: PanelSpec, model_name: str, split_c
     ybar = pred.groupBy(split_col).agg(F.avg(LABEL).alias("_ybar"))
     j = pred.join(ybar, split_col)
     return j.groupBy(split_col).agg(
-        (1 - F.sum((y - p) ** 2) / F.sum((y - F.col("_ybar")) ** 2)).alias("r2"),
+        (1 - F.sum((y - p) ** 2) / F.nullif(F.sum((y - F.col("_ybar")) ** 2), F.lit(0.0))).alias("r2"),
         F.avg(F.abs(e - a)).alias("mae"), F.sqrt(F.avg((e - a) ** 2)).alias("rmse"),
         (F.avg(F.when(a > 0, (F.abs(e - a) / a <= 0.3).cast("double"))) * 100).alias("within_30"),
         F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(model_name))
