@@ -256,8 +256,10 @@ def varying(df: DataFrame, column: str) -> Column:
     return F.when(spread, F.col(column))
 
 
-def safe_corr(df: DataFrame, a: str, b: str) -> Column:
-    return F.corr(varying(df, a), varying(df, b))
+def with_varying(df: DataFrame, columns) -> DataFrame:
+    """Project every column through ``varying`` (in a projection, so inputs that are
+    not deterministic, e.g. rank tables, are allowed) before aggregating."""
+    return df.withColumns({c: varying(df, c) for c in dict.fromkeys(columns)})
 
 
 def value_rank_table(df: DataFrame, value: str) -> DataFrame:
@@ -294,15 +296,24 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman rho = Pearson correlation of average ranks (pairs with both values)."""
+    """Spearman rho = Pearson correlation of average ranks (pairs with both values).
+
+    Average ranks always have mean (n + 1) / 2, so the correlation is computed
+    in the same aggregate from Σ rx·ry, Σ rx², Σ ry² (ranks are half-integers:
+    the products are exact); a constant column gives NULL instead of an error.
+    """
     base = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(base, x, "_rx"), y, "_ry")
-    return ranked.agg(safe_corr(ranked, "_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    g = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_sxy"),
+                   F.sum(F.col("_rx") * F.col("_rx")).alias("_sxx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_syy"))
+    c = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
+    den = F.sqrt(F.nullif((F.col("_sxx") - c) * (F.col("_syy") - c), F.lit(0.0)))
+    return g.select(((F.col("_sxy") - c) / den).alias("spearman"), "n")
 
 
 def corr_to_target(df: DataFrame, columns, target: str, top: int = 20) -> DataFrame:
     """|Pearson| of every column against the target (pairwise complete), strongest first."""
-    wide = df.agg(*[safe_corr(df, c, target).alias(c) for c in columns])
+    wide = with_varying(df, list(columns) + [target]).agg(*[F.corr(c, target).alias(c) for c in columns])
     stack = ", ".join(f"'{c}', `{c}`" for c in columns)
     long = wide.selectExpr(f"stack({len(columns)}, {stack}) AS (feature, corr)")
     return (long.withColumn("abs_corr", F.abs("corr")).filter(F.col("corr").isNotNull())
@@ -312,7 +323,7 @@ def corr_to_target(df: DataFrame, columns, target: str, top: int = 20) -> DataFr
 def corr_matrix(df: DataFrame, columns) -> DataFrame:
     """All pairwise Pearson correlations in one aggregate, as tidy (a, b, corr) rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[safe_corr(df, a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = with_varying(df, columns).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (feature_a, feature_b, corr)")
 
