@@ -65,9 +65,9 @@ def extremes(df: DataFrame, value: str, key: str, n: int = 5) -> DataFrame:
 def compare_side_by_side(spark: SparkSession, df: DataFrame, keys, spec: PanelSpec) -> DataFrame:
     """``compare_side_by_side``: 2..10 keys, request order kept, duplicates kept.
 
-    The request list is bounded (<= 10 rows), so it is broadcast.  Keys that
-    are not in ``df`` raise ``ValueError`` at build time is not possible
-    without an action; they come back with ``found = false`` instead.
+    The request list is bounded (<= 10 rows), so it is broadcast.  Unknown
+    keys are reported lazily as rows with ``found = false`` (the reference
+    answers them with an error), so building the plan needs no action.
     """
     keys = list(keys)
     if not (2 <= len(keys) <= 10):
