@@ -27,8 +27,17 @@ ACCURACY = 10000
 MARGIN = 4
 
 
+def _interp_sorted(arr, n, q: float):
+    pos = F.lit(float(q)) * (n - 1)
+    fl, ce = F.floor(pos), F.ceil(pos)
+    lo = F.element_at(arr, (fl + 1).cast("int"))
+    hi = F.element_at(arr, (ce + 1).cast("int"))
+    return lo + (hi - lo) * (pos - fl)
+
+
 def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = False,
-                    accuracy: int = ACCURACY, extra: dict | None = None) -> DataFrame:
+                    accuracy: int = ACCURACY, extra: dict | None = None,
+                    small_group_rows: int | None = None) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (name -> q in [0, 1]).
 
     ``value`` may be a column name or a Column.  NULL values are ignored; a
@@ -36,6 +45,12 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
     maps output names to aggregate Columns over ``_v`` (the value) that ride
     along in the first pass (e.g. a mean), saving a separate aggregate + join.
     ``approx=True`` returns the one-pass ``percentile_approx`` answer instead.
+
+    Size check: one cheap aggregate measures the largest group.  When no group
+    exceeds ``small_group_rows`` (default ``2 * accuracy``) each group's sorted
+    values (a proven-bounded array) give the order statistics in a single
+    aggregate; otherwise the bracket algorithm above runs, so a hot group never
+    lands whole in one task.
     """
     groups = list(groups)
     extra = extra or {}
@@ -47,6 +62,17 @@ def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = Fa
             *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names],
             *[c.alias(k) for k, c in extra.items()])
 
+    limit = small_group_rows if small_group_rows is not None else 2 * accuracy
+    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")) if groups else \
+        base.agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= limit:
+        g = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"),
+                                      F.array_sort(F.collect_list("_v")).alias("_s"),
+                                      *[c.alias(k) for k, c in extra.items()])
+        return g.select(*groups, *[_interp_sorted(F.col("_s"), F.col("_n"), probs[n]).alias(n) for n in names],
+                        *list(extra))
+
     eps = MARGIN / accuracy
     brackets = []
     for n in names:

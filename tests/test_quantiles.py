@@ -32,3 +32,15 @@ def test_value_rank_table_prefix_sums(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v int").repartition(3)
     got = {r["v"]: (r["n_equal"], r["n_at_or_below"]) for r in value_rank_table(df, "v").collect()}
     assert got == {1: (3, 3), 3: (2, 5), 5: (1, 6), 9: (1, 7)}
+
+
+def test_small_and_bracket_paths_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g in range(4) for v in np.round(rng.normal(0, 1, 300), 2)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"a": 0.1, "b": 0.5, "c": 0.9}
+    fast = {r["g"]: r for r in group_quantiles(df, ["g"], "v", probs).collect()}
+    slow = {r["g"]: r for r in group_quantiles(df, ["g"], "v", probs, small_group_rows=0, accuracy=50).collect()}
+    for g in range(4):
+        for n in probs:
+            assert fast[g][n] == slow[g][n]
