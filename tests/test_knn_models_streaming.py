@@ -69,3 +69,18 @@ def test_stream_append_mode_emits_only_closed_windows(spark, sf_dir):
     got = {(r.w.start, r.event_type): r.n for r in s.collect()}
     # every emitted window is final and equals the batch answer; the still-open tail is not emitted
     assert got and all(batch[k] == v for k, v in got.items()) and len(got) <= len(batch)
+
+
+def test_latest_snapshot_skips_uncommitted_and_current_epoch(spark):
+    import uuid
+    from fairband.session import scratch_path
+    from fairband.streaming.rollup import latest_snapshot
+    base = scratch_path(spark, "t_snap_" + uuid.uuid4().hex[:6])
+    df = spark.range(3)
+    df.write.parquet(f"{base}/snapshot_000000")
+    df.write.parquet(f"{base}/snapshot_000001")
+    # an epoch that died mid-write: files but no _SUCCESS marker
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/snapshot_000002")
+    assert latest_snapshot(spark, base).endswith("snapshot_000001")
+    assert latest_snapshot(spark, base, before_epoch=1).endswith("snapshot_000000")
+    assert latest_snapshot(spark, base + "_missing") is None
