@@ -17,10 +17,14 @@ from fairband.spec import PanelSpec
 
 
 def dec_mean(col: str, scale: int) -> Column:
-    """Exact mean of values with ``scale`` decimals (DECIMAL sum / count): order-independent."""
+    """Exact mean of values with ``scale`` decimals: the sum of ``x * 10^scale`` rounded to
+    LONG is exact and order-independent (no wide-DECIMAL arithmetic), then
+    ``(sum / 10^scale) / n`` in double — the same double as a DECIMAL sum would give."""
     c = F.col(col)
     n = F.count(c)
-    return F.when(n > 0, F.sum(c.cast(f"decimal(24,{scale})")).cast("double") / n)
+    unit = float(10 ** scale)
+    scaled = F.floor(c * F.lit(unit) + F.lit(0.5))
+    return F.when(n > 0, F.sum(scaled).cast("double") / F.lit(unit) / n)
 
 
 def _join_groups(left: DataFrame, right: DataFrame, groups) -> DataFrame:
