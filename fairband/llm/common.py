@@ -44,7 +44,8 @@ def running(df: DataFrame, value: str, within: list[str], cells: list[str], orde
     Rows are ordered by ``cells`` and then ``order`` inside each ``within`` group.
     The cells take few distinct values however large the table is: their totals
     give every cell its offset, and the exact running sum is made inside each
-    cell, so no task sees more than one cell's rows.
+    cell, so no task sees more than one cell's rows.  ``within`` and ``cells`` hold
+    no nulls.
     """
     keys = [*within, *cells]
     before = Window.partitionBy(*within).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,17 +53,7 @@ def running(df: DataFrame, value: str, within: list[str], cells: list[str], orde
                .select(*keys, F.coalesce(F.sum("_cell_total").over(before), F.lit(0)).alias("_offset")))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (df.withColumn("_inside", F.sum(value).over(inside))
-            .join(offsets.withColumnsRenamed({k: f"_o_{k}" for k in keys}),
-                  _all([F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]))
-            .withColumn(name, F.col("_inside") + F.col("_offset"))
-            .drop("_inside", "_offset", *[f"_o_{k}" for k in keys]))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+            .join(offsets, keys).withColumn(name, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset"))
 
 
 def with_group_facts(rows: DataFrame, key: str, salt: Column, facts: dict[str, tuple], salts: int = 64) -> DataFrame:
