@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Hand rows to Python workers in batches of about ``size`` bytes, however long the texts are."""
+def python_workers(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Get Python workers ready: batches of about ``size`` bytes, however long the texts are, and this package.
+
+    Where the workers' module path does not hold the package already (``PYTHONPATH``
+    or the working folder), Spark sends it to them once.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if root in {Path.cwd(), *map(Path, os.environ.get("PYTHONPATH", "").split(os.pathsep))} or getattr(context, "_fairband_sent", False):
+        return
+    package = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "fairband"), "zip", root, "fairband")
+    context.addPyFile(package)
+    context._fairband_sent = True
 
 
 def upper_63(value: Column) -> Column:

@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import byte_bpe, exact_dedup, mixing, sharding
+from fairband.llm import byte_bpe, exact_dedup, mixing, sharding, toxicity
 from fairband.llm.common import load
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"), toxicity.remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(load(spark, sf_dir, "documents", "doc_id", "text"),
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -32,6 +40,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_sharding": op7_sharding,
