@@ -94,13 +94,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     does not name one row) are told apart by their text once more.
     """
     kept = written(exact_duplicates(docs, id_col, text_col, **options).filter("kept")
-                   .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_text")), "dedup-kept")
-    shared = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
+                   .select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_text")), "dedup-kept")
+    shared = docs.groupBy(F.col(id_col).alias("__kept_id")).agg(F.count("*").alias("__rows")).filter("__rows > 1").drop("__rows")
+    same = F.col(id_col).eqNullSafe(F.col("__kept_id"))
     plain = docs.join(shared, same, "left_anti").join(kept.hint("shuffle_hash"), same, "left_semi")
-    told_apart = (docs.join(shared, same, "left_semi").withColumn("_sha", F.sha2(lower_ascii(F.col(text_col)), 256))
-                  .join(kept, same & (F.col("_sha") == F.col("_text")), "left_semi"))
-    return plain.unionByName(told_apart.dropDuplicates([id_col, "_sha"]).drop("_sha"))
+    told_apart = (docs.join(shared, same, "left_semi").withColumn("__own_text", F.sha2(lower_ascii(F.col(text_col)), 256))
+                  .join(kept, same & (F.col("__own_text") == F.col("__kept_text")), "left_semi"))
+    return plain.unionByName(told_apart.dropDuplicates([id_col, "__own_text"]).drop("__own_text"))
 
 
 QUERY_SQL = """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import byte_bpe, exact_dedup, mixing, sharding, toxicity
+from fairband.llm import ann, byte_bpe, exact_dedup, mixing, quality, sharding, substring_dedup, toxicity
 from fairband.llm.common import load
 
 
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(load(spark, sf_dir, "documents", "doc_id", "text"), shards=8)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
@@ -39,12 +43,28 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    forest = quality.fit(docs, load(spark, sf_dir, "labels", "doc_id", "quality"), toxicity.remainder("doc_id", 4) != 2)
+    return quality.score(docs, forest).select(
+        "doc_id", (toxicity.remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_ann": op10_ann,
 }
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
