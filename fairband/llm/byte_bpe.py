@@ -11,6 +11,7 @@ assembled from the encoded pieces.  No text is shuffled.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm.common import small_batches
+from fairband.llm.common import python_workers
 
 SPAN = 200_000  # pieces looked at together
 CACHED = 300_000  # encoded pieces a worker remembers
@@ -48,31 +49,45 @@ class Vocabulary:
                 left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << SHIFT | right] = rank
-        self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        single = [bytes([b]) for b in range(256)]
+        self.byte_ids = np.array([self.ids[b] for b in single])
+        self.byte_pairs = np.array([self.ids.get(a + b, -1) for a in single for b in single])
+        table = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        self.lengths = np.array([len(t) for t in table])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, "<u4")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.arange(lengths.sum()) + np.repeat(self.offsets[ids] - (ends - lengths), lengths)
+        return self.blob[at].tobytes()
 
 
 def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
     """Token ids of each word: always the lowest rank first, leftmost first among equals."""
-    pairs, single = vocabulary.pairs, vocabulary.bytes
-    token: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    owner: list[int] = []
-    starts: list[int] = []
-    index: dict[int, list[int]] = {}
-    for w, word in enumerate(words):
-        at = len(token)
-        starts.append(at)
-        ids = [single[b] for b in word]
-        token += ids
-        owner += [w] * len(ids)
-        after += range(at + 1, at + len(ids) + 1)
-        before += range(at - 1, at + len(ids) - 1)
-        before[at] = after[-1] = -1
-        for i in range(len(ids) - 1):
-            rank = pairs.get(ids[i] << SHIFT | ids[i + 1])
-            if rank is not None:
-                index.setdefault(rank, []).append(at + i)
+    if not words:
+        return []
+    lengths = np.array([len(w) for w in words])
+    ends = np.cumsum(lengths)
+    corpus = np.frombuffer(b"".join(words), np.uint8)
+    token = vocabulary.byte_ids[corpus].tolist()
+    after = np.arange(1, len(corpus) + 1)
+    after[ends - 1] = -1
+    before = np.arange(-1, len(corpus) - 1)
+    before[ends - lengths] = -1
+    owner = np.repeat(np.arange(len(words)), lengths)
+    # the rank that each position and its right neighbour would merge to (-1: none)
+    merge = np.full(len(corpus), -1)
+    merge[:-1] = vocabulary.byte_pairs[corpus[:-1].astype(np.int32) << 8 | corpus[1:]]
+    merge[ends - 1] = -1
+    found = np.flatnonzero(merge >= 0)
+    by_rank = found[np.argsort(merge[found], kind="stable")]
+    ranks, first = np.unique(merge[by_rank], return_index=True)
+    index = dict(zip(ranks.tolist(), (x.tolist() for x in np.split(by_rank, first[1:])))) if len(found) else {}
+    after, before, owner, merge = after.tolist(), before.tolist(), owner.tolist(), merge.tolist()
+    pair = vocabulary.pairs.get
     heap = list(index)
     heapify(heap)
     while heap:
@@ -83,35 +98,44 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
         positions.sort()
         waiting, later = -1, []
         for p in positions:
-            if owner[p] == waiting:
+            if merge[p] != rank:
+                continue  # a neighbour merged meanwhile
+            if waiting >= 0 and owner[p] == waiting:
                 later.append(p)
                 continue
-            q = after[p]
-            if q < 0 or token[p] < 0 or pairs.get(token[p] << SHIFT | token[q]) != rank:
-                continue  # a neighbour merged meanwhile
+            q, left = after[p], before[p]
             end = after[q]
-            token[p], token[q], after[p] = rank, -1, end
-            touched = []
-            if before[p] >= 0:
-                touched.append((before[p], pairs.get(token[before[p]] << SHIFT | rank)))
+            token[p], after[p], merge[q] = rank, end, -1
             if end >= 0:
                 before[end] = p
-                touched.append((p, pairs.get(rank << SHIFT | token[end])))
-            for at, new in touched:
-                if new is not None:
-                    if new not in index:
-                        index[new] = []
+                new = merge[p] = pair(rank << SHIFT | token[end], -1)
+                if new >= 0:
+                    if (at := index.get(new)) is None:
+                        index[new] = [p]
                         heappush(heap, new)
-                    index[new].append(at)
+                    else:
+                        at.append(p)
                     if new < rank:
                         waiting = owner[p]  # this word goes on with the lower rank first
+            else:
+                merge[p] = -1
+            if left >= 0:
+                new = merge[left] = pair(token[left] << SHIFT | rank, -1)
+                if new >= 0:
+                    if (at := index.get(new)) is None:
+                        index[new] = [left]
+                        heappush(heap, new)
+                    else:
+                        at.append(left)
+                    if new < rank:
+                        waiting = owner[p]
         if later:
             if rank not in index:
                 index[rank] = []
                 heappush(heap, rank)
             index[rank] += later
     out = []
-    for p in starts:
+    for p in (ends - lengths).tolist():
         ids = []
         while p >= 0:
             ids.append(token[p])
@@ -125,6 +149,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")  # the same on ASCII once in brackets
+        plain = re.sub(r"(?<!\[)(?<!\\s)(?<!Z)(A-Za-z|0-9)(?=\+)", r"[\1]", plain)
+        self.plain = re.compile(plain, re.ASCII) if r"\p" not in plain else self.pattern
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: Iterable[str]) -> None:
@@ -152,13 +179,14 @@ class Encoder:
         """Packed ids of each text, in blocks of about ``SPAN`` pieces; a long text is a block of its own spans."""
         block, held = [], 0
         for text in texts:
+            pattern = self.plain if text.isascii() else self.pattern
             if len(text) > 4 * SPAN:
                 yield from self._block(block)
                 block, held = [], 0
-                matches = (m.group() for m in self.pattern.finditer(text))
+                matches = (m.group() for m in pattern.finditer(text))
                 yield b"".join(self._block([span])[0] for span in iter(lambda: list(islice(matches, SPAN)), []))
                 continue
-            pieces = self.pattern.findall(text)
+            pieces = pattern.findall(text)
             block.append(pieces)
             held += len(pieces)
             if held >= SPAN:
@@ -186,7 +214,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
     replaced; other columns pass through untouched, empty tables stay empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_workers(spark)
     rank_file = spark.sparkContext.broadcast(read_ranks(rank_path))
 
     @F.pandas_udf("binary")
@@ -201,15 +229,14 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
 def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add ``bytes_col``: the bytes that the packed ids of ``ids_col`` stand for (null ids: no bytes)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_workers(spark)
     rank_file = spark.sparkContext.broadcast(read_ranks(rank_path))
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = _encoder(rank_file.value, "").vocabulary.tokens
+        vocabulary = _encoder(rank_file.value, "").vocabulary
         for packed in batches:
-            yield pd.Series([b"".join([tokens[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in packed],
-                            dtype=object)
+            yield pd.Series([vocabulary.decode(x) for x in packed], dtype=object)
 
     return docs.withColumn(bytes_col, decoded(F.coalesce(F.col(ids_col), F.lit(b""))))
 
