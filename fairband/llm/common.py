@@ -86,3 +86,48 @@ def with_group_facts(rows: DataFrame, key: str, salt: Column, facts: dict[str, t
                                      F.collect_set("_salt").alias("_salts"))
               .select(key, F.explode("_salts").alias("_salt"), *facts))
     return rows.join(groups, [key, "_salt"]).drop("_salt")
+
+
+BLOCK_BITS = 32768  # bits of one built-in bitmap
+MOST_FILTER_BITS = 1 << 28  # 32 MB: bounds every filter that is broadcast
+
+
+def filter_blocks(rows: int, bits_per_row: int = 16, max_filter_bits: int = MOST_FILTER_BITS) -> int:
+    """Blocks of a Bloom filter for ``rows`` keys, never more than ``max_filter_bits`` in all."""
+    return max(1, min(rows * bits_per_row, max_filter_bits) // BLOCK_BITS)
+
+
+def filter_block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def filter_bits(key: Column, hashes: int) -> list[Column]:
+    """The bits of a key in its block (up to four)."""
+    spread = F.xxhash64(key, F.lit(1))
+    return [F.pmod(F.shiftrightunsigned(spread, 16 * i), F.lit(BLOCK_BITS)).cast("int") for i in range(hashes)]
+
+
+def filter_bitmaps(keys: DataFrame, key: Column, blocks: int, hashes: int, least_hits: int = 1) -> DataFrame:
+    """Per block the bitmap of the bits that ``least_hits`` or more rows hit: ``(block, bitmap)``, 4 KB each."""
+    # one offset per block and bit; the built-in bitmap buckets count from 1
+    position = F.explode(F.array(*[filter_block(key, blocks) * BLOCK_BITS + b + 1 for b in filter_bits(key, hashes)]))
+    hit = keys.select(position.alias("position")).groupBy("position").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least_hits)
+    return (hit.groupBy((F.bitmap_bucket_number("position") - 1).alias("block"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap")))
+
+
+def filter_hit(bitmap: Column, bits: list[Column]) -> Column:
+    """Whether all bits are set; false where there is no bitmap."""
+    out = bitmap.isNotNull()
+    for bit in bits:
+        byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        out = out & (F.getbit(byte, F.pmod(bit, F.lit(8))) == 1)
+    return F.coalesce(out, F.lit(False))
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, hashes: int = 3) -> DataFrame:
+    """The rows whose ``key`` is among ``keys``, and some others: a look at a bounded filter before a join."""
+    blocks = filter_blocks(keys.count())
+    bitmaps = filter_bitmaps(keys, F.col(key), blocks, hashes).withColumnsRenamed({"block": "__block", "bitmap": "__bitmap"})
+    return (rows.join(F.broadcast(bitmaps), filter_block(F.col(key), blocks) == F.col("__block"))
+            .filter(filter_hit(F.col("__bitmap"), filter_bits(F.col(key), hashes))).drop("__block", "__bitmap"))

@@ -15,9 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairband.llm.common import with_group_facts, written
-
-BLOCK_BITS = 32768  # bits of one built-in bitmap
+from fairband.llm.common import (MOST_FILTER_BITS, filter_bitmaps, filter_bits, filter_block, filter_blocks, filter_hit,
+                                 with_group_facts, written)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -27,28 +26,8 @@ def lower_ascii(text: Column) -> Column:
             .otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase)))
 
 
-def _bits(hashes: int) -> list[Column]:
-    mixed = F.xxhash64("digest", F.lit(1))
-    return [F.pmod(F.shiftrightunsigned(mixed, 16 * i), F.lit(BLOCK_BITS)).cast("int") for i in range(hashes)]
-
-
-def possibly_repeated(keys: DataFrame, blocks: int, hashes: int) -> DataFrame:
-    """Per filter block the bitmap of the bits that two or more rows hit: ``(block, bitmap)``."""
-    # one offset per block and bit; the built-in bitmap buckets count from 1
-    position = F.explode(F.array(*[F.col("block") * BLOCK_BITS + b + 1 for b in _bits(hashes)]))
-    twice = (keys.select(position.alias("position")).groupBy("position").agg(F.count("*").alias("hits"))
-             .filter("hits >= 2"))
-    return (twice.groupBy((F.bitmap_bucket_number("position") - 1).alias("block"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap")))
-
-
-def _bit_is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(bit, F.lit(8))) == 1
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16,
-                     hashes: int = 3, max_filter_bits: int = 1 << 28, salts: int = 64) -> DataFrame:
+                     hashes: int = 3, max_filter_bits: int = MOST_FILTER_BITS, salts: int = 64) -> DataFrame:
     """Groups of texts that are identical after lower-casing A-Z only.
 
     Returns one row per input row: ``id_col``, ``keep_id`` (largest id of the
@@ -65,14 +44,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(id_col).alias("id"),
         F.unhex(F.sha2(lower_ascii(F.col(text_col)), 256)).alias("digest"),
         F.monotonically_increasing_id().alias("row")), "dedup-keys")
-    blocks = max(1, min(keys.count() * bits_per_row, max_filter_bits) // BLOCK_BITS)
-    keys = keys.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)))
-    bitmaps = possibly_repeated(keys, blocks, hashes)  # at most blocks x 4 KB
-    probed = keys.join(F.broadcast(bitmaps), "block", "left")
-    hit = F.lit(True)
-    for bit in _bits(hashes):
-        hit = hit & _bit_is_set(F.col("bitmap"), bit)
-    probed = probed.select("id", "digest", "row", F.coalesce(hit, F.lit(False)).alias("maybe"))
+    blocks, digest = filter_blocks(keys.count(), bits_per_row, max_filter_bits), F.col("digest")
+    repeated = filter_bitmaps(keys, digest, blocks, hashes, least_hits=2)  # at most blocks x 4 KB
+    probed = (keys.withColumn("block", filter_block(digest, blocks)).join(F.broadcast(repeated), "block", "left")
+              .select("id", "digest", "row", filter_hit(F.col("bitmap"), filter_bits(digest, hashes)).alias("maybe")))
 
     unique = probed.filter(~F.col("maybe")).select(
         "id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
@@ -81,9 +56,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = with_group_facts(
         rest.withColumnsRenamed({"best": "_own", "group_size": "_one"}), "digest", F.xxhash64("row"),
         {"best": (F.max, "_own", F.max), "group_size": (F.sum, "_one", F.sum)}, salts)
-    repeated = grouped.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size",
+    regrouped = grouped.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size",
                               (F.col("row") == F.col("best.row")).alias("kept"))
-    return unique.unionByName(repeated).select(
+    return unique.unionByName(regrouped).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import ann, byte_bpe, exact_dedup, mixing, quality, sharding, substring_dedup, toxicity
+from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, quality, sharding, substring_dedup, toxicity
 from fairband.llm.common import load
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels", "doc_id", "toxic"), toxicity.remainder("doc_id", 5) != 0)
@@ -29,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(load(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -57,9 +65,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 ORACLE: dict[str, str] = {
+    "op1_lm_scoring": lm_scoring.QUERY_SQL,
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
     "op8_mixing": mixing.QUERY_SQL,
 }

@@ -106,7 +106,7 @@ class Scorer:
 
     def token_scores(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        new = set(tokens) - known.keys()
+        new = [w for w in set(tokens) if w not in known]
         if new:
             if len(known) > REMEMBERED:
                 known.clear()
@@ -129,7 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int,
     lot = F.xxhash64("_id", F.lit("sample"))
     chosen = [one.filter(F.col("label") == k).orderBy(lot, "_id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 x per_class rows of two numbers
-    return docs.join(sample, F.col(id_col) == F.col("_id")).select(
+    return docs.select(id_col, text_col).join(sample, F.col(id_col) == F.col("_id")).select(
         F.col("_id").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
 
 
