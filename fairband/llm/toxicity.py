@@ -240,15 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 10_
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-          significance: float = 0.05) -> DataFrame:
-    """Score every whole text: ``id_col``, ``score`` (0 to 1) and ``passages``.
-
-    ``passages`` are the maximal segments expected less than ``significance`` times
-    by chance, as structs of first token, token after the last, and score.  Null
-    and empty texts have no tokens and get the score of no evidence.  Other columns
-    are not read; repeated rows are scored alike; an empty table stays empty.
-    """
+def _scorer(docs: DataFrame, model: Model, text: Column, significance: float) -> Column:
     python_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     most = -math.log(significance)
@@ -267,10 +259,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                                           if model.excess(s, len(tokens)) > most]))
             yield pd.DataFrame(out, columns=["score", "passages"])
 
-    return (docs.select(F.col(id_col).alias("_id"), scored(F.coalesce(F.col(text_col), F.lit(""))).alias("_scored"))
+    return scored(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+          significance: float = 0.05) -> DataFrame:
+    """Score every whole text: ``id_col``, ``score`` (0 to 1) and ``passages``.
+
+    ``passages`` are the maximal segments expected less than ``significance`` times
+    by chance, as structs of first token, token after the last, and score.  Null
+    and empty texts have no tokens and get the score of no evidence.  Other columns
+    are not read; repeated rows are scored alike; an empty table stays empty.
+    """
+    return (docs.select(F.col(id_col).alias("_id"), _scorer(docs, model, F.col(text_col), significance).alias("_scored"))
             .select(F.col("_id").alias(id_col), "_scored.score", "_scored.passages"))
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns; nothing is shuffled."""
+    return docs.filter(_scorer(docs, model, F.col(text_col), 0.05)["score"] < limit)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id's decimal text, modulo ``by``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
