@@ -84,6 +84,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix with all their columns: a document taken twice is there twice.
+
+    Rows that repeat an id are as often in the mix as the one of them taken most often.
+    """
+    copies = written(mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+                     .groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__copies")), "mix-copies")
+    return (docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
+            .withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns))
+
+
 QUERY_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
