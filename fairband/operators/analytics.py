@@ -13,20 +13,10 @@ from pyspark.sql import functions as F
 
 from fairband.functions.scalar import range_check_ok, range_distance_pct, safe_ratio
 from fairband.operators.quantiles import group_quantiles
+from fairband.session import materialize
 from fairband.spec import PanelSpec
 
 
-def dec_mean(col: str, scale: int) -> Column:
-    """Exact mean of values with ``scale`` decimals: the sum of ``x * 10^scale`` rounded to
-    LONG is exact and order-independent (no wide-DECIMAL arithmetic), then
-    ``(sum / 10^scale) / n`` in double — the same double as a DECIMAL sum would give."""
-    c = F.col(col)
-    n = F.count(c)
-    unit = float(10 ** scale)
-    scaled = F.floor(c * F.lit(unit) + F.lit(0.5))
-    return F.when(n > 0, F.sum(scaled).cast("double") / F.lit(unit) / n)
-
-
 def _join_groups(left: DataFrame, right: DataFrame, groups) -> DataFrame:
     """Attach per-group results; with no groups both sides are one row and the right
     side's columns become scalar subqueries (no join at all)."""
@@ -53,7 +43,7 @@ def league_stats(df: DataFrame, spec: PanelSpec) -> DataFrame:
         F.count(F.lit(1)).alias("n_players"),
         F.avg(a).alias("mean_salary"), F.min(a).alias("min_salary"), F.max(a).alias("max_salary"),
         F.stddev_samp(a).alias("std_salary"),
-        dec_mean(spec.overall, 1).alias("mean_overall"),
+        F.avg(spec.overall).alias("mean_overall"),
         top.alias("_top"),
         (F.avg(F.coalesce(F.col("range_accuracy_result") & a.isNotNull(), F.lit(False)).cast("double"))
          * 100).alias("range_accuracy_pct"),
@@ -77,7 +67,7 @@ def position_stats(df: DataFrame, spec: PanelSpec) -> DataFrame:
         (F.avg(F.when(F.col(spec.target).isNotNull(),
                       F.coalesce(F.col("range_accuracy_result"), F.lit(False)).cast("double"))) * 100)
         .alias("range_accuracy_pct"),
-        dec_mean(spec.age, 0).alias("mean_age"))
+        F.avg(spec.age).alias("mean_age"))
     med = group_quantiles(base, [spec.position], "_v", {"median_salary": 0.5})
     out = _join_groups(g.filter(F.col("n_valued") > 0), med, [spec.position])
     return out.orderBy(F.col("median_salary").desc_nulls_last(), F.col(spec.position))
@@ -119,7 +109,7 @@ def overview(df: DataFrame, spec: PanelSpec) -> DataFrame:
                F.avg(a).alias("mean_salary"), F.min(a).alias("min_salary"),
                F.max(a).alias("max_salary"),
                F.when(F.count(a) > 1, F.stddev_samp(a)).otherwise(F.lit(0.0)).alias("std_salary"),
-               dec_mean(spec.age, 0).alias("mean_age"), F.min(spec.age).alias("min_age"),
+               F.avg(spec.age).alias("mean_age"), F.min(spec.age).alias("min_age"),
                F.max(spec.age).alias("max_age"),
                F.countDistinct(spec.league).alias("n_leagues"),
                F.countDistinct(spec.position).alias("n_positions"))
@@ -127,6 +117,23 @@ def overview(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return attach_scalars(g, med)
 
 
+def overview_groups(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The per-league and per-position parts of the overview as tidy rows.
+
+    Leagues report the target; positions fall back to the predicted center and
+    report mean and median only."""
+    parts = []
+    for grouping, column, value in (("league", spec.league, F.col(spec.target)),
+                                    ("position", spec.position, F.coalesce(F.col(spec.target), F.col(spec.center)))):
+        base = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("name"), value.cast("double").alias("_v"))
+        edge = lambda agg, own=grouping == "league": agg if own else F.lit(None).cast("double")
+        g = base.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean_salary"),
+                                     edge(F.min("_v")).alias("min_salary"), edge(F.max("_v")).alias("max_salary"))
+        parts.append(_join_groups(g, group_quantiles(base, ["name"], "_v", {"median_salary": 0.5}), ["name"])
+                     .select(F.lit(grouping).alias("grouping"), "name", "n", "mean_salary", "median_salary", "min_salary", "max_salary"))
+    return parts[0].unionByName(parts[1])
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, quartiles (exact), max of one column."""
     c = F.col(column)
@@ -267,21 +274,20 @@ def with_varying(df: DataFrame, columns) -> DataFrame:
 
 
 def value_rank_table(df: DataFrame, value: str) -> DataFrame:
-    """Per distinct value: count, rows strictly below and rows at-or-below, computed as a
-    distributed prefix sum: range-partition the distinct values, sum inside each
-    partition, then add the (tiny, one row per partition) offsets of earlier partitions."""
+    """Per distinct value: count and rows at-or-below, as a distributed prefix sum.
+
+    The distinct values are range-partitioned once and written, with the number
+    of their range, to the shared folder; sums inside the ranges and the offsets of
+    earlier ranges (one row each) both read that table, so they always agree,
+    whatever is cached, merged or recomputed."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counts.repartitionByRange(value).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_cum_local", F.sum("_c").over(Window.partitionBy("_pid").orderBy(value)
-                                       .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = ranged.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    offsets = totals.withColumn(
-        "_off", F.coalesce(F.sum("_t").over(Window.orderBy("_pid")
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    return out.select(value, F.col("_c").alias("n_equal"),
-                      (F.col("_cum_local") + F.col("_off")).alias("n_at_or_below"))
+    ranged = materialize(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "rank-ranges")
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_range").agg(F.sum("_c").alias("_t"))
+               .select("_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off")))
+    return (ranged.withColumn("_inside", F.sum("_c").over(inside)).join(F.broadcast(offsets), "_range")
+            .select(value, F.col("_c").alias("n_equal"), (F.col("_inside") + F.col("_off")).alias("n_at_or_below")))
 
 
 def percentile_rank(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:

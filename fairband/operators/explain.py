@@ -10,14 +10,14 @@ from fairband.functions.scalar import (age_phrase, humanize_name, list_phrase, o
 
 # Display names for features (our own wording; unknown names fall back to spaces).
 DISPLAY_NAMES = {
-    "overall": "overall rating", "age": "age", "international_reputation": "reputation",
-    "value_eur": "estimated value", "market_value_eur": "market valuation",
-    "appearances": "appearances", "minutes": "minutes played", "goals": "goals",
-    "assists": "assists", "rating": "average rating", "log_value_eur": "estimated value",
-    "log_market_value": "market valuation", "goals_per_90": "goals per 90 minutes",
-    "assists_per_90": "assists per 90 minutes", "goal_contributions": "goal contributions",
-    "age_squared": "career stage", "overall_x_reputation": "rating combined with reputation",
-    "value_per_overall": "value relative to rating", "market_to_value_ratio": "market to estimate ratio",
+    "overall": "rating", "age": "years of age", "international_reputation": "renown",
+    "value_eur": "listed value", "market_value_eur": "market price",
+    "appearances": "matches", "minutes": "time on the pitch", "goals": "scoring",
+    "assists": "passes to a goal", "rating": "match marks", "log_value_eur": "listed value",
+    "log_market_value": "market price", "goals_per_90": "scoring rate",
+    "assists_per_90": "assist rate", "goal_contributions": "scoring and assists together",
+    "age_squared": "years of age, squared", "overall_x_reputation": "rating times renown",
+    "value_per_overall": "listed value per rating point", "market_to_value_ratio": "market price over listed value",
 }
 
 
@@ -44,14 +44,18 @@ def explanation_context(df: DataFrame, factors: str = "contributions", n: int =
 def template_explanation(df: DataFrame, name="short_name", club="club_name", low="predicted_low_eur",
                          high="predicted_high_eur", pct="percentile_rank", top_feature="top_feature",
                          age="age", overall="overall", positions="player_positions",
-                         reputation="international_reputation") -> DataFrame:
-    """Deterministic sentence per row (``concat_ws`` skips missing parts)."""
-    opening = F.concat(F.col(name), F.when(F.col(club).isNotNull(), F.concat(F.lit(" at "), F.col(club))).otherwise(F.lit("")),
-                       F.lit(" is estimated at "), range_display(low, high), F.lit(" per year, above "),
-                       F.col(pct).cast("string"), F.lit("% of the table."))
-    second = F.concat(age_phrase(age), F.coalesce(F.concat(F.lit(", "), overall_phrase(overall)), F.lit("")),
-                      F.lit("; the main factor is "), humanize_name(F.col(top_feature), DISPLAY_NAMES), F.lit("."))
-    roles = list_phrase(positions)
-    third = F.when(F.col(positions).contains(","), F.concat(F.lit("Plays "), roles, F.lit(".")))
-    fourth = F.concat(F.lit("Reputation: "), reputation_phrase(reputation), F.lit("."))
-    return df.withColumn("explanation", F.concat_ws(" ", opening, second, third, fourth))
+                         reputation="international_reputation", traits: str | None = None,
+                         tags: str | None = None) -> DataFrame:
+    """One text per row, a list of short statements; a statement without data is left out.
+
+    ``traits`` (first three) and ``tags`` (first two, without '#') name optional comma lists."""
+    who = F.concat_ws(", ", F.col(name), F.col(club))
+    pay = F.concat(F.lit("Yearly pay range of "), who, F.lit(": "), range_display(low, high),
+                   F.lit("; more than "), F.col(pct).cast("string"), F.lit(" % of the rows."))
+    driver = F.concat(F.lit("Strongest factor: "), humanize_name(F.col(top_feature), DISPLAY_NAMES), F.lit("."))
+    profile = F.concat(F.lit("Profile: "), F.concat_ws(", ", age_phrase(age), overall_phrase(overall), reputation_phrase(reputation)),
+                       F.lit("."))
+    roles = F.when(F.col(positions).contains(","), F.concat(F.lit("Roles: "), list_phrase(positions, last="or"), F.lit(".")))
+    lists = [F.concat(F.lit(f"{label}: "), list_phrase(F.col(column), limit, strip), F.lit("."))
+             for label, column, limit, strip in (("Traits", traits, 3, None), ("Tags", tags, 2, "#")) if column]
+    return df.withColumn("explanation", F.concat_ws(" ", pay, driver, profile, roles, *lists))

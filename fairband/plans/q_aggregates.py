@@ -15,10 +15,6 @@ def _snap_cols(df, digits: dict):
     return df.select(*[snap(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
-DEC_OVERALL = "CAST(sum(CAST(overall AS DECIMAL(24,1))) AS DOUBLE) / count(overall)"
-DEC_AGE = "CAST(sum(CAST(age AS DECIMAL(24,0))) AS DOUBLE) / count(age)"
-
-
 @register("league_stats", with_panel(f"""
 , tp AS (SELECT league_name, short_name AS top_paid_name, gross_annual_eur AS top_paid_salary FROM (
     SELECT league_name, short_name, gross_annual_eur,
@@ -26,7 +22,7 @@ DEC_AGE = "CAST(sum(CAST(age AS DECIMAL(24,0))) AS DOUBLE) / count(age)"
     FROM combined WHERE gross_annual_eur IS NOT NULL) WHERE rn = 1)
 SELECT c.league_name, count(*) AS n_players, {S('avg(gross_annual_eur)', 4)} AS mean_salary,
        {S('min(gross_annual_eur)', 4)} AS min_salary, {S('max(gross_annual_eur)', 4)} AS max_salary,
-       {S('stddev_samp(gross_annual_eur)', 4)} AS std_salary, {S(DEC_OVERALL, 6)} AS mean_overall,
+       {S('stddev_samp(gross_annual_eur)', 4)} AS std_salary, {S('avg(overall)', 6)} AS mean_overall,
        {S("avg(CASE WHEN coalesce(range_accuracy_result AND gross_annual_eur IS NOT NULL, false) THEN 1.0 ELSE 0.0 END) * 100", 6)} AS range_accuracy_pct,
        count(gross_annual_eur) > 0 AS has_salary_data,
        {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary,
@@ -46,7 +42,7 @@ SELECT position, count(*) AS n_players, count(coalesce(gross_annual_eur, predict
        {S('min(coalesce(gross_annual_eur, predicted_center_eur))', 4)} AS min_salary,
        {S('max(coalesce(gross_annual_eur, predicted_center_eur))', 4)} AS max_salary,
        {S("avg(CASE WHEN gross_annual_eur IS NOT NULL THEN (CASE WHEN coalesce(range_accuracy_result, false) THEN 1.0 ELSE 0.0 END) END) * 100", 6)} AS range_accuracy_pct,
-       {S(DEC_AGE, 6)} AS mean_age,
+       {S('avg(age)', 6)} AS mean_age,
        {S('quantile_cont(coalesce(gross_annual_eur, predicted_center_eur), 0.5)', 4)} AS median_salary
 FROM combined GROUP BY position HAVING count(coalesce(gross_annual_eur, predicted_center_eur)) > 0"""))
 def q_position_stats(spark, sf_dir):
@@ -83,7 +79,7 @@ SELECT count(*) AS total, count(gross_annual_eur) AS n_salary,
        {S('avg(gross_annual_eur)', 4)} AS mean_salary, {S('min(gross_annual_eur)', 4)} AS min_salary,
        {S('max(gross_annual_eur)', 4)} AS max_salary,
        {S('CASE WHEN count(gross_annual_eur) > 1 THEN stddev_samp(gross_annual_eur) ELSE 0.0 END', 4)} AS std_salary,
-       {S(DEC_AGE, 6)} AS mean_age, min(age) AS min_age, max(age) AS max_age,
+       {S('avg(age)', 6)} AS mean_age, min(age) AS min_age, max(age) AS max_age,
        count(DISTINCT league_name) AS n_leagues, count(DISTINCT position) AS n_positions,
        {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary
 FROM combined"""))
@@ -94,6 +90,21 @@ def q_overview(spark, sf_dir):
                        "mean_age": 6, "median_salary": 4})
 
 
+@register("overview_groups", with_panel(f"""
+SELECT 'league' AS grouping, league_name AS name, count(*) AS n, {S('avg(gross_annual_eur)', 4)} AS mean_salary,
+       {S('quantile_cont(gross_annual_eur, 0.5)', 4)} AS median_salary, {S('min(gross_annual_eur)', 4)} AS min_salary,
+       {S('max(gross_annual_eur)', 4)} AS max_salary
+FROM combined WHERE league_name IS NOT NULL GROUP BY league_name
+UNION ALL
+SELECT 'position', position, count(*), {S('avg(coalesce(gross_annual_eur, predicted_center_eur))', 4)},
+       {S('quantile_cont(coalesce(gross_annual_eur, predicted_center_eur), 0.5)', 4)}, NULL, NULL
+FROM combined WHERE position IS NOT NULL GROUP BY position"""))
+def q_overview_groups(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.overview_groups(c.combined, c.spec),
+                      {k: 4 for k in ("mean_salary", "median_salary", "min_salary", "max_salary")})
+
+
 @register("describe", with_panel(f"""
 SELECT count(gross_annual_eur) AS count, {S('avg(gross_annual_eur)', 4)} AS mean,
        {S('stddev_samp(gross_annual_eur)', 4)} AS std, {S('min(gross_annual_eur)', 4)} AS min,
@@ -461,18 +472,18 @@ SELECT player_pk,
             WHEN 'CM' THEN 'Midfielder' WHEN 'CAM' THEN 'Midfielder' WHEN 'RW' THEN 'Attacker'
             WHEN 'ST' THEN 'Attacker' END AS mapped_position,
        trim(split_part(player_positions, ',', 1)) || ' and ' || trim(split_part(player_positions, ',', 2)) AS roles,
-       CASE WHEN age <= 23 THEN 'At just ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', still developing'
-            WHEN age <= 26 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', entering the prime years'
-            WHEN age <= 30 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', in the prime years'
-            WHEN age <= 33 THEN 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', experienced'
-            ELSE 'At ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ', a veteran' END AS age_phrase,
-       CASE WHEN rating * 10 >= 85 THEN 'rated among the elite' WHEN rating * 10 >= 80 THEN 'rated high quality'
-            WHEN rating * 10 >= 75 THEN 'a solid contributor' END AS overall_phrase,
-       CASE WHEN coalesce(international_reputation, 0) >= 5 THEN 'global star'
-            WHEN coalesce(international_reputation, 0) >= 4 THEN 'internationally known'
-            WHEN coalesce(international_reputation, 0) >= 3 THEN 'recognised internationally'
-            WHEN coalesce(international_reputation, 0) >= 2 THEN 'building a reputation'
-            ELSE 'establishing themself' END AS reputation_phrase,
+       'aged ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ' (' || CASE WHEN age <= 23 THEN 'learning the trade'
+            WHEN age <= 26 THEN 'best seasons to come' WHEN age <= 30 THEN 'at full strength'
+            WHEN age <= 33 THEN 'many seasons played' ELSE 'late career' END || ')' AS age_phrase,
+       CASE WHEN rating * 10 >= 85 THEN 'top-tier rating' WHEN rating * 10 >= 80 THEN 'strong rating'
+            WHEN rating * 10 >= 75 THEN 'sound rating' END AS overall_phrase,
+       CASE WHEN coalesce(international_reputation, 0) >= 5 THEN 'known worldwide'
+            WHEN coalesce(international_reputation, 0) >= 4 THEN 'known abroad'
+            WHEN coalesce(international_reputation, 0) >= 3 THEN 'known outside the home league'
+            WHEN coalesce(international_reputation, 0) >= 2 THEN 'known at home'
+            ELSE 'little known' END AS reputation_phrase,
+       trim(split_part(player_positions, ',', 1)) || ' or ' || trim(split_part(player_positions, ',', 2)) AS either_role,
+       'a, b and c' AS three_traits, 'x and y' AS two_tags,
        'peer_range:36' AS model_version
 FROM scored"""))
 def q_scalar_functions(spark, sf_dir):
@@ -490,6 +501,9 @@ def q_scalar_functions(spark, sf_dir):
         SC.league_alias("league_name", {"PROMO": "PROMOTIONAL"}).alias("league_alias"),
         SC.map_position("player_positions").alias("mapped_position"),
         SC.list_phrase("player_positions").alias("roles"),
+        SC.list_phrase("player_positions", last="or").alias("either_role"),
+        SC.list_phrase(F.lit("a, b,c ,d"), limit=3).alias("three_traits"),
+        SC.list_phrase(F.lit("#x, #y, #z"), limit=2, strip="#").alias("two_tags"),
         SC.age_phrase("age").alias("age_phrase"),
         SC.overall_phrase(F.col("rating") * 10).alias("overall_phrase"),
         SC.reputation_phrase("international_reputation").alias("reputation_phrase"),
