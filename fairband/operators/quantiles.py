@@ -2,20 +2,21 @@
 
 Spark's exact ``percentile`` merges every distinct value of a group in one
 final task; with a hot group holding a third of the rows that task holds a
-third of the table.  Here:
+third of the table.  Here, for groups of any size:
 
 1. one mergeable pass computes ``count`` and a ``percentile_approx`` bracket
-   ``[q - m/acc, q + m/acc]`` per requested quantile (bounded sketch memory);
-   groups of at most ``2*acc`` rows skip the bracket and use all values;
-2. one pass turns each row into ``(group, quantile, value-if-inside-bracket
-   | NULL-if-below)`` and counts it, so the group's rows below the bracket
-   collapse to one counted row and equal values collapse to one row;
-3. a running count over that small candidate set gives exact ranks, and the
-   two order statistics around ``q*(n-1)`` are interpolated linearly
-   (``lo + (hi - lo) * frac``, the rule of DuckDB ``quantile_cont`` / numpy).
-
-The window in step 3 sees only in-bracket distinct values (about
-``2*m/acc`` of the group), never the whole group.
+   ``[q - eps, q + eps]`` per requested quantile (bounded sketch memory);
+2. one pass counts each row, per quantile, as below the bracket, above it, or as
+   one of the distinct values inside.  The rows below keep their largest value
+   and those above their smallest: in a group so small that the bracket is one
+   value, the order statistics wanted may be its neighbours;
+3. running counts, first inside slices of the bracket and then over the slices'
+   totals, give exact ranks, and the two order statistics around ``q*(n-1)`` are
+   interpolated linearly (``lo + (hi - lo) * frac``, the rule of DuckDB
+   ``quantile_cont`` / numpy).
+
+The bracket holds about ``2*MARGIN/accuracy`` of a group, cut into ``SLICES``
+sorted parts, so no task sorts a share of a hot group that matters.
 """
 
 from __future__ import annotations
@@ -25,111 +26,70 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 MARGIN = 4
-
-
-def _interp_sorted(arr, n, q: float):
-    pos = F.lit(float(q)) * (n - 1)
-    fl, ce = F.floor(pos), F.ceil(pos)
-    lo = F.element_at(arr, (fl + 1).cast("int"))
-    hi = F.element_at(arr, (ce + 1).cast("int"))
-    return lo + (hi - lo) * (pos - fl)
+SLICES = 64
 
 
 def group_quantiles(df: DataFrame, groups, value, probs: dict, approx: bool = False,
-                    accuracy: int = ACCURACY, extra: dict | None = None,
-                    small_group_rows: int | None = None) -> DataFrame:
+                    accuracy: int = ACCURACY, extra: dict | None = None) -> DataFrame:
     """One row per group with one column per entry of ``probs`` (name -> q in [0, 1]).
 
     ``value`` may be a column name or a Column.  NULL values are ignored; a
-    group without any value has no output row (callers left-join).  ``extra``
-    maps output names to aggregate Columns over ``_v`` (the value) that ride
-    along in the first pass (e.g. a mean), saving a separate aggregate + join.
+    group without any value has no output row (callers left-join), and without
+    groups an empty input gives no row or NULLs.  ``extra`` maps output names to
+    aggregate Columns over ``_v`` (the value) that ride along in the first pass
+    (e.g. a mean), saving a separate aggregate + join.  Building the plan starts no job.
     ``approx=True`` returns the one-pass ``percentile_approx`` answer instead.
-
-    Size check: one cheap aggregate measures the largest group.  When no group
-    exceeds ``small_group_rows`` (default ``2 * accuracy``) each group's sorted
-    values (a proven-bounded array) give the order statistics in a single
-    aggregate; otherwise the bracket algorithm above runs, so a hot group never
-    lands whole in one task.
     """
-    groups = list(groups)
-    extra = extra or {}
+    groups, extra, names = list(groups), extra or {}, list(probs)
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*groups, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    names = list(probs)
+    carried = [c.alias(k) for k, c in extra.items()]
     if approx:
         return base.groupBy(*groups).agg(
-            *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names],
-            *[c.alias(k) for k, c in extra.items()])
-
-    limit = small_group_rows if small_group_rows is not None else 2 * accuracy
-    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")) if groups else \
-        base.agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= limit:
-        g = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.array_sort(F.collect_list("_v")).alias("_s"),
-                                      *[c.alias(k) for k, c in extra.items()])
-        return g.select(*groups, *[_interp_sorted(F.col("_s"), F.col("_n"), probs[n]).alias(n) for n in names],
-                        *list(extra))
+            *[F.percentile_approx("_v", float(probs[n]), accuracy).alias(n) for n in names], *carried)
 
     eps = MARGIN / accuracy
-    brackets = []
-    for n in names:
-        q = float(probs[n])
-        brackets.append(F.percentile_approx("_v", [max(0.0, q - eps), min(1.0, q + eps)], accuracy)
-                        .alias(f"_b_{n}"))
-    bounds = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), *brackets,
-                                       *[c.alias(k) for k, c in extra.items()])
-
+    edges = [e for n in names for e in (max(0.0, probs[n] - eps), min(1.0, probs[n] + eps))]
+    bounds = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_edges"), *carried)
+    carry = ["_n", *extra]
     if groups:
         joined = base.join(bounds, on=groups, how="inner")
     else:
         joined = base.withColumns({c: bounds.select(c).scalar() for c in bounds.columns})
-    small = F.col("_n") <= F.lit(2 * accuracy)
-    entries = []
-    for i, n in enumerate(names):
-        # groups of <= 2*accuracy rows use all their values: the sketch's rank slack
-        # (<= n/accuracy) plus the 1-2 rank offset between "approx" and interpolation
-        # positions is only covered by the relative margin for larger groups
-        lo = F.when(small, F.lit(float("-inf"))).otherwise(F.col(f"_b_{n}")[0])
-        hi = F.when(small, F.lit(float("inf"))).otherwise(F.col(f"_b_{n}")[1])
-        slot = F.when(F.col("_v") < lo, F.struct(F.lit(i).alias("k"), F.lit(None).cast("double").alias("x"))) \
-                .when(F.col("_v") <= hi, F.struct(F.lit(i).alias("k"), F.col("_v").alias("x")))
-        entries.append(slot)
-    carry = ["_n"] + list(extra)
-    cand = (joined.select(*groups, *carry,
-                          F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-            .groupBy(*groups, *carry, F.col("_e.k").alias("_k"), F.col("_e.x").alias("_x"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    # one exchange on the group keys serves both the running count (partitioned by
-    # groups + quantile id, a finer clustering) and the final per-group aggregate
-    if groups:
-        cand = cand.repartition(*groups)
-    w = Window.partitionBy(*groups, "_k").orderBy(F.col("_x").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    qarr = F.array(*[F.lit(float(probs[n])) for n in names])
-    pos = F.element_at(qarr, F.col("_k") + 1) * (F.col("_n") - 1)
-    ranked = (cand.withColumn("_last", F.sum("_c").over(w) - 1)
-              .withColumn("_first", F.col("_last") - F.col("_c") + 1)
-              .withColumn("_pos", pos)
-              .withColumn("_fl", F.floor("_pos")).withColumn("_ce", F.ceil("_pos"))
-              .filter(F.col("_x").isNotNull()))
-    hit_lo = (F.col("_first") <= F.col("_fl")) & (F.col("_fl") <= F.col("_last"))
-    hit_hi = (F.col("_first") <= F.col("_ce")) & (F.col("_ce") <= F.col("_last"))
-    aggs = []
-    for i, n in enumerate(names):
-        k = F.col("_k") == i
-        aggs += [F.max(F.when(k & hit_lo, F.col("_x"))).alias(f"_lo{i}"),
-                 F.max(F.when(k & hit_hi, F.col("_x"))).alias(f"_hi{i}"),
-                 F.max(F.when(k, F.col("_pos"))).alias(f"_pos{i}")]
-    picked = ranked.filter(hit_lo | hit_hi).groupBy(*groups, *list(extra)).agg(*aggs)
+
+    def place(i: int):
+        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
+        part = F.floor((F.col("_v") - low) / F.when(high > low, high - low).otherwise(F.lit(1.0)) * (SLICES - 1)) + 1
+        return (F.when(F.col("_v") < low, F.struct(F.lit(i).alias("k"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("double").alias("x")))
+                .when(F.col("_v") > high, F.struct(F.lit(i).alias("k"), F.lit(SLICES + 1).cast("long").alias("part"), F.lit(None).cast("double").alias("x")))
+                .otherwise(F.struct(F.lit(i).alias("k"), part.alias("part"), F.col("_v").alias("x"))))
+
+    counted = (joined.select(*groups, *carry, "_v", F.explode(F.array(*[place(i) for i in range(len(names))])).alias("_e"))
+               .groupBy(*groups, *carry, F.col("_e.k").alias("_k"), F.col("_e.part").alias("_part"), F.col("_e.x").alias("_x"))
+               .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_most"), F.min("_v").alias("_least")))
+    slice_of = [*groups, "_k", "_part"]
+    before = Window.partitionBy(*groups, "_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counted.groupBy(*slice_of).agg(F.sum("_c").alias("_t"))
+               .select(*slice_of, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off")))
+    inside = Window.partitionBy(*slice_of).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counted.withColumn("_run", F.sum("_c").over(inside))
+    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in slice_of})
+    same = F.lit(True)
+    for c in slice_of:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    share = F.element_at(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_k") + 1)
+    ranked = (summed.join(offsets, same).withColumn("_last", F.col("_run") + F.col("_off") - 1)
+              .withColumn("_first", F.col("_last") - F.col("_c") + 1).withColumn("_pos", share * (F.col("_n") - 1)))
+
+    def at(rank):
+        return (F.when(F.col("_part") == 0, F.when(rank == F.col("_last"), F.col("_most")))
+                .when(F.col("_part") == SLICES + 1, F.when(rank == F.col("_first"), F.col("_least")))
+                .when(rank.between(F.col("_first"), F.col("_last")), F.col("_x")))
+
+    picked = ranked.withColumn("_lo", at(F.floor("_pos"))).withColumn("_hi", at(F.ceil("_pos"))).groupBy(*groups, *extra).agg(
+        *[F.max(F.when(F.col("_k") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(names)) for c in ("_lo", "_hi", "_pos")])
     outs = []
     for i, n in enumerate(names):
         lo, hi, p = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_pos{i}")
         outs.append((lo + (hi - lo) * (p - F.floor(p))).alias(n))
-    return picked.select(*groups, *outs, *list(extra))
-
-
-def median_of(df: DataFrame, groups, value, name: str = "median", approx: bool = False) -> DataFrame:
-    return group_quantiles(df, groups, value, {name: 0.5}, approx=approx)
+    return picked.select(*groups, *outs, *extra)
