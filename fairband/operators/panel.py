@@ -183,10 +183,11 @@ def live_combine(stored: DataFrame, live: DataFrame, key: str, columns, age_col:
 
 def sufficiency_gate(df: DataFrame, current: str, historical: str, attr: str, min_n: float = 20) -> DataFrame:
     """``sufficiency_gate``: warning list (low current / low historical sample) and an error
-    code (no current activity, no attributes) per row, as columns."""
+    code (no activity at all, none in the current season, no attributes) per row, as columns."""
     cur, hist = F.coalesce(F.col(current), F.lit(0.0)), F.coalesce(F.col(historical), F.lit(0.0))
     warnings = F.array_compact(F.array(
         F.when(cur < min_n, F.lit("low_current_sample")), F.when(hist < min_n, F.lit("low_history_sample"))))
-    err = (F.when(F.col(attr).isNull(), F.lit("no_attributes"))
-           .when(cur == 0, F.lit("no_current_activity")))
+    err = (F.when((cur == 0) & (hist == 0), F.lit("no_activity"))
+           .when(cur == 0, F.lit("no_current_activity"))
+           .when(F.col(attr).isNull(), F.lit("no_attributes")))
     return df.withColumn("warnings", warnings).withColumn("error_code", err)

@@ -8,6 +8,7 @@ from fairband.functions.scalar import per_90, snap
 from fairband.operators import analytics as A
 from fairband.plans.context import Ctx
 from fairband.plans.oracle_sql import snap as S, with_panel
+from fairband.plans.q_features import SPLIT_SQL
 from fairband.plans.registry import register
 
 
@@ -212,6 +213,17 @@ def q_mape(spark, sf_dir):
                       {"mape": 6, "median_ape": 6})
 
 
+@register("mape_by_split", with_panel(f"""
+SELECT {SPLIT_SQL} AS split, {S('avg(abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100)', 6)} AS mape, count(*) AS n,
+       {S('quantile_cont(abs(predicted_center_eur - gross_annual_eur) / gross_annual_eur * 100, 0.5)', 6)} AS median_ape
+FROM scored WHERE gross_annual_eur > 50000 GROUP BY 1"""))
+def q_mape_by_split(spark, sf_dir):
+    from fairband.operators.features import train_test_split
+    c = Ctx(spark, sf_dir)
+    return _snap_cols(A.mape(train_test_split(c.scored, "player_pk"), "predicted_center_eur", "gross_annual_eur", 50000, "split"),
+                      {"mape": 6, "median_ape": 6})
+
+
 @register("overpaid_reduction", with_panel(f"""
 SELECT count(*) AS n_overpaid, {S('sum(gross_annual_eur)', 2)} AS sum_actual,
        {S('sum(predicted_center_eur)', 2)} AS sum_center,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairband.functions.scalar import snap
 from fairband.operators.ranking import top_overpaid, top_underpaid
+from fairband.operators.panel import build_panel
 from fairband.plans.context import Ctx
 from fairband.plans.oracle_sql import snap as S, with_panel
 from fairband.plans.registry import register
@@ -107,6 +108,27 @@ def q_panel(spark, sf_dir):
         .withColumn("gross_annual_eur", snap("gross_annual_eur", MONEY))
 
 
+@register("panel_chain", with_panel(f"""
+SELECT player_pk, season, appearances, minutes, {S('rating', 6)} AS rating, market_value_eur,
+       {S('gross_annual_eur', MONEY)} AS gross_annual_eur, nationality FROM panel"""))
+def q_panel_chain(spark, sf_dir):
+    """The same panel from the four separate tables, joined one after the other."""
+    ctx = Ctx(spark, sf_dir)
+    return build_panel(ctx.tables, ctx.spec, fused=False).select(
+        "player_pk", "season", "appearances", "minutes", snap("rating", 6).alias("rating"), "market_value_eur",
+        snap("gross_annual_eur", MONEY).alias("gross_annual_eur"), "nationality")
+
+
+@register("panel_all_seasons", with_panel("""
+SELECT a.player_pk, s.season, s.appearances, s.minutes, m.market_value_eur
+FROM attrs a LEFT JOIN stats s ON a.player_pk = s.player_pk LEFT JOIN market m ON a.player_pk = m.player_pk"""))
+def q_panel_all_seasons(spark, sf_dir):
+    """One row per entity and season: the joins without the choice of the latest season."""
+    ctx = Ctx(spark, sf_dir)
+    return build_panel(ctx.tables, ctx.spec, latest_season=False, fused=False).select(
+        "player_pk", "season", "appearances", "minutes", "market_value_eur")
+
+
 @register("eligibility_filter", with_panel("""
 SELECT league_name, count(*) AS n FROM trained GROUP BY league_name"""))
 def q_eligibility(spark, sf_dir):

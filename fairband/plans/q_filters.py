@@ -178,12 +178,12 @@ def q_compare(spark, sf_dir):
         .select("ordinal", "player_pk", "short_name", "found")
 
 
-@register("combined_view", with_panel("""
-SELECT prediction_available, count(*) AS n, count(predicted_low_eur) AS n_low FROM combined GROUP BY 1"""))
+@register("combined_view", with_panel(f"""
+SELECT player_pk, league_name, appearances, prediction_available, {S('predicted_low_eur', 4)} AS predicted_low_eur FROM combined"""))
 def q_combined(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return c.combined.groupBy("prediction_available").agg(
-        F.count(F.lit(1)).alias("n"), F.count("predicted_low_eur").alias("n_low"))
+    return c.combined.select("player_pk", "league_name", "appearances", "prediction_available",
+                             snap("predicted_low_eur", 4).alias("predicted_low_eur"))
 
 
 @register("untrained_star", with_panel(f"""
@@ -238,13 +238,10 @@ def q_map_enrich(spark, sf_dir):
     return out.groupBy("nationality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("writeback_join", with_panel("""
-SELECT p.league_name IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'STANDARD') AS top_league,
-       count(*) AS n,
-       count(*) FILTER (WHERE p.gross_annual_eur > 0 AND pr.predicted_low_eur IS NOT NULL
-                        AND p.gross_annual_eur BETWEEN pr.predicted_low_eur AND pr.predicted_high_eur) AS n_in_range,
-       count(pr.predicted_low_eur) AS n_available
-FROM panel p LEFT JOIN peer pr USING (league_name, position) GROUP BY 1"""))
+@register("writeback_join", with_panel(f"""
+SELECT p.player_pk, coalesce(p.gross_annual_eur > 0 AND p.gross_annual_eur BETWEEN pr.predicted_low_eur AND pr.predicted_high_eur, false) AS actual_in_range,
+       pr.predicted_low_eur IS NOT NULL AS prediction_available, {S('pr.predicted_high_eur', 4)} AS predicted_high_eur
+FROM panel p LEFT JOIN peer pr USING (league_name, position)"""))
 def q_writeback(spark, sf_dir):
     """Peer ranges written back onto every panel row (untrained leagues get none)."""
     c = Ctx(spark, sf_dir)
@@ -253,10 +250,8 @@ def q_writeback(spark, sf_dir):
                          .dropDuplicates(["league_name", "position"]),
                          ["league_name", "position"], "left").select(
         "player_pk", "predicted_low_eur", "predicted_high_eur", "predicted_center_eur")
-    out = P.writeback_join(c.panel, preds, c.spec)
-    return out.groupBy(F.col("league_name").isin(list(c.spec.leagues)).alias("top_league")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("actual_in_range").alias("n_in_range"),
-        F.count_if("prediction_available").alias("n_available"))
+    return P.writeback_join(c.panel, preds, c.spec).select(
+        "player_pk", "actual_in_range", "prediction_available", snap("predicted_high_eur", 4).alias("predicted_high_eur"))
 
 
 @register("inner_benchmark", with_panel(f"""
@@ -274,16 +269,15 @@ def q_inner_benchmark(spark, sf_dir):
 
 
 @register("live_combine", with_panel("""
-, live AS (SELECT player_pk, appearances, minutes FROM stats WHERE season = 2001)
-SELECT count(*) AS n, sum(coalesce(nullif(l.appearances, 0), p.appearances, 0.0)) AS appearances,
-       sum(coalesce(nullif(l.minutes, 0), p.minutes, 0.0)) AS minutes
+, live AS (SELECT player_pk, appearances, minutes FROM stats WHERE season = (SELECT max(season) FROM stats))
+SELECT p.player_pk, coalesce(nullif(l.appearances, 0), p.appearances, 0.0) AS appearances,
+       coalesce(nullif(l.minutes, 0), p.minutes, 0.0) AS minutes
 FROM panel p LEFT JOIN live l ON p.player_pk = l.player_pk"""))
 def q_live_combine(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    live = c.tables.stats.filter(F.col("season") == 2001).select("player_pk", "appearances", "minutes")
-    out = P.live_combine(c.panel, live, "player_pk", ["appearances", "minutes"])
-    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("appearances").alias("appearances"),
-                   F.sum("minutes").alias("minutes"))
+    live = c.tables.stats.filter(F.col("season") == c.tables.stats.agg(F.max("season")).scalar()) \
+        .select("player_pk", "appearances", "minutes")
+    return P.live_combine(c.panel, live, "player_pk", ["appearances", "minutes"]).select("player_pk", "appearances", "minutes")
 
 
 @register("outlier_3sigma", with_panel(f"""
@@ -319,22 +313,20 @@ def q_min_threshold(spark, sf_dir):
 
 
 @register("drop_admin", """
-SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 49""")
+SELECT l_partkey, l_quantity FROM lineitem""")
 def q_drop_admin(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    li = c.table("lineitem").filter((F.col("l_returnflag") == "N") & (F.col("l_quantity") >= 49))
-    out = P.drop_admin(li, ["l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
+    out = P.drop_admin(c.table("lineitem"), ["l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
                             "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "not_a_column"])
     return out
 
 
 @register("base_projection", with_panel("""
-SELECT count(*) AS n, count(DISTINCT position) AS n_positions, count(nationality) AS n_nationality FROM trained"""))
+SELECT player_pk, short_name, position, league_name, nationality, age, appearances FROM trained"""))
 def q_base_projection(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return P.base_projection(c.trained).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("n_positions"),
-        F.count("nationality").alias("n_nationality"))
+    return P.base_projection(c.trained).select("player_pk", "short_name", "position", "league_name", "nationality", "age",
+                                               "appearances")
 
 
 @register("extremes", with_panel(f"""
@@ -352,19 +344,20 @@ def q_extremes(spark, sf_dir):
 
 
 @register("sufficiency_gate", with_panel("""
-, cur AS (SELECT player_pk, appearances AS current_apps FROM stats WHERE season = 2001),
+, cur AS (SELECT player_pk, appearances AS current_apps FROM stats WHERE season = (SELECT max(season) FROM stats)),
 hist AS (SELECT player_pk, sum(appearances) AS history_apps FROM stats GROUP BY 1),
 g AS (SELECT p.player_pk, coalesce(c.current_apps, 0.0) AS cu, coalesce(h.history_apps, 0.0) AS hi, p.overall
       FROM panel p LEFT JOIN cur c ON p.player_pk = c.player_pk LEFT JOIN hist h ON p.player_pk = h.player_pk)
-SELECT CAST((cu < 20)::INT + (hi < 20)::INT AS INTEGER) AS n_warnings,
-       CASE WHEN overall IS NULL THEN 'no_attributes' WHEN cu = 0 THEN 'no_current_activity' END AS error_code,
-       count(*) AS n
-FROM g GROUP BY 1, 2"""))
+SELECT player_pk, CAST((cu < 20)::INT + (hi < 20)::INT AS INTEGER) AS n_warnings,
+       CASE WHEN cu = 0 AND hi = 0 THEN 'no_activity' WHEN cu = 0 THEN 'no_current_activity'
+            WHEN overall IS NULL THEN 'no_attributes' END AS error_code
+FROM g"""))
 def q_sufficiency(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     st = c.tables.stats
-    cur = st.filter(F.col("season") == 2001).select("player_pk", F.col("appearances").alias("current_apps"))
+    cur = st.filter(F.col("season") == st.agg(F.max("season")).scalar()) \
+        .select("player_pk", F.col("appearances").alias("current_apps"))
     hist = st.groupBy("player_pk").agg(F.sum("appearances").alias("history_apps"))
     g = c.panel.select("player_pk", "overall").join(cur, "player_pk", "left").join(hist, "player_pk", "left")
-    out = P.sufficiency_gate(g, "current_apps", "history_apps", "overall")
-    return out.groupBy(F.size("warnings").alias("n_warnings"), "error_code").agg(F.count(F.lit(1)).alias("n"))
+    return P.sufficiency_gate(g, "current_apps", "history_apps", "overall").select(
+        "player_pk", F.size("warnings").alias("n_warnings"), "error_code")

@@ -13,14 +13,15 @@ from fairband.sources import io as IO
 from fairband.sources.tables import SCHEMAS
 
 
-@register("artifact_store", with_panel("""
-SELECT status, count(*) AS n FROM scored GROUP BY 1"""))
+@register("artifact_store", with_panel(f"""
+SELECT player_pk, status, {S('predicted_low_eur', 4)} AS predicted_low_eur, {S('predicted_high_eur', 4)} AS predicted_high_eur FROM scored"""))
 def q_artifact(spark, sf_dir):
-    """Scored table -> parquet snapshot (partitioned by status) -> read back."""
+    """Scored table -> parquet snapshot (partitioned by status) -> read back, row by row."""
     c = Ctx(spark, sf_dir)
     path = IO.save_snapshot(c.scored.select("player_pk", "status", "predicted_low_eur", "predicted_high_eur"),
                             "scored_" + sf_dir.strip("/").replace("/", "_"), ["status"])
-    return IO.load_snapshot(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return IO.load_snapshot(spark, path).select("player_pk", "status", snap("predicted_low_eur", 4).alias("predicted_low_eur"),
+                                                snap("predicted_high_eur", 4).alias("predicted_high_eur"))
 
 
 @register("metrics_sink", with_panel(f"""
@@ -50,13 +51,17 @@ def _export(spark, sf_dir):
 
 
 @register("export_csv", with_panel("""
-SELECT count(*) AS n, count(gross_annual_eur) AS n_salary FROM cstat"""))
+SELECT player_pk AS "Player Pk", short_name AS "Short Name", position AS "Position", league_name AS "League Name",
+       club_name AS "Club Name", nationality AS "Nationality", status AS "Status",
+       floor(gross_annual_eur) AS "Salary" FROM cstat"""))
 def q_export(spark, sf_dir):
     _, back = _export(spark, sf_dir)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.count("Gross Annual Eur").alias("n_salary"))
+    return back.select("Player Pk", "Short Name", "Position", "League Name", "Club Name", "Nationality", "Status",
+                       F.floor("Gross Annual Eur").alias("Salary"))
 
 
-@register("roundtrip_consistency")
+@register("roundtrip_consistency", with_panel("""
+SELECT 100.0::DOUBLE AS pct_equal, count(*) AS n FROM cstat"""))
 def q_roundtrip(spark, sf_dir):
     src, back = _export(spark, sf_dir)
     back = back.select(*[F.col(IO.title_case(c)).alias(c) for c in EXPORT_COLS])
@@ -64,7 +69,10 @@ def q_roundtrip(spark, sf_dir):
 
 
 _CAT_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(s.fields)} AS n_columns, 0 AS n_forbidden FROM {t}"
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, "
+    f"(SELECT count(*) FROM (DESCRIBE {t}) WHERE column_name NOT IN ({', '.join(repr(n) for n in s.fieldNames())})) AS n_undeclared, "
+    f"{len(s.fields)} - (SELECT count(*) FROM (DESCRIBE {t}) WHERE column_name IN ({', '.join(repr(n) for n in s.fieldNames())})) AS n_missing, "
+    f"(SELECT count(*) FROM (DESCRIBE {t}) WHERE regexp_matches(lower(column_name), '{'|'.join(IO.FORBIDDEN_TERMS)}')) AS n_forbidden FROM {t}"
     for t, s in SCHEMAS.items())
 
 
@@ -114,23 +122,28 @@ def q_props(spark, sf_dir):
     return ev.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
-@register("statblock_rollup", with_panel(f"""
+@register("statblock_rollup", with_panel("""
+, blocks AS (SELECT *, nullif(CAST(round(round_even(rating, 2) * 100) AS BIGINT), 0) AS h, CASE WHEN goals > assists THEN 'Attacker' WHEN minutes >= 60 THEN 'Defender'
+                            WHEN minutes < 20 THEN 'Winger' END AS pos FROM stats)
 SELECT player_pk AS player_id, CAST(sum(appearances) AS BIGINT) AS appearances, CAST(sum(minutes) AS BIGINT) AS minutes,
        CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists,
-       {S("coalesce(avg(CASE WHEN round_even(rating, 2) <> 0 THEN CAST(round_even(rating, 2) AS DOUBLE) END), 0.0)", 6)} AS rating,
-       'Midfielder' AS position
-FROM stats GROUP BY 1"""))
+       coalesce((sum(h) // nullif(count(h), 0) + CASE WHEN 2 * (sum(h) % count(h)) > count(h)
+                 OR (2 * (sum(h) % count(h)) = count(h) AND (sum(h) // count(h)) % 2 = 1) THEN 1 ELSE 0 END) / 100.0, 0.0) AS rating,
+       CASE WHEN first(pos ORDER BY appearances DESC, season) IN ('Attacker', 'Defender') THEN first(pos ORDER BY appearances DESC, season)
+            ELSE 'Midfielder' END AS position
+FROM blocks GROUP BY 1"""))
 def q_statblock(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    blocks = IO.json_payload_parse(IO.build_payloads(c.panel, c.tables.stats))
-    out = IO.statblock_rollup(blocks, rating_digits=None)
+    out = IO.statblock_rollup(IO.json_payload_parse(IO.build_payloads(c.panel, c.tables.stats)))
     return out.select("player_id", "appearances", "minutes", "goals", "assists",
-                      snap("rating", 6).alias("rating"), "position")
+                      "rating", "position")
 
 
 @register("season_rollup", with_panel("""
-SELECT player_pk, count(*) AS n_seasons, sum(appearances) AS appearances, sum(minutes) AS minutes,
-       max(season) AS last_season FROM stats GROUP BY 1"""))
+, per AS (SELECT player_pk, season, sum(appearances) AS appearances, sum(minutes) AS minutes FROM stats GROUP BY 1, 2)
+SELECT player_pk, season, appearances, minutes, row_number() OVER (PARTITION BY player_pk ORDER BY season DESC) AS season_no,
+       count(*) OVER (PARTITION BY player_pk) AS n_seasons, sum(appearances) OVER (PARTITION BY player_pk) AS total_appearances,
+       sum(minutes) OVER (PARTITION BY player_pk) AS total_minutes FROM per"""))
 def q_season_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return IO.season_rollup(c.tables.stats)
@@ -149,7 +162,7 @@ SELECT endpoint, count(*) AS n, count(*) FILTER (WHERE status >= 200 AND status
        count(*) FILTER (WHERE status >= 400 AND status < 500) AS n_client_error,
        {S('quantile_cont(elapsed_s * 1000, 0.5)', 6)} AS p50_ms, {S('quantile_cont(elapsed_s * 1000, 0.95)', 6)} AS p95_ms,
        {S('CASE WHEN count(*) - count(*) FILTER (WHERE status >= 400 AND status < 500) > 0 THEN count(*) FILTER (WHERE status >= 500 OR status = 0) / (count(*) - count(*) FILTER (WHERE status >= 400 AND status < 500)) * 100 ELSE 0.0 END', 6)} AS error_rate_pct
-FROM log GROUP BY 1""")
+FROM (SELECT * FROM log UNION ALL SELECT NULL, status, elapsed_s, ts FROM log) GROUP BY 1""")
 def q_log_rollup(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     out = IO.log_error_rollup(IO.request_log(c.table("events")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairband.session import scratch_path
-from fairband.sources.tables import SCHEMAS, read_table
+from fairband.sources.tables import SCHEMAS, table_path
 
 # Fixed values (must equal the reference): column-name terms that must not appear.
 FORBIDDEN_TERMS = ("agent", "bonus", "image_right", "signing_fee", "loyalty")
@@ -70,15 +70,18 @@ def roundtrip_consistency(original: DataFrame, reread: DataFrame, key: str, nume
 
 
 def catalog_audit(spark: SparkSession, sf_dir: str, tables=None) -> DataFrame:
-    """Per table: rows, columns and forbidden-term column names (one union of counts)."""
+    """Per table: rows, columns found in its files, columns that the declared schema lacks or
+    that the files lack, and columns whose name holds a forbidden term."""
     from functools import reduce
     parts = []
     for t in tables or list(SCHEMAS):
-        names = SCHEMAS[t].fieldNames()
-        bad = [n for n in names if any(term in n.lower() for term in FORBIDDEN_TERMS)]
-        parts.append(read_table(spark, sf_dir, t, [names[0]]).agg(F.count(F.lit(1)).alias("n_rows"))
-                     .select(F.lit(t).alias("table_name"), "n_rows",
-                             F.lit(len(names)).alias("n_columns"), F.lit(len(bad)).alias("n_forbidden")))
+        df = spark.read.parquet(table_path(sf_dir, t))  # the schema is that of the file footers
+        found, declared = set(df.columns), set(SCHEMAS[t].fieldNames())
+        bad = [n for n in found if any(term in n.lower() for term in FORBIDDEN_TERMS)]
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(t).alias("table_name"), "n_rows", F.lit(len(found)).alias("n_columns"),
+            F.lit(len(found - declared)).alias("n_undeclared"), F.lit(len(declared - found)).alias("n_missing"),
+            F.lit(len(bad)).alias("n_forbidden")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -103,7 +106,9 @@ def build_payloads(panel: DataFrame, stats: DataFrame) -> DataFrame:
         F.struct(F.col("appearances").cast("int").alias("appearances"),
                  F.col("minutes").cast("int").alias("minutes"),
                  F.format_number(F.col("rating"), 2).alias("rating"),
-                 F.lit(None).cast("string").alias("position")).alias("games"),
+                 F.when(F.col("goals") > F.col("assists"), F.lit("Attacker"))
+                 .when(F.col("minutes") >= 60, F.lit("Defender"))
+                 .when(F.col("minutes") < 20, F.lit("Winger")).alias("position")).alias("games"),
         F.struct(F.col("goals").cast("int").alias("total"),
                  F.col("assists").cast("int").alias("assists")).alias("goals")))).alias("b"))
     doc = panel.select("player_pk", "short_name", "age", "nationality", "league_name").join(blocks, "player_pk")
@@ -129,36 +134,46 @@ def json_payload_parse(docs: DataFrame, column: str = "payload") -> DataFrame:
         F.col("_b.league.name").alias("league"))
 
 
-def statblock_rollup(blocks: DataFrame, default_position: str = "Midfielder",
-                     rating_digits: int | None = 2) -> DataFrame:
+# Fixed values (must equal the reference): positions that stay, all others become the default.
+POSITIONS = ("Attacker", "Midfielder", "Defender", "Goalkeeper")
+
+
+def statblock_rollup(blocks: DataFrame, default_position: str = "Midfielder", rating_digits: int = 2) -> DataFrame:
     """Per player: sums (NULL -> 0), unweighted mean of non-empty non-zero ratings rounded
-    half-even to 2 (0.0 if none), appearances imputed as max(1, round(minutes/80)) when the
-    sum is 0 but minutes > 0, position/league of the block with most appearances (first on ties)."""
-    r = F.col("rating").cast("double")
-    good = F.when((F.length(F.trim(F.col("rating"))) > 0) & (r != 0), r)
+    half-even to 2 (0.0 if none), appearances imputed as max(1, minutes/80 rounded half-even) when
+    the sum is 0 but minutes > 0, position/league of the block with most appearances (first on
+    ties; blocks without appearances do not count); an unknown position becomes the default."""
+    # decimals: a mean that lies on a rounding step is rounded alike in every order of summation
+    r = F.expr("try_cast(trim(rating) AS DECIMAL(18, 6))")
+    good = F.when(r != 0, r)
     best = F.max_by(F.struct("position", "league"),
-                    F.struct(F.coalesce(F.col("appearances"), F.lit(0)), -F.col("block_no")))
+                    F.when(F.col("appearances") > 0, F.struct(F.col("appearances"), -F.col("block_no"))))
     g = blocks.groupBy("player_id").agg(
         F.sum(F.coalesce("appearances", F.lit(0))).alias("appearances"),
         F.sum(F.coalesce("minutes", F.lit(0))).alias("minutes"),
         F.sum(F.coalesce("goals", F.lit(0))).alias("goals"),
         F.sum(F.coalesce("assists", F.lit(0))).alias("assists"),
-        F.avg(good).alias("_r"), best.alias("_best"))
+        (F.sum(good) / F.nullif(F.count(good), F.lit(0))).alias("_r"), best.alias("_best"))
     apps = F.when((F.col("appearances") == 0) & (F.col("minutes") > 0),
-                  F.greatest(F.lit(1), F.round(F.col("minutes") / 80.0).cast("long"))).otherwise(F.col("appearances"))
+                  F.greatest(F.lit(1), F.bround(F.col("minutes") / 80.0).cast("long"))).otherwise(F.col("appearances"))
     return g.select("player_id", apps.alias("appearances"), "minutes", "goals", "assists",
-                    F.coalesce(F.bround("_r", rating_digits) if rating_digits is not None else F.col("_r"),
-                               F.lit(0.0)).alias("rating"),
-                    F.coalesce(F.col("_best.position"), F.lit(default_position)).alias("position"),
+                    F.coalesce(F.bround("_r", rating_digits).cast("double"), F.lit(0.0)).alias("rating"),
+                    F.when(F.col("_best.position").isin(*POSITIONS), F.col("_best.position"))
+                    .otherwise(F.lit(default_position)).alias("position"),
                     F.col("_best.league").alias("league"))
 
 
 def season_rollup(stats: DataFrame, key: str = "player_pk") -> DataFrame:
-    """Per entity: seasons, summed appearances / minutes (NULL -> 0)."""
-    return stats.groupBy(key).agg(F.count(F.lit(1)).alias("n_seasons"),
-                                  F.sum(F.coalesce("appearances", F.lit(0.0))).alias("appearances"),
-                                  F.sum(F.coalesce("minutes", F.lit(0.0))).alias("minutes"),
-                                  F.max("season").alias("last_season"))
+    """Per entity: one row per season, newest first (``season_no`` from 1), with the season's
+    appearances / minutes (NULL -> 0) and the entity's totals over all seasons."""
+    from pyspark.sql import Window
+    per = stats.groupBy(key, "season").agg(F.sum(F.coalesce("appearances", F.lit(0.0))).alias("appearances"),
+                                           F.sum(F.coalesce("minutes", F.lit(0.0))).alias("minutes"))
+    own = Window.partitionBy(key)  # an entity has one row per season
+    return (per.withColumn("season_no", F.row_number().over(own.orderBy(F.col("season").desc_nulls_last())))
+            .withColumn("n_seasons", F.count(F.lit(1)).over(own))
+            .withColumn("total_appearances", F.sum("appearances").over(own))
+            .withColumn("total_minutes", F.sum("minutes").over(own)))
 
 
 # ---------------------------------------------------------------- request log (from events)
@@ -174,17 +189,20 @@ def request_log(events: DataFrame) -> DataFrame:
 
 
 def log_error_rollup(log: DataFrame) -> DataFrame:
-    """Per endpoint: count, 2xx, server errors (>= 500 or 0), client errors, exact p50/p95 ms,
-    error rate over non-client requests."""
+    """Per endpoint and for all endpoints together (``endpoint`` NULL): count, 2xx, server errors
+    (>= 500 or 0), client errors, exact p50/p95 ms, error rate over non-client requests."""
     from fairband.operators.quantiles import group_quantiles
     s = F.col("status")
-    g = log.groupBy("endpoint").agg(
+    both = log.select(F.explode(F.array("endpoint", F.lit(None).cast("string"))).alias("endpoint"), "status",
+                      (F.col("elapsed_s") * 1000).alias("_ms"))
+    g = both.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("n"), F.count_if((s >= 200) & (s < 300)).alias("n_success"),
         F.count_if((s >= 500) | (s == 0)).alias("n_server_error"),
         F.count_if((s >= 400) & (s < 500)).alias("n_client_error"))
-    q = group_quantiles(log.withColumn("_ms", F.col("elapsed_s") * 1000), ["endpoint"], "_ms",
+    q = group_quantiles(both.withColumn("_all", F.col("endpoint").isNull())
+                        .withColumn("_name", F.coalesce("endpoint", F.lit(""))), ["_all", "_name"], "_ms",
                         {"p50_ms": 0.5, "p95_ms": 0.95})
-    out = g.join(q, "endpoint", "left")
+    out = g.join(q, (g["endpoint"].isNull() == q["_all"]) & (F.coalesce(g["endpoint"], F.lit("")) == q["_name"]), "left").drop("_all", "_name")
     den = F.col("n") - F.col("n_client_error")
     return out.withColumn("error_rate_pct", F.when(den > 0, F.col("n_server_error") / den * 100).otherwise(F.lit(0.0)))
 

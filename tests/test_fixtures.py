@@ -50,7 +50,7 @@ def test_payload_rollup_rules(spark):
     blocks = IO.json_payload_parse(df)
     assert blocks.count() == 4  # the document without blocks survives as one row
     got = {r.player_id: r for r in IO.statblock_rollup(blocks).collect()}
-    assert got[1].appearances == 5 and got[1].rating == 0.0 and got[1].position == "Defender"
+    assert got[1].appearances == 5 and got[1].rating == 0.0 and got[1].position == "Midfielder"  # no block with appearances
     assert got[2].appearances == 0 and got[2].position == "Midfielder"
     assert got[3].appearances == 10 and got[3].rating == 7.0 and got[3].position == "Attacker"  # tie -> first block
 
