@@ -31,10 +31,12 @@ def with_label(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumn(LABEL, F.log1p(F.col(spec.target)))
 
 
-def stable_order(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
-    """Deterministic partitioning for tree learners (same data -> same model)."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
+FIT_PARTITIONS = 32
+
+
+def stable_order(df: DataFrame, key: str, parts: int = FIT_PARTITIONS) -> DataFrame:
+    """Deterministic partitioning for tree learners: same data and ``parts``, same model, on any cluster."""
+    return df.repartitionByRange(parts, F.col(key)).sortWithinPartitions(key)
 
 
 def linear_model(kind: str, n: int = 1, y_std_pop: float = 1.0, alpha: float | None = None) -> LinearRegression:
@@ -55,14 +57,14 @@ def linear_model(kind: str, n: int = 1, y_std_pop: float = 1.0, alpha: float | N
     raise ValueError(kind)
 
 
-def forest(num_trees: int = 100, max_depth: int = 10, seed: int = 42, **kw) -> RandomForestRegressor:
+def forest(num_trees: int = 200, max_depth: int = 15, seed: int = 42, **kw) -> RandomForestRegressor:
     """Random forest; every feature is a split candidate at every node (``'all'``)."""
     return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
                                  maxDepth=max_depth, featureSubsetStrategy=kw.pop("featureSubsetStrategy", "all"),
                                  seed=seed, leafCol="leaves", **kw)
 
 
-def boosting(max_iter: int = 30, max_depth: int = 5, step: float = 0.1, seed: int = 42, **kw) -> GBTRegressor:
+def boosting(max_iter: int = 200, max_depth: int = 5, step: float = 0.1, seed: int = 42, **kw) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, seed=seed, **kw)
 

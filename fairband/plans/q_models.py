@@ -14,7 +14,8 @@ from fairband.operators.panel import first_best
 from fairband.plans.context import Ctx
 from fairband.plans.registry import register
 
-RF_TREES, RF_DEPTH = 50, 8
+RF_TREES, RF_DEPTH = 200, 15
+ATTRIBUTED_TREES, ATTRIBUTED_DEPTH = 50, 8  # the forest whose paths are unrolled
 
 
 class Train:
@@ -28,8 +29,7 @@ class Train:
     @cached_property
     def table(self):
         ft = FE.feature_table(self.ctx.trained, self.spec)
-        ft = M.with_folds(M.with_label(ft, self.spec), self.spec.key)
-        return M.assemble(ft, self.feats).persist()
+        return M.assemble(M.with_label(ft, self.spec), self.feats).persist()
 
     @cached_property
     def scaled(self):
@@ -41,9 +41,17 @@ class Train:
     def train(self):
         return self.table.filter(F.col("split") == "train")
 
+    @property
+    def folded(self):
+        """Train rows with equal folds: ranks are taken among the train rows alone."""
+        return M.with_folds(self.train, self.spec.key)
+
+    def forest(self, trees=RF_TREES, depth=RF_DEPTH):
+        return M.forest(trees, depth).fit(M.stable_order(self.train, self.spec.key))
+
     @cached_property
     def rf(self):
-        return M.forest(RF_TREES, RF_DEPTH).fit(M.stable_order(self.train, self.spec.key))
+        return self.forest()
 
 
 def _report(model, df, spec, name):
@@ -51,8 +59,8 @@ def _report(model, df, spec, name):
 
 
 def _linear(kind):
-    def q(spark, sf_dir):
-        t = Train(spark, sf_dir)
+    def q(spark, sf_dir, t=None):
+        t = t or Train(spark, sf_dir)
         tr = t.scaled.filter(F.col("split") == "train")
         n = tr.count()
         ystd = tr.agg(F.stddev_pop(M.LABEL)).first()[0]
@@ -65,14 +73,14 @@ for _k in ("linear", "ridge", "lasso"):
 
 
 @register("fit_rf")
-def q_fit_rf(spark, sf_dir):
-    t = Train(spark, sf_dir)
+def q_fit_rf(spark, sf_dir, t=None):
+    t = t or Train(spark, sf_dir)
     return _report(t.rf, t.table, t.spec, "random_forest")
 
 
 @register("fit_gbt")
-def q_fit_gbt(spark, sf_dir):
-    t = Train(spark, sf_dir)
+def q_fit_gbt(spark, sf_dir, t=None):
+    t = t or Train(spark, sf_dir)
     m = M.boosting(30, 5, 0.1).fit(M.stable_order(t.train, t.spec.key))
     return _report(m, t.table, t.spec, "gradient_boosting")
 
@@ -119,7 +127,7 @@ def q_score_new(spark, sf_dir):
 @register("cross_validate")
 def q_cv(spark, sf_dir):
     t = Train(spark, sf_dir)
-    cvm = M.cross_validate(M.forest(20, 6), M.stable_order(t.train, t.spec.key))
+    cvm = M.cross_validate(M.forest(20, 6), M.stable_order(t.folded, t.spec.key))
     rows = M.cv_table(cvm, None)
     return spark.createDataFrame([(r["candidate"], r["cv_mean"], r["cv_std"]) for r in rows],
                                  "candidate int, cv_mean double, cv_std double")
@@ -130,7 +138,7 @@ def q_grid(spark, sf_dir):
     t = Train(spark, sf_dir)
     est = M.forest(20, 6)
     grid = ParamGridBuilder().addGrid(est.maxDepth, [4, 8]).addGrid(est.numTrees, [10, 30]).build()
-    cvm = M.cross_validate(est, M.stable_order(t.train, t.spec.key), grid)
+    cvm = M.cross_validate(est, M.stable_order(t.folded, t.spec.key), grid)
     rows = M.cv_table(cvm, grid)
     df = spark.createDataFrame([(r["candidate"], r["params"]["maxDepth"], r["params"]["numTrees"],
                                  r["cv_mean"], r["cv_std"]) for r in rows],
@@ -147,16 +155,17 @@ def q_stacking(spark, sf_dir):
     bases = {"ridge": M.linear_model("ridge", n, ystd), "lasso": M.linear_model("lasso"),
              "rf": M.forest(20, 6), "gbt": M.boosting(10, 3)}
     meta = M.linear_model("ridge", n, ystd)
-    _, pred = M.stacking(bases, meta, tr, t.scaled, t.spec.key)
+    _, pred = M.stacking(bases, meta, M.with_folds(tr, t.spec.key), t.scaled, t.spec.key)
     pred = pred.join(t.scaled.select(t.spec.key, "split"), t.spec.key)
     return M.regression_report(pred, t.spec, "stacking")
 
 
 @register("model_metrics_table")
 def q_metrics_table(spark, sf_dir):
-    """Every model's train/test report in one tidy table."""
+    """Every model's train/test report in one tidy table; all share one feature table."""
+    t = Train(spark, sf_dir)
     qs = [_linear("linear"), _linear("ridge"), _linear("lasso"), q_fit_rf, q_fit_gbt]
-    return reduce(lambda a, b: a.unionByName(b), [q(spark, sf_dir) for q in qs])
+    return reduce(lambda a, b: a.unionByName(b), [q(spark, sf_dir, t) for q in qs])
 
 
 @register("model_select")
@@ -201,9 +210,9 @@ def q_residual_std_model(spark, sf_dir):
 def q_path_attribution(spark, sf_dir):
     """Per-row forest attribution; returned with the additivity gap (bias + Σ - prediction)."""
     t = Train(spark, sf_dir)
-    attr = M.path_attribution(t.rf, t.table, t.spec.key, t.feats, RF_DEPTH)
+    attr = M.path_attribution(rf := t.forest(ATTRIBUTED_TREES, ATTRIBUTED_DEPTH), t.table, t.spec.key, t.feats, ATTRIBUTED_DEPTH)
     tot = attr.groupBy(t.spec.key).agg(F.sum("contribution").alias("total"))
-    pred = t.rf.transform(t.table).select(t.spec.key, "prediction")
+    pred = rf.transform(t.table).select(t.spec.key, "prediction")
     return tot.join(pred, t.spec.key).select(t.spec.key, "total", "prediction",
                                              F.abs(F.col("total") - F.col("prediction")).alias("additivity_gap"))
 
@@ -211,7 +220,8 @@ def q_path_attribution(spark, sf_dir):
 @register("attribution_summary")
 def q_attribution_summary(spark, sf_dir):
     t = Train(spark, sf_dir)
-    return M.attribution_summary(M.path_attribution(t.rf, t.table, t.spec.key, t.feats, RF_DEPTH), t.spec.key)
+    return M.attribution_summary(M.path_attribution(t.forest(ATTRIBUTED_TREES, ATTRIBUTED_DEPTH), t.table, t.spec.key, t.feats,
+                                                     ATTRIBUTED_DEPTH), t.spec.key)
 
 
 @register("feature_contributions")
