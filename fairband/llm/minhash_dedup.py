@@ -4,12 +4,13 @@
 2. Improved consistent weighted sampling (Ioffe) draws ``BANDS`` x ``ROWS`` samples
    per document; two documents share a sample with the probability of their
    weighted Jaccard similarity.  Equal shingle sets become one representative.
-3. Representatives that share a band meet in its bucket.  A bucket never emits all
-   its pairs: each member meets the bucket's smallest id, then its neighbours in
-   a sorted order as long as they are not in one class yet.  Pairs whose samples
-   agree enough are verified by exact weighted Jaccard.
-4. Verified links make classes by label propagation.  Rounds with other
-   orders go on until one finds no further link.
+3. Representatives that share a band meet in its bucket.  Nobody is paired with a
+   whole bucket: every member names the few members of other classes whose samples
+   agree most with its own, found in blocks.  Those pairs are verified by exact
+   weighted Jaccard.
+4. Verified links make classes by label propagation.  Members of larger buckets
+   then name their best partners outside their class again, until no round finds a
+   further link.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairband.llm.common import maybe_among, python_workers, written
+from fairband.llm.common import discard, maybe_among, python_workers, written
 from fairband.llm.shingles import mixed, shingle_sets, text_blocks
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 AGREEING = 23  # of 42 samples, that a pair needs to be verified; 0.8 alike pairs have 33.6 on average, standard deviation 2.6
-NEIGHBOURS = 8
+PARTNERS = 6
 BUCKET_PART = 4096
 NO_ID = -(1 << 63)
 CELL_BITS = 18
@@ -202,7 +203,7 @@ def band_keys(column: Column) -> list[Column]:
 
 
 def propagate(links: DataFrame, name: str) -> DataFrame:
-    """``(id, label)`` of every linked id: the smallest id reachable over ``(a, b)`` links.
+    """``(id, label, ...)`` of every linked id: the smallest id reachable over ``(a, b)`` links.
 
     Every step takes the smallest label of the neighbours, then the label's own
     label, so long chains shorten twice as fast each time.
@@ -214,10 +215,12 @@ def propagate(links: DataFrame, name: str) -> DataFrame:
                  .agg(F.min("label").alias("heard")))
         nearer = labels.select("id", F.col("label").alias("old")).join(heard, "id").select("id", "old", F.least("old", "heard").alias("label"))
         above = nearer.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = written(nearer.join(above, "label", "left").select(
-            "id", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
+        before, labels = labels, written(nearer.join(above, "label", "left").select(
+            "id", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
             .select("id", "label", (F.col("label") < F.col("old")).alias("changed")), f"{name}-labels")
-    return labels.select("id", "label")
+        discard(before)
+    discard(sides)
+    return labels
 
 
 def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -232,15 +235,40 @@ def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, similarity: f
             .filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
-def _neighbours(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different classes that are near each other in their bucket, in this turn's order."""
-    placed = (members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-              .withColumn("next", F.element_at("keys", (F.col("band") + turn) % BANDS + 1))
-              .withColumn("part", F.pmod(F.xxhash64("next"), F.ceil(F.col("size") / BUCKET_PART))))
-    near = Window.partitionBy("key", "part").orderBy("next", F.xxhash64("id", F.lit(turn))).rowsBetween(-NEIGHBOURS, -1)
-    met = (placed.withColumn("met", F.collect_list(F.struct("id", "label")).over(near))
-           .select("id", F.explode(F.filter("met", lambda m: m["label"] != F.col("label"))).alias("m")))
-    return met.select(F.greatest("id", "m.id").alias("a"), F.least("id", "m.id").alias("b")).distinct()
+def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """For each document the up to ``PARTNERS`` of other classes whose samples agree most, if enough: ``(a, b)`` rows."""
+    found, k = [], min(PARTNERS, len(ids))
+    for at in range(0, len(ids), 256):
+        rows = slice(at, at + 256)
+        agreed = np.zeros((len(ids[rows]), len(ids)), np.uint8)
+        for column in drawn.T:
+            agreed += column[rows, None] == column[None, :]
+        agreed[labels[rows, None] == labels[None, :]] = 0
+        top = np.argpartition(agreed, len(ids) - k, axis=1)[:, len(ids) - k:]
+        i, j = np.nonzero(np.take_along_axis(agreed, top, axis=1) >= AGREEING)
+        found.append(np.stack((ids[rows][i], ids[top[i, j]]), axis=1))
+    return np.concatenate(found)
+
+
+def _within_small(members: DataFrame) -> DataFrame:
+    """All pairs of the buckets in which nobody has more than ``PARTNERS`` others."""
+    before = Window.partitionBy("key").orderBy("id").rowsBetween(-PARTNERS, -1)
+    return (members.filter(F.col("size") <= PARTNERS + 1).withColumn("b", F.collect_list("id").over(before))
+            .select(F.col("id").alias("a"), F.explode("b").alias("b")))
+
+
+def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Best partners in the other buckets; a bucket is searched in random parts of about ``BUCKET_PART``."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        drawn = np.frombuffer(b"".join(group["samples"]), np.uint32).reshape(-1, SAMPLES)
+        pairs = best_partners(group["id"].to_numpy(), group["label"].to_numpy(), drawn)
+        return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)}).drop_duplicates()
+
+    large = members.filter(F.col("size") > PARTNERS + 1)
+    facts = known.select("id", "samples").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return (large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BUCKET_PART)))
+            .select("id", "key", "part").join(facts, "id").groupBy("key", "part").applyInPandas(search, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -260,36 +288,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = spark.sparkContext.broadcast(Weights(*cell_frequencies(texts)))
     signed = written(signatures(texts, weights), "near-signatures")
     reps = written(signed.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("documents"), F.first("samples").alias("samples"))
-                   .withColumn("keys", F.array(*band_keys(F.col("samples")))), "near-representatives")
-    banded = reps.select("id", "doc", F.posexplode("keys").alias("band", "key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
-    met = written(banded.join(buckets, "key"), "near-members")
-    wanted = written(met.groupBy("id").agg(F.first("doc").alias("doc")), "near-wanted")
-    known = written(reps.join(wanted.select("id"), "id", "left_semi").select("id", "keys", "samples"), "near-known")
-    members = met.select("id", "band", "key", "size").join(known.select("id", "keys"), "id")
+                   .withColumn("keys", F.array_distinct(F.array(*band_keys(F.col("samples"))))), "near-representatives")
+    banded = reps.select("id", "doc", F.explode("keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(banded.join(buckets, "key"), "near-members")
+    wanted = written(members.groupBy("id").agg(F.first("doc").alias("doc")), "near-wanted")
+    known = written(reps.join(wanted.select("id"), "id", "left_semi").select("id", "samples"), "near-known")
     asked = written(wanted.select("doc").distinct(), "near-asked")
     sets = written(weighted_sets(maybe_among(texts, asked, "doc").join(asked, "doc", "left_semi"), weights)
                    .join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
 
-    links = written(_verified(met.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(),
-                              known, sets, similarity), "near-links")
-    labels, turn = propagate(links, "near"), 1
+    labels, tested = spark.createDataFrame([], "id long, label long"), []
     while True:
-        links = written(_verified(_neighbours(members, labels, turn), known, sets, similarity), "near-links")
+        pairs = _within_large(members, known, labels, len(tested))
+        if not tested:
+            pairs = pairs.unionByName(_within_small(members))
+        pairs = pairs.distinct()
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        tested.append(written(pairs, "near-pairs"))
+        links = written(_verified(tested[-1], known, sets, similarity), "near-links")
         if not links.limit(1).count():
             break
         of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
         between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
             F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
-        merged = propagate(between, "near").select(F.col("id").alias("label"), F.col("label").alias("merged"))
+        reached = propagate(between, "near")
+        merged = reached.select(F.col("id").alias("label"), F.col("label").alias("merged"))
         labelled = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-                                   .join(labels, "id", "left_anti").withColumn("label", F.col("id")))
-        labels = written(labelled.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")), "near-labels")
-        turn += 1
+                                      .join(labels, "id", "left_anti").withColumn("label", F.col("id")))
+        before, labels = labels, written(labelled.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")),
+                                         "near-labels")
+        discard(before, reached, links)
 
     classes = reps.join(labels, "id", "left").select("id", "doc", "documents", F.coalesce("label", "id").alias("class"))
     facts = classes.groupBy("class").agg(F.min("doc").alias("class_doc"), F.sum("documents").alias("size"))
     classes = written(classes.select("id", "class").join(facts, "class").select("id", "class_doc", "size"), "near-classes")
+    discard(reps, members, wanted, known, asked, sets, labels, links, *tested)
     in_class = signed.select("doc", "id").join(classes, "id").select("doc", "class_doc", "size")
     alone = texts.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
         "doc", F.col("doc").alias("class_doc"), F.lit(1).cast("long").alias("size"))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairband.llm.common import python_workers, written
+from fairband.llm.common import discard, python_workers, written
 
 WORD = regex.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 10  # prefix lengths
@@ -226,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 10_
 
     held = (sample.filter("part = 0").select("text", "label")
             .mapInPandas(measure, "label int, n int, segments array<double>, histogram array<long>").collect())
+    discard(sample)
     clean = [r for r in held if not r["label"]]
     if clean:
         counts = np.sum([r["histogram"] for r in clean], axis=0)

@@ -107,7 +107,7 @@ def test_word_and_run_hashes_follow_the_words():
 
 def test_propagated_labels(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 90), (90, 95), (7, 3)]
-    got = dict(map(tuple, M.propagate(spark.createDataFrame(links, "a long, b long"), "t").collect()))
+    got = {r.id: r.label for r in M.propagate(spark.createDataFrame(links, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
     assert M.propagate(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
