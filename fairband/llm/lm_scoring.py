@@ -17,23 +17,29 @@ from pyspark.sql import functions as F
 
 from fairband.llm.common import python_workers
 from fairband.llm.mixing import words as word_count
-from fairband.llm.shingles import run_hashes, word_hashes
+from fairband.llm.shingles import byte_blocks, run_hashes, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20  # of text
-TABLE_BYTES = 4 << 20  # of text, whose n-grams share a count table
+TABLE_BYTES = 12 << 20  # of text, whose n-grams of one order share a count table
 UNSEEN = 0.5  # count of a word that no other document holds
 LOW = np.uint64(40)
 
 
-def gram_keys(words: np.ndarray, counts: np.ndarray, tables: int) -> list[np.ndarray]:
-    """Keys of all runs of 1 to ``ORDER`` words: the count table's number, then 40 bits of the hash."""
-    out = []
-    for n in range(1, ORDER + 1):
-        h = words if n == 1 else run_hashes(words, counts, n)[0]
-        out.append((((h >> LOW) % np.uint64(tables)) << LOW) | (h & np.uint64((1 << 40) - 1)))
-    return out
+def all_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and words of each text, made a megabyte at a time."""
+    parts = [word_hashes(block) for block in byte_blocks(texts)]
+    return np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def gram_keys(words: np.ndarray, counts: np.ndarray, n: int, tables: int) -> np.ndarray:
+    """Keys of all runs of ``n`` words: the number of their count table, then 40 bits of the hash.
+
+    Every order has ``tables`` tables of its own, so keys of a higher order are larger.
+    """
+    h = words if n == 1 else run_hashes(words, counts, n)[0]
+    return ((np.uint64((n - 1) * tables) + (h >> LOW) % np.uint64(tables)) << LOW) | (h & np.uint64((1 << 40) - 1))
 
 
 def _tables(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,34 +50,43 @@ def _tables(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(low: np.ndarray) -> bytes:
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Sorted 40-bit numbers as gaps, byte by byte (all lowest bytes first), which compresses best."""
+    return np.diff(low, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     wide = np.zeros((len(packed) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(5, -1).T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pack_counts(n: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in one byte each, and in full those that do not fit."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype("<u8").tobytes()
+
+
+def _unpack_counts(few: bytes, many: bytes) -> np.ndarray:
+    n = np.frombuffer(few, np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(many, "<u8")
+    return n
 
 
 def ask(texts: list[bytes], block: int, tables: int) -> pd.DataFrame:
     """A block's distinct n-grams and their counts, one row per count table."""
-    words, counts = word_hashes(texts)
-    keys, n = np.unique(np.concatenate(gram_keys(words, counts, tables)), return_counts=True)
-    table, cut = _tables(keys)
-    few = np.minimum(n, 255).astype(np.uint8)
-    rows = [(block, t, _pack(keys[a:b]), few[a:b].tobytes(), n[a:b][n[a:b] >= 255].astype("<u4").tobytes())
-            for t, a, b in zip(table.tolist(), cut, cut[1:])]
+    words, counts = all_words(texts)
+    rows = []
+    for order in range(1, ORDER + 1):
+        keys, n = np.unique(gram_keys(words, counts, order, tables), return_counts=True)
+        table, cut = _tables(keys)
+        low = keys & np.uint64((1 << 40) - 1)
+        rows += [(block, t, _pack(low[a:b]), *_pack_counts(n[a:b])) for t, a, b in zip(table.tolist(), cut, cut[1:])]
     return pd.DataFrame(rows, columns=["block", "table", "grams", "few", "many"])
 
 
 def answer(asked: pd.DataFrame) -> pd.DataFrame:
     """Counts over all blocks, returned to each block where they differ from its own."""
     grams = [_unpack(g) for g in asked["grams"]]
-    own = []
-    for few, many in zip(asked["few"], asked["many"]):
-        n = np.frombuffer(few, np.uint8).astype(np.int64)
-        n[n == 255] = np.frombuffer(many, "<u4")
-        own.append(n)
+    own = [_unpack_counts(few, many) for few, many in zip(asked["few"], asked["many"])]
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(own)).astype(np.int64)
     out, begin = [], 0
@@ -79,30 +94,32 @@ def answer(asked: pd.DataFrame) -> pd.DataFrame:
         counted = total[at[begin:begin + len(n)]]
         begin += len(n)
         more = counted != n
-        out.append((block, table, np.packbits(more).tobytes(), counted[more].astype("<u8").tobytes()))
-    return pd.DataFrame(out, columns=["block", "table", "more", "counts"])
+        out.append((block, table, np.packbits(more).tobytes(), *_pack_counts(counted[more])))
+    return pd.DataFrame(out, columns=["block", "table", "more", "few", "many"])
 
 
-def score_block(texts: list[bytes], answers: pd.DataFrame, tables: int, all_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log scores of every text, from its block's n-grams and the answers to them."""
-    words, counts = word_hashes(texts)
-    runs = gram_keys(words, counts, tables)
-    keys, at, n = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
-    table, cut = _tables(keys)
-    place = dict(zip(table.tolist(), zip(cut, cut[1:])))
+def _elsewhere(words: np.ndarray, counts: np.ndarray, order: int, answers: dict, tables: int) -> np.ndarray:
+    """For every run of ``order`` words of the block: how often documents other than its own hold it."""
+    keys, at, n = np.unique(gram_keys(words, counts, order, tables), return_inverse=True, return_counts=True)
     total = n.astype(np.int64)
-    for t, more, counted in zip(answers["table"], answers["more"], answers["counts"]):
-        a, b = place[t]
-        total[a:b][np.unpackbits(np.frombuffer(more, np.uint8), count=b - a).astype(bool)] = np.frombuffer(counted, "<u8")
-    # occurrences in other documents: all but those in the n-gram's own document
-    owner = np.concatenate([np.repeat(np.arange(len(texts)), np.maximum(counts - k, 0)) for k in range(ORDER)])
-    _, mine, own = np.unique(at * len(texts) + owner, return_inverse=True, return_counts=True)
-    elsewhere = (total[at] - own[mine]).astype(float)
-    one, two, three = np.split(elsewhere, np.cumsum([len(r) for r in runs])[:-1])
+    for t, a, b in zip(*(lambda table, cut: (table.tolist(), cut, cut[1:]))(*_tables(keys))):
+        if t in answers:
+            more, few, many = answers[t]
+            total[a:b][np.unpackbits(np.frombuffer(more, np.uint8), count=b - a).astype(bool)] = _unpack_counts(few, many)
+    owner = np.repeat(np.arange(len(counts)), np.maximum(counts - (order - 1), 0))
+    _, mine, own = np.unique(at * len(counts) + owner, return_inverse=True, return_counts=True)
+    return (total[at] - own[mine]).astype(float)
+
+
+def score_block(texts: list[bytes], answers: pd.DataFrame, tables: int, corpus_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and summed log scores of every text, from its block's n-grams and the answers to them."""
+    words, counts = all_words(texts)
+    by_table = dict(zip(answers["table"], zip(answers["more"], answers["few"], answers["many"])))
+    one, two, three = (_elsewhere(words, counts, order, by_table, tables) for order in range(1, ORDER + 1))
 
     text = np.repeat(np.arange(len(texts)), counts)
     since = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)  # place in the text
-    others = np.maximum(all_words - counts[text], 1)
+    others = np.maximum(corpus_words - counts[text], 1)
     best = np.log(np.maximum(one, UNSEEN)) - np.log(others)
     penalty = np.log(BACKOFF)
     second = np.flatnonzero(since >= 1)  # bigrams end at these words, in the same order
@@ -129,8 +146,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     python_workers(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sums = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(word_count(F.col("text"))).alias("words")).first()
-    size, all_words = sums["bytes"] or 0, sums["words"] or 0
-    blocks, tables = size // block_bytes + 1, size // table_bytes + 16
+    size, corpus_words = sums["bytes"] or 0, sums["words"] or 0
+    blocks, tables = size // block_bytes + 1, size // table_bytes + 6
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     encoded = lambda group: [t.encode() for t in group["text"]]
 
@@ -138,11 +155,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return ask(encoded(group), int(group["block"].iloc[0]), tables)
 
     def scoring(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        n, scores = score_block(encoded(group), answers, tables, all_words)
+        n, scores = score_block(encoded(group), answers, tables, corpus_words)
         return pd.DataFrame({"id": group["id"].astype("Int64"), "n_words": n, "log_score": scores})
 
     asked = dealt.groupBy("block").applyInPandas(asking, "block long, table long, grams binary, few binary, many binary")
-    answers = asked.groupBy("table").applyInPandas(answer, "block long, table long, more binary, counts binary")
+    answers = asked.groupBy("table").applyInPandas(answer, "block long, table long, more binary, few binary, many binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scoring, "id long, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 6).alias("log_score"),
                          F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")), 6).alias("mean_log_score"))

@@ -25,11 +25,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_blocks(texts: Iterable[str]) -> Iterator[list[bytes]]:
-    """Consecutive texts as bytes, in blocks of about a megabyte; a longer text is a block of its own."""
+def byte_blocks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive texts in blocks of about a megabyte; a longer text is a block of its own."""
     block, held = [], 0
-    for text in texts:
-        data = text.encode()
+    for data in texts:
         if block and held + len(data) > BLOCK_BYTES:
             yield block
             block, held = [], 0
@@ -39,6 +38,10 @@ def text_blocks(texts: Iterable[str]) -> Iterator[list[bytes]]:
         yield block
 
 
+def text_blocks(texts: Iterable[str]) -> Iterator[list[bytes]]:
+    return byte_blocks(text.encode() for text in texts)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (run of bytes without white space, A-Z as a-z), and the number of words of each text."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)

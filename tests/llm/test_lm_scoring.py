@@ -55,5 +55,5 @@ def test_one_document_and_none(spark):
 
 def test_packed_keys():
     import numpy as np
-    low = np.array([0, 1, 255, (1 << 40) - 1], np.uint64)
+    low = np.array([0, 1, 255, 256, 70_000, (1 << 40) - 1], np.uint64)
     assert (L._unpack(L._pack(low)) == low).all()
