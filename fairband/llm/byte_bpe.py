@@ -14,6 +14,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fairband.llm.common import python_workers
 
-SPAN = 200_000  # pieces looked at together
+SPAN = 100_000  # pieces looked at together
 CACHED = 300_000  # encoded pieces a worker remembers
 SHIFT = 20  # a pair of token ids as one integer
 
@@ -36,13 +37,17 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def parse_ranks(rank_file: bytes) -> dict[bytes, int]:
+    """Ids by token."""
+    return {base64.b64decode(token): int(rank) for token, rank in
+            (line.split() for line in rank_file.splitlines() if line.strip())}
+
+
 class Vocabulary:
-    """Tokens by id, ids by token, and the id that each mergeable pair of ids becomes."""
+    """Ids by token, and the id that each mergeable pair of ids becomes."""
 
     def __init__(self, rank_file: bytes):
-        self.ids = {base64.b64decode(token): int(rank) for token, rank in
-                    (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.tokens = {rank: token for token, rank in self.ids.items()}
+        self.ids = parse_ranks(rank_file)
         self.pairs: dict[int, int] = {}
         for token, rank in self.ids.items():
             for cut in range(1, len(token)):
@@ -52,7 +57,14 @@ class Vocabulary:
         single = [bytes([b]) for b in range(256)]
         self.byte_ids = np.array([self.ids[b] for b in single])
         self.byte_pairs = np.array([self.ids.get(a + b, -1) for a in single for b in single])
-        table = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+
+
+class Decoder:
+    """All tokens' bytes end to end, and where each token's begin."""
+
+    def __init__(self, rank_file: bytes):
+        tokens = {rank: token for token, rank in parse_ranks(rank_file).items()}
+        table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.lengths = np.array([len(t) for t in table])
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(table), np.uint8)
@@ -206,6 +218,12 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+@lru_cache(maxsize=2)
+def _decoder(rank_file: bytes) -> Decoder:
+    """One decoder per worker process and vocabulary."""
+    return Decoder(rank_file)
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
@@ -234,9 +252,9 @@ def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = _encoder(rank_file.value, "").vocabulary
+        decoder = _decoder(rank_file.value)
         for packed in batches:
-            yield pd.Series([vocabulary.decode(x) for x in packed], dtype=object)
+            yield pd.Series([decoder.decode(x) for x in packed], dtype=object)
 
     return docs.withColumn(bytes_col, decoded(F.coalesce(F.col(ids_col), F.lit(b""))))
 
