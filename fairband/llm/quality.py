@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairband.llm.common import python_workers, written
+from fairband.llm.common import discard, python_workers, written
 from fairband.session import scratch_path
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "upper", "digits", "spaces", "line_ends", "sentence_marks",
@@ -122,10 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most_rows: int = 20_
                                 F.col("_id").alias("id"), F.col("label")), "quality-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
+        discard(sample)
         return constant((seen.get(1.0, 0) + 1) / (sum(seen.values()) + 2))
-    rows = sample.orderBy("id").withColumn("features", array_to_vector("statistics"))
+    # at most ``most_rows`` short rows, read again for every tree level: few tasks serve them best
+    rows = sample.orderBy("id").coalesce(8).withColumn("features", array_to_vector("statistics"))
     model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.2, minInstancesPerNode=3,
                           subsamplingRate=0.8, seed=seed).fit(rows)
+    discard(sample)
     path = scratch_path(spark, f"models/{model.uid}")
     model.write().overwrite().save(path)
     return flatten(model, spark.read.parquet(f"{path}/data"))
