@@ -223,15 +223,12 @@ def propagate(links: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-def _verified(pairs: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` that are similar, after a look at their samples."""
-    one = known.select(F.col("id").alias("a"), F.col("samples").alias("samples_a"))
-    other = known.select(F.col("id").alias("b"), F.col("samples").alias("samples_b"))
-    close = pairs.join(one, "a").join(other, "b").filter(agreeing("samples_a", "samples_b") >= AGREEING).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` that are similar."""
     for side in ("a", "b"):
-        close = close.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"hashes_{side}"),
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("hashes").alias(f"hashes_{side}"),
                                        F.col("weights").alias(f"weights_{side}")), side)
-    return (close.withColumn("similarity", likeness("hashes_a", "weights_a", "hashes_b", "weights_b"))
+    return (pairs.withColumn("similarity", likeness("hashes_a", "weights_a", "hashes_b", "weights_b"))
             .filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
@@ -250,11 +247,15 @@ def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray) -> np.
     return np.concatenate(found)
 
 
-def _within_small(members: DataFrame) -> DataFrame:
-    """All pairs of the buckets in which nobody has more than ``PARTNERS`` others."""
+def _within_small(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs with enough agreeing samples in the buckets in which nobody has more than ``PARTNERS`` others."""
     before = Window.partitionBy("key").orderBy("id").rowsBetween(-PARTNERS, -1)
-    return (members.filter(F.col("size") <= PARTNERS + 1).withColumn("b", F.collect_list("id").over(before))
-            .select(F.col("id").alias("a"), F.explode("b").alias("b")))
+    pairs = (members.filter(F.col("size") <= PARTNERS + 1).withColumn("b", F.collect_list("id").over(before))
+             .select(F.col("id").alias("a"), F.explode("b").alias("b")).distinct())
+    one = known.select(F.col("id").alias("a"), F.col("samples").alias("samples_a"))
+    other = known.select(F.col("id").alias("b"), F.col("samples").alias("samples_b"))
+    return (pairs.join(one, "a").join(other, "b").filter(agreeing("samples_a", "samples_b") >= AGREEING)
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
 def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -302,12 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         pairs = _within_large(members, known, labels, len(tested))
         if not tested:
-            pairs = pairs.unionByName(_within_small(members))
+            pairs = pairs.unionByName(_within_small(members, known))
         pairs = pairs.distinct()
         for earlier in tested:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         tested.append(written(pairs, "near-pairs"))
-        links = written(_verified(tested[-1], known, sets, similarity), "near-links")
+        links = written(_verified(tested[-1], sets, similarity), "near-links")
         if not links.limit(1).count():
             break
         of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
