@@ -9,14 +9,15 @@
    agree most with its own, found in blocks.  Those pairs are verified by exact
    weighted Jaccard.
 4. Verified links make classes by label propagation.  Members of larger buckets
-   then name their best partners outside their class again, until no round finds a
-   further link.
+   that had more such partners than they could name then name more of them outside
+   their class, until nobody has further ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 AGREEING = 23  # of 42 samples, that a pair needs to be verified; 0.8 alike pairs have 33.6 on average, standard deviation 2.6
-PARTNERS = 6
+PARTNERS, MORE = 6, 4  # partners that a member names in the first round, and how many times as many in each later one
 BUCKET_PART = 4096
 NO_ID = -(1 << 63)
 CELL_BITS = 18
@@ -232,19 +233,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
-def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """For each document the up to ``PARTNERS`` of other classes whose samples agree most, if enough: ``(a, b)`` rows."""
-    found, k = [], min(PARTNERS, len(ids))
-    for at in range(0, len(ids), 256):
-        rows = slice(at, at + 256)
-        agreed = np.zeros((len(ids[rows]), len(ids)), np.uint8)
+def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the up to ``most`` of other classes whose samples agree most, if enough: ``(a, b)`` rows.
+
+    Members of the commonest class name nobody, the others name them.  The second
+    result marks the documents between which pairs are left: those with more
+    partners than ``most``, and then the commonest class.
+    """
+    _, numbers = np.unique(labels, return_inverse=True)
+    common = numbers == np.bincount(numbers).argmax()
+    naming, left = np.flatnonzero(~common), np.zeros(len(ids), bool)
+    found, k = [np.empty((0, 2), np.int64)], min(most, len(ids))
+    for at in range(0, len(naming), 256):
+        rows = naming[at:at + 256]
+        agreed = np.zeros((len(rows), len(ids)), np.uint8)
         for column in drawn.T:
             agreed += column[rows, None] == column[None, :]
         agreed[labels[rows, None] == labels[None, :]] = 0
         top = np.argpartition(agreed, len(ids) - k, axis=1)[:, len(ids) - k:]
         i, j = np.nonzero(np.take_along_axis(agreed, top, axis=1) >= AGREEING)
-        found.append(np.stack((ids[rows][i], ids[top[i, j]]), axis=1))
-    return np.concatenate(found)
+        found.append(np.stack((ids[rows[i]], ids[top[i, j]]), axis=1))
+        left[rows] = (agreed >= AGREEING).sum(axis=1) > most
+    return np.concatenate(found), left | (common & left.any())
 
 
 def _within_small(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -259,17 +269,23 @@ def _within_small(members: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Best partners in the other buckets; a bucket is searched in random parts of about ``BUCKET_PART``."""
+    """Best partners ``(key, a, b)`` in the other buckets, and ``(key, a, a)`` of the members that may have further ones.
+
+    A bucket is searched in random parts of about ``BUCKET_PART``.
+    """
+    most = PARTNERS * MORE ** turn
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         drawn = np.frombuffer(b"".join(group["samples"]), np.uint32).reshape(-1, SAMPLES)
-        pairs = best_partners(group["id"].to_numpy(), group["label"].to_numpy(), drawn)
-        return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)}).drop_duplicates()
+        ids = group["id"].to_numpy()
+        pairs, left = best_partners(ids, group["label"].to_numpy(), drawn, most)
+        pairs = pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)}).drop_duplicates()
+        return pd.concat([pairs, pd.DataFrame({"a": ids[left], "b": ids[left]})]).assign(key=group["key"].iloc[0])[["key", "a", "b"]]
 
-    large = members.filter(F.col("size") > PARTNERS + 1)
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     facts = known.select("id", "samples").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return (large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BUCKET_PART)))
-            .select("id", "key", "part").join(facts, "id").groupBy("key", "part").applyInPandas(search, "a long, b long"))
+    return (members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BUCKET_PART)))
+            .select("id", "key", "part").join(facts, "id").groupBy("key", "part").applyInPandas(search, "key long, a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -299,33 +315,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(weighted_sets(maybe_among(texts, asked, "doc").join(asked, "doc", "left_semi"), weights)
                    .join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
 
-    labels, tested = spark.createDataFrame([], "id long, label long"), []
+    labels, tested, named = spark.createDataFrame([], "id long, label long"), [], []
+    searched = members.filter(F.col("size") > PARTNERS + 1).select("key", "id")
     while True:
-        pairs = _within_large(members, known, labels, len(tested))
+        named.append(written(_within_large(searched, known, labels, len(named)), "near-named"))
+        pairs = named[-1].filter("a <> b").select("a", "b")
         if not tested:
             pairs = pairs.unionByName(_within_small(members, known))
         pairs = pairs.distinct()
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         tested.append(written(pairs, "near-pairs"))
         links = written(_verified(tested[-1], sets, similarity), "near-links")
-        if not links.limit(1).count():
+        if links.limit(1).count():
+            of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
+            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+                F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+            reached = propagate(between, "near")
+            merged = reached.select(F.col("id").alias("label"), F.col("label").alias("merged"))
+            labelled = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+                                          .join(labels, "id", "left_anti").withColumn("label", F.col("id")))
+            before, labels = labels, written(labelled.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")),
+                                             "near-labels")
+            discard(before, reached)
+        discard(links, *named[:-1])
+        searched = named[-1].filter("a = b").select("key", F.col("a").alias("id")).distinct()
+        if not searched.limit(1).count():
             break
-        of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
-        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-            F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
-        reached = propagate(between, "near")
-        merged = reached.select(F.col("id").alias("label"), F.col("label").alias("merged"))
-        labelled = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-                                      .join(labels, "id", "left_anti").withColumn("label", F.col("id")))
-        before, labels = labels, written(labelled.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")),
-                                         "near-labels")
-        discard(before, reached, links)
 
     classes = reps.join(labels, "id", "left").select("id", "doc", "documents", F.coalesce("label", "id").alias("class"))
     facts = classes.groupBy("class").agg(F.min("doc").alias("class_doc"), F.sum("documents").alias("size"))
     classes = written(classes.select("id", "class").join(facts, "class").select("id", "class_doc", "size"), "near-classes")
-    discard(reps, members, wanted, known, asked, sets, labels, links, *tested)
+    discard(reps, members, wanted, known, asked, sets, labels, *named, *tested)
     in_class = signed.select("doc", "id").join(classes, "id").select("doc", "class_doc", "size")
     alone = texts.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
         "doc", F.col("doc").alias("class_doc"), F.lit(1).cast("long").alias("size"))

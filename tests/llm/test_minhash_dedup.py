@@ -81,6 +81,25 @@ def test_hot_copies_and_survivors(spark):
     assert kept & set(range(3000)) >= {0} and not kept & {20, 30, 2999}
 
 
+def related_documents(members, pairs):
+    """One family about 0.79 alike, in which the first members are 0.82 alike two by two."""
+    rng = random.Random(3)
+    fresh = lambda n: ["w%d" % rng.randrange(10 ** 9) for _ in range(n)]
+    base, shared, data = fresh(320), [], []
+    for member in range(members):
+        if member % 2 == 0:
+            shared = fresh(6)
+        own = shared + fresh(26) if member < 2 * pairs else fresh(32)
+        data.append((member, " ".join(base + own), "en", "a", 1))
+    return data
+
+
+def test_similar_pairs_among_many_related_documents(spark):
+    data = related_documents(240, 20)
+    got = sorted((tuple(r) for r in M.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()), key=repr)
+    assert got == brute(data) and sum(r[2] == 2 for r in got) == 40
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
