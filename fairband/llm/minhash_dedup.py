@@ -10,7 +10,9 @@
    weighted Jaccard.
 4. Verified links make classes by label propagation.  Members of larger buckets
    that had more such partners than they could name then name more of them outside
-   their class, until nobody has further ones.
+   their class, until nobody has further ones.  Very large buckets are searched in
+   random parts for ``MIXED`` rounds, so that families of copies become classes, and
+   then in all pairs of parts that can hold a pair of two classes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 AGREEING = 23  # of 42 samples, that a pair needs to be verified; 0.8 alike pairs have 33.6 on average, standard deviation 2.6
 PARTNERS, MORE = 6, 4  # partners that a member names in the first round, and how many times as many in each later one
-BUCKET_PART = 4096
+BUCKET_PART, MIXED = 4096, 2  # members that are compared at a time, and rounds in random parts only
 NO_ID = -(1 << 63)
 CELL_BITS = 18
 FLOOR = 0.01  # document frequencies below this share of all documents count as this share
@@ -233,12 +235,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
-def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most: int,
+                  parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each document the up to ``most`` of other classes whose samples agree most, if enough: ``(a, b)`` rows.
 
-    Members of the commonest class name nobody, the others name them.  The second
-    result marks the documents between which pairs are left: those with more
-    partners than ``most``, and then the commonest class.
+    With ``parts`` they are of another part, too.  Members of the commonest class
+    name nobody, the others name them.  The second result marks the documents
+    between which pairs are left: those with more partners than ``most``, and then
+    the commonest class.
     """
     _, numbers = np.unique(labels, return_inverse=True)
     common = numbers == np.bincount(numbers).argmax()
@@ -250,6 +254,8 @@ def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most:
         for column in drawn.T:
             agreed += column[rows, None] == column[None, :]
         agreed[labels[rows, None] == labels[None, :]] = 0
+        if parts is not None:
+            agreed[parts[rows, None] == parts[None, :]] = 0
         top = np.argpartition(agreed, len(ids) - k, axis=1)[:, len(ids) - k:]
         i, j = np.nonzero(np.take_along_axis(agreed, top, axis=1) >= AGREEING)
         found.append(np.stack((ids[rows[i]], ids[top[i, j]]), axis=1))
@@ -268,24 +274,49 @@ def _within_small(members: DataFrame, known: DataFrame) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
-def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Best partners ``(key, a, b)`` in the other buckets, and ``(key, a, a)`` of the members that may have further ones.
+def visits(searched: DataFrame, turn: int) -> DataFrame:
+    """``(key, id, label, part, one, other, more)``: the members that are compared at a time, by key and pair of parts.
 
-    A bucket is searched in random parts of about ``BUCKET_PART``.
+    For ``MIXED`` rounds parts are drawn anew and only their own members meet; ``more``
+    tells that a bucket has further parts.  Then every pair of parts meets once but
+    those within the commonest class, whose members get parts of their own.  Buckets
+    of a single class have nothing left to find.
     """
+    counts = searched.groupBy("key", "label").agg(F.count("*").alias("n"))
+    facts = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("common"), F.sum("n").alias("size")).filter("common.n < size")
+    rows, lot = searched.join(facts, "key"), F.xxhash64("id", F.lit(turn))
+    if turn < MIXED:
+        parts = F.ceil(F.col("size") / BUCKET_PART)
+        part = F.pmod(lot, parts)
+        return rows.select("key", "id", "label", part.alias("part"), part.alias("one"), part.alias("other"), (parts > 1).alias("more"))
+    pieces = lambda n: F.ceil(n / max(1, BUCKET_PART // 2))
+    split = F.col("size") > BUCKET_PART
+    rows = (rows.withColumn("others", F.when(split, pieces(F.col("size") - F.col("common.n"))).otherwise(1))
+            .withColumn("commons", F.when(split, pieces(F.col("common.n"))).otherwise(0))
+            .withColumn("part", F.when(split & (F.col("label") == F.col("common.label")), F.col("others") + F.pmod(lot, F.col("commons")))
+                        .otherwise(F.pmod(lot, F.col("others"))))
+            .withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("part") < F.col("others"), F.col("others") + F.col("commons"))
+                                                    .otherwise(F.col("others")) - 1))))
+    return rows.select("key", "id", "label", "part", F.least("part", "met").alias("one"), F.greatest("part", "met").alias("other"),
+                       F.lit(False).alias("more"))
+
+
+def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Best partners ``(key, a, b)`` in the other buckets, and ``(key, a, a)`` of the members that may have further ones."""
     most = PARTNERS * MORE ** turn
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         drawn = np.frombuffer(b"".join(group["samples"]), np.uint32).reshape(-1, SAMPLES)
-        ids = group["id"].to_numpy()
-        pairs, left = best_partners(ids, group["label"].to_numpy(), drawn, most)
+        ids, first = group["id"].to_numpy(), group.iloc[0]
+        parts = group["part"].to_numpy() if first["one"] != first["other"] else None
+        pairs, left = best_partners(ids, group["label"].to_numpy(), drawn, most, parts)
+        left |= first["more"]
         pairs = pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)}).drop_duplicates()
-        return pd.concat([pairs, pd.DataFrame({"a": ids[left], "b": ids[left]})]).assign(key=group["key"].iloc[0])[["key", "a", "b"]]
+        return pd.concat([pairs, pd.DataFrame({"a": ids[left], "b": ids[left]})]).assign(key=first["key"])[["key", "a", "b"]]
 
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    facts = known.select("id", "samples").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return (members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BUCKET_PART)))
-            .select("id", "key", "part").join(facts, "id").groupBy("key", "part").applyInPandas(search, "key long, a long, b long"))
+    searched = members.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return (visits(searched, turn).join(known.select("id", "samples"), "id")
+            .groupBy("key", "one", "other").applyInPandas(search, "key long, a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -100,6 +100,28 @@ def test_similar_pairs_among_many_related_documents(spark):
     assert got == brute(data) and sum(r[2] == 2 for r in got) == 40
 
 
+def test_similar_pairs_in_buckets_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_PART", 16)
+    data = related_documents(120, 20)
+    got = sorted((tuple(r) for r in M.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()), key=repr)
+    assert got == brute(data) and sum(r[2] == 2 for r in got) == 40
+
+
+def test_all_parts_of_a_bucket_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_PART", 10)
+    searched = spark.createDataFrame([(7, i, 0 if i < 40 else i) for i in range(70)] + [(8, i, 5) for i in range(30)], "key long, id long, label long")
+    met = defaultdict(int)
+    groups = defaultdict(list)
+    for r in M.visits(searched, M.MIXED).collect():
+        groups[r.key, r.one, r.other].append(r)
+    for (key, one, other), rows in groups.items():
+        assert key == 7
+        for i, a in enumerate(rows):
+            for b in rows[:i]:
+                met[min(a.id, b.id), max(a.id, b.id)] += one == other or a.part != b.part
+    assert all(met[i, j] == 1 for j in range(40, 70) for i in range(j))
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 1 << 64, 400, dtype=np.uint64))
