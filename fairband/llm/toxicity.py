@@ -113,12 +113,24 @@ class Scorer:
                 new = set(tokens)
             score = self.model.token_score
             known.update((w, score(w)) for w in new)
-        scores = np.array([known[w] for w in tokens], dtype=np.float64)
-        seen: dict[str, int] = {}
-        for i in np.flatnonzero(scores > 0).tolist():
-            k = seen[tokens[i]] = seen.get(tokens[i], 0) + 1
-            scores[i] /= k * k  # a word says less each time the text repeats it
-        return scores
+        return np.array([known[w] for w in tokens], dtype=np.float64)
+
+    def segments(self, tokens: list[str], scores: np.ndarray) -> list[tuple[int, int, float]]:
+        """The maximal segments of ``scores``; a word says less each time that one segment repeats it.
+
+        Its k-th use in a segment counts 1/k^2; the segment scores what its best part then does.
+        """
+        out = []
+        for a, b, score in maximal_segments(scores):
+            seen: dict[str, int] = {}
+            inside = scores[a:b].copy()
+            for i in (np.flatnonzero(inside > 0).tolist() if b - a > 1 else ()):
+                k = seen[tokens[a + i]] = seen.get(tokens[a + i], 0) + 1
+                inside[i] /= k * k
+            if max(seen.values(), default=1) > 1:
+                score = max(s for _, _, s in maximal_segments(inside))
+            out.append((a, b, score))
+        return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, id_col: str, text_col: str,
@@ -219,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 10_
         for batch in batches:
             out = []
             for text, label in zip(batch["text"], batch["label"]):
-                scores = scorer.token_scores(words(text))
-                out.append((label, len(scores), [s for _, _, s in maximal_segments(scores)],
+                tokens = words(text)
+                scores = scorer.token_scores(tokens)
+                out.append((label, len(scores), [s for _, _, s in scorer.segments(tokens, scores)],
                             [] if label else np.histogram(np.clip(scores, BINS[0], BINS[-1] - 0.05), BINS)[0].tolist()))
             yield pd.DataFrame(out, columns=["label", "n", "segments", "histogram"])
 
@@ -254,7 +267,7 @@ def _scorer(docs: DataFrame, model: Model, text: Column, significance: float) ->
             out = []
             for text in texts:
                 tokens = words(text)
-                found = maximal_segments(scorer.token_scores(tokens))
+                found = scorer.segments(tokens, scorer.token_scores(tokens))
                 evidence = model.evidence([s for _, _, s in found], len(tokens))
                 out.append((model.probability(evidence), [{"first": a, "after": b, "score": s} for a, b, s in found
                                                           if model.excess(s, len(tokens)) > most]))

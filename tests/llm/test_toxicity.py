@@ -80,3 +80,30 @@ def test_passages_hold_the_words_that_make_a_text_toxic(spark):
     fitted = X.fit(docs, docs.select("doc_id", "toxic"), F.lit(True))
     r = X.score(spark.createDataFrame([(1, "the weather " * 30 + "rotten vile filth " + "calm today " * 30)], "doc_id long, text string"), fitted).first()
     assert r.score > 0.5 and [(p["first"], p["after"]) for p in r.passages] == [(60, 63)]
+
+
+def test_passages_that_use_the_same_words_count_in_full():
+    model = X.Model({"vile$": 3.0, "rotten$": 2.5, "filth$": 3.5})
+    scorer = X.Scorer(model)
+
+    def found(text):
+        tokens = X.words(text)
+        return scorer.segments(tokens, scorer.token_scores(tokens))
+
+    passage = "rotten vile filth "
+    assert found(passage + "the weather " * 30 + passage) == [(0, 3, 9.0), (63, 66, 9.0)]
+    scattered = ("vile " + "the weather " * 20 + "rotten " + "calm today " * 20 + "filth " + "a day " * 20) * 5
+    assert found(scattered + passage)[-1][2] == 9.0
+    (_, _, repeated), = found("vile " * 50)
+    assert 3.0 < repeated < 3.0 * np.pi ** 2 / 6
+
+
+def test_passages_at_both_ends_of_a_text_are_reported(spark):
+    docs = spark.createDataFrame(
+        [(i, "calm words about the weather today " * 10, 0) for i in range(800)]
+        + [(1000 + i, "calm words about the vile rotten filth weather today", 1) for i in range(200)], "doc_id long, text string, toxic int")
+    fitted = X.fit(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    ends = "rotten vile filth " + "the weather " * 400 + "rotten vile filth"
+    r = X.score(spark.createDataFrame([(1, ends)], "doc_id long, text string"), fitted).first()
+    assert [(p["first"], p["after"]) for p in r.passages] == [(0, 3), (803, 806)]
+    assert abs(r.passages[0]["score"] - r.passages[1]["score"]) < 1e-9
