@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, quality, sharding, substring_dedup, toxicity
+from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, toxicity
 from fairband.llm.common import load
 
 
@@ -64,6 +64,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_ann": op10_ann,
+    "op11_packing": op11_packing,
 }
 ORACLE: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.QUERY_SQL,
