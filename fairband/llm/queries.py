@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, packing, quality, sharding, substring_dedup, toxicity
+from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, packing, prefix_trie, quality, sharding, substring_dedup, toxicity
 from fairband.llm.common import load
 
 
@@ -69,6 +69,13 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    turns = prefix_trie.turn_table(conversations, family=conv - conv % 5, head=F.crc32(conv.cast("string")) % 9)
+    return prefix_trie.prefix_trie(turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -81,9 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_ann": op10_ann,
     "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.QUERY_SQL,
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
     "op8_mixing": mixing.QUERY_SQL,
+    "op12_prefix_trie": prefix_trie.QUERY_SQL,
 }
