@@ -233,8 +233,8 @@ def prefix_trie(turns: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
 
 
 # crc32 of the decimal id, a bit at a time; the rest follows the definition
-_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-  (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (r, i) -> xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"""
 QUERY_SQL = f"""
 WITH own AS (
   SELECT conv_id, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
