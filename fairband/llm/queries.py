@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm import ann, byte_bpe, exact_dedup, lm_scoring, minhash_dedup, mixing, packing, prefix_trie, quality, sharding, substring_dedup, toxicity
+from fairband.llm import ann, byte_bpe, exact_dedup, hard_negatives, lm_scoring, minhash_dedup, mixing, packing, prefix_trie, quality, sharding, substring_dedup, toxicity
 from fairband.llm.common import load
 
 
@@ -76,6 +76,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, vec_id, label = load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(vectors, vec_id % 50 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -89,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
     "op11_packing": op11_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.QUERY_SQL,
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
     "op8_mixing": mixing.QUERY_SQL,
     "op12_prefix_trie": prefix_trie.QUERY_SQL,
+    "op13_hard_negatives": hard_negatives.QUERY_SQL,
 }
