@@ -7,11 +7,9 @@ source files happened to be split.
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +29,19 @@ def with_label(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.withColumn(LABEL, F.log1p(F.col(spec.target)))
 
 
-FIT_PARTITIONS = 32
+FEW_PARTITIONS, ROWS_PER_PARTITION = 4, 250_000
+# node statistics of a whole level fit in one pass; row -> node kept instead of walked again, its lineage cut now and then
+TREE_MEMORY = dict(maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
 
 
-def stable_order(df: DataFrame, key: str, parts: int = FIT_PARTITIONS) -> DataFrame:
-    """Deterministic partitioning for tree learners: same data and ``parts``, same model, on any cluster."""
+def stable_order(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Deterministic partitioning for tree learners: same data and ``parts``, same model, on any cluster.
+
+    Every task of a fit unpacks the trees grown so far, so small tables get few
+    partitions, and large ones one for every ``ROWS_PER_PARTITION`` rows.
+    """
+    if parts is None:
+        parts = max(FEW_PARTITIONS, -(-df.count() // ROWS_PER_PARTITION))
     return df.repartitionByRange(parts, F.col(key)).sortWithinPartitions(key)
 
 
@@ -61,12 +67,12 @@ def forest(num_trees: int = 200, max_depth: int = 15, seed: int = 42, **kw) -> R
     """Random forest; every feature is a split candidate at every node (``'all'``)."""
     return RandomForestRegressor(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
                                  maxDepth=max_depth, featureSubsetStrategy=kw.pop("featureSubsetStrategy", "all"),
-                                 seed=seed, leafCol="leaves", **kw)
+                                 seed=seed, leafCol="leaves", **{**TREE_MEMORY, **kw})
 
 
 def boosting(max_iter: int = 200, max_depth: int = 5, step: float = 0.1, seed: int = 42, **kw) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, seed=seed, **kw)
+                        stepSize=step, seed=seed, **{**TREE_MEMORY, **kw})
 
 
 # ---------------------------------------------------------------- native per-tree ranges
@@ -238,50 +244,6 @@ def with_folds(df: DataFrame, key: str, k: int = 5, contiguous: bool = True) ->
         "fold", F.least(F.floor(F.col("_rk") * k / n), F.lit(k - 1)).cast("int")).drop("_rk")
 
 
-def cross_validate(estimator, df: DataFrame, grid=None, parallelism: int = 4, seed: int = 42):
-    """5-fold CV with a fold column; returns the fitted ``CrossValidatorModel``."""
-    ev = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="r2")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid or ParamGridBuilder().build(),
-                        evaluator=ev, foldCol="fold", numFolds=5, parallelism=parallelism, seed=seed,
-                        collectSubModels=False)
-    return cv.fit(df)
-
-
-def cv_table(cv_model, grid) -> list[dict]:
-    import statistics
-    rows = []
-    for i, pm in enumerate(grid or [{}]):
-        scores = [m[i] for m in cv_model.foldMetrics] if hasattr(cv_model, "foldMetrics") else []
-        std = cv_model.stdMetrics[i] if cv_model.stdMetrics else (statistics.pstdev(scores) if scores else None)
-        rows.append({"candidate": i, "params": {p.name: v for p, v in pm.items()},
-                     "cv_mean": float(cv_model.avgMetrics[i]),
-                     "cv_std": None if std is None else float(std)})
-    return rows
-
-
-def stacking(bases: dict, meta, train: DataFrame, score: DataFrame, key: str, k: int = 5):
-    """Out-of-fold stacking: each base is fit on k-1 folds and predicts the held-out fold;
-    the OOF predictions (joined by key) train the meta learner; bases are refit on all
-    training rows to produce the meta features for ``score``."""
-    from functools import reduce
-    oof_parts = []
-    for f in range(k):
-        fit_rows, hold = train.filter(F.col("fold") != f), train.filter(F.col("fold") == f)
-        preds = hold.select(key, LABEL)
-        for name, est in bases.items():
-            m = est.fit(fit_rows)
-            preds = preds.join(m.transform(hold).select(key, F.col("prediction").alias(f"m_{name}")), key)
-        oof_parts.append(preds)
-    oof = reduce(lambda a, b: a.unionByName(b), oof_parts)
-    names = [f"m_{n}" for n in bases]
-    meta_model = meta.fit(assemble(oof, names, "features"))
-    full = score.select(key, *([LABEL] if LABEL in score.columns else []))
-    for name, est in bases.items():
-        m = est.fit(train)
-        full = full.join(m.transform(score).select(key, F.col("prediction").alias(f"m_{name}")), key)
-    return meta_model, meta_model.transform(assemble(full, names, "features"))
-
-
 def importance_rows(model, features) -> list[tuple]:
     """(rank, feature, importance) from a tree model, strongest first."""
     imp = model.featureImportances.toArray().tolist()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from fairband.functions.scalar import in_range, range_check_ok, status
 from fairband.operators import features as FE
 from fairband.operators import models as M
+from fairband.operators import selection as S
 from fairband.operators.panel import first_best
 from fairband.plans.context import Ctx
 from fairband.plans.registry import register
@@ -53,6 +53,25 @@ class Train:
     def rf(self):
         return self.forest()
 
+    @cached_property
+    def sample(self):
+        """The bounded train rows that tree models are searched on."""
+        return S.take_sample(self.folded, self.spec.key, self.feats)
+
+    @cached_property
+    def search(self):
+        return S.grid_search(self.ctx.spark, self.sample)
+
+    @cached_property
+    def tuned(self):
+        return S.winners(self.search)
+
+    def models(self, names=S.ORDER, pairs=True):
+        """Ten models fitted once, with their table of predictions."""
+        fold = self.folded.select(self.spec.key, "fold")
+        return S.Models(self.table.join(fold, self.spec.key, "left"), self.scaled.join(fold, self.spec.key, "left"), self.spec, self.feats,
+                        self.tuned, self.sample, pairs, names)
+
 
 def _report(model, df, spec, name):
     return M.regression_report(model.transform(df), spec, name)
@@ -81,7 +100,7 @@ def q_fit_rf(spark, sf_dir, t=None):
 @register("fit_gbt")
 def q_fit_gbt(spark, sf_dir, t=None):
     t = t or Train(spark, sf_dir)
-    m = M.boosting(30, 5, 0.1).fit(M.stable_order(t.train, t.spec.key))
+    m = M.boosting(200, 5, 0.1).fit(M.stable_order(t.train, t.spec.key))
     return _report(m, t.table, t.spec, "gradient_boosting")
 
 
@@ -89,7 +108,7 @@ def q_fit_gbt(spark, sf_dir, t=None):
 def q_fit_xgb(spark, sf_dir):
     """Regularised boosting stand-in: row subsampling + per-tree feature subsets (no L1/L2 leaf penalty in MLlib)."""
     t = Train(spark, sf_dir)
-    m = M.boosting(30, 4, 0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2) \
+    m = M.boosting(200, 5, 0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2) \
         .fit(M.stable_order(t.train, t.spec.key))
     return _report(m, t.table, t.spec, "boosting_regularised")
 
@@ -126,57 +145,35 @@ def q_score_new(spark, sf_dir):
 
 @register("cross_validate")
 def q_cv(spark, sf_dir):
-    t = Train(spark, sf_dir)
-    cvm = M.cross_validate(M.forest(20, 6), M.stable_order(t.folded, t.spec.key))
-    rows = M.cv_table(cvm, None)
-    return spark.createDataFrame([(r["candidate"], r["cv_mean"], r["cv_std"]) for r in rows],
-                                 "candidate int, cv_mean double, cv_std double")
+    """R² of all ten models on each of the five folds, from the one out-of-fold table."""
+    return Train(spark, sf_dir).models().cross_validation()
 
 
 @register("grid_search")
 def q_grid(spark, sf_dir):
-    t = Train(spark, sf_dir)
-    est = M.forest(20, 6)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [4, 8]).addGrid(est.numTrees, [10, 30]).build()
-    cvm = M.cross_validate(est, M.stable_order(t.folded, t.spec.key), grid)
-    rows = M.cv_table(cvm, grid)
-    df = spark.createDataFrame([(r["candidate"], r["params"]["maxDepth"], r["params"]["numTrees"],
-                                 r["cv_mean"], r["cv_std"]) for r in rows],
-                               "candidate int, max_depth int, num_trees int, cv_mean double, cv_std double")
-    return first_best(df.withColumn("g", F.lit(0)), ["g"], "cv_mean", "candidate").drop("g")
+    """All 747 candidates of the three grids with their five-fold scores; one best per grid."""
+    return S.flat_params(Train(spark, sf_dir).search)
 
 
 @register("stacking")
 def q_stacking(spark, sf_dir):
+    """Ridge over the out-of-fold predictions of ridge, lasso and the three tuned tree models."""
     t = Train(spark, sf_dir)
-    tr = t.scaled.filter(F.col("split") == "train")
-    n = tr.count()
-    ystd = tr.agg(F.stddev_pop(M.LABEL)).first()[0]
-    bases = {"ridge": M.linear_model("ridge", n, ystd), "lasso": M.linear_model("lasso"),
-             "rf": M.forest(20, 6), "gbt": M.boosting(10, 3)}
-    meta = M.linear_model("ridge", n, ystd)
-    _, pred = M.stacking(bases, meta, M.with_folds(tr, t.spec.key), t.scaled, t.spec.key)
-    pred = pred.join(t.scaled.select(t.spec.key, "split"), t.spec.key)
-    return M.regression_report(pred, t.spec, "stacking")
+    fit = t.models((S.STACK,), pairs=False).predictions.filter((F.col("out_a") == S.NO_FOLD) & (F.col("model") == S.STACK))
+    return M.regression_report(fit.withColumnRenamed("key", t.spec.key), t.spec, "stacking")
 
 
 @register("model_metrics_table")
 def q_metrics_table(spark, sf_dir):
-    """Every model's train/test report in one tidy table; all share one feature table."""
-    t = Train(spark, sf_dir)
-    qs = [_linear("linear"), _linear("ridge"), _linear("lasso"), q_fit_rf, q_fit_gbt]
-    return reduce(lambda a, b: a.unionByName(b), [q(spark, sf_dir, t) for q in qs])
+    """Train, test and cross-validation scores of all ten models: one aggregate over one table of predictions."""
+    return Train(spark, sf_dir).models().metrics()
 
 
 @register("model_select")
 def q_model_select(spark, sf_dir):
-    """Highest test within-30 % among candidates; the first listed wins ties."""
-    tab = q_metrics_table(spark, sf_dir).filter(F.col("split") == "test")
-    order = F.array_position(F.array(*[F.lit(m) for m in
-                                       ["linear", "ridge", "lasso", "random_forest", "gradient_boosting"]]),
-                             F.col("model"))
-    return first_best(tab.withColumn("ordinal", order).withColumn("g", F.lit(0)), ["g"], "within_30", "ordinal") \
-        .drop("g")
+    """Highest test within-30 % among the tuned models and the stack; the first listed wins ties."""
+    tab = q_metrics_table(spark, sf_dir).filter(F.col("model").isin("Tuned RF", "Tuned XGBoost", "Tuned GB", S.STACK))
+    return first_best(tab.withColumn("g", F.lit(0)), ["g"], "within_30", "ordinal").drop("g")
 
 
 @register("feature_importance")
@@ -188,15 +185,9 @@ def q_importance(spark, sf_dir):
 
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
-    """Train / test R² of the linear model when trained on the first 10 %..100 % (hash share)."""
+    """Tuned forest on nested tenths of four folds: R² there and on the fifth, 10 sizes x 5 folds."""
     t = Train(spark, sf_dir)
-    parts = []
-    for share in range(10, 101, 10):
-        tr = t.scaled.filter((F.col("split") == "train") & (FE.split_bucket(F.col(t.spec.key) * 7 + 3) < share))
-        m = M.linear_model("ridge", max(tr.count(), 1), 1.0).fit(tr)
-        parts.append(M.regression_report(m.transform(t.scaled), t.spec, "ridge")
-                     .withColumn("train_share", F.lit(share)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return S.learning_curve(spark, t.sample, t.tuned["Tuned RF"])
 
 
 @register("residual_std_model")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +74,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where their module path does not hold it."""
+    root = Path(__file__).resolve().parents[1]
+    known = {Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))}
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_package_sent", False):
+        return
+    # a zip of modules for the driver's file server; executors get it from there
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "modules"), "zip", root, Path(__file__).resolve().parent.name))
+    sc._package_sent = True
