@@ -150,72 +150,6 @@ def predict_range(model, df: DataFrame, spec: PanelSpec, low_q: float = 0.25, hi
             .drop("_trees"))
 
 
-# ---------------------------------------------------------------- path attribution
-
-def leaf_contributions(model, max_depth: int) -> DataFrame:
-    """Per (tree, leaf rank, feature index): the sum of (child mean - parent mean) over
-    the splits on that feature along the root-to-leaf path, plus each tree's root mean.
-
-    Paths are unrolled with at most ``max_depth`` joins over the node table (its
-    size is bounded by the model).  For every leaf, root mean + Σ contributions =
-    leaf prediction, so per row bias + Σ features = model prediction (additivity).
-    """
-    n = node_table(model).select("treeID", F.col("nodeData.id").alias("id"),
-                                 F.col("nodeData.prediction").alias("pred"),
-                                 F.col("nodeData.leftChild").alias("l"), F.col("nodeData.rightChild").alias("r"),
-                                 F.col("nodeData.split.featureIndex").alias("f"))
-    edges = (n.filter(F.col("l") >= 0)
-             .select("treeID", F.col("id").alias("parent"), F.col("pred").alias("ppred"), "f",
-                     F.explode(F.array("l", "r")).alias("child"))
-             .join(n.select("treeID", F.col("id").alias("child"), F.col("pred").alias("cpred")), ["treeID", "child"])
-             .select("treeID", "parent", "child", F.struct(F.col("f").alias("f"),
-                                                           (F.col("cpred") - F.col("ppred")).alias("d")).alias("step")))
-    roots = n.groupBy("treeID").agg(F.min("id").alias("node"))
-    frontier = roots.withColumn("path", F.array().cast("array<struct<f:int,d:double>>"))
-    done = []
-    for _ in range(max_depth + 1):
-        nxt = frontier.join(edges.withColumnRenamed("parent", "node"), ["treeID", "node"]) \
-                      .select("treeID", F.col("child").alias("node"),
-                              F.concat("path", F.array("step")).alias("path"))
-        done.append(frontier.join(n.filter(F.col("l") < 0).select("treeID", F.col("id").alias("node")),
-                                  ["treeID", "node"]))
-        frontier = nxt
-    from functools import reduce
-    leaves = reduce(lambda a, b: a.unionByName(b), done)
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.partitionBy("treeID").orderBy("node")) - 1
-    leaves = leaves.withColumn("leaf", rank)
-    contrib = (leaves.select("treeID", "leaf", F.explode("path").alias("s"))
-               .groupBy("treeID", "leaf", F.col("s.f").alias("feature_index")).agg(F.sum("s.d").alias("contribution")))
-    bias = n.join(roots.withColumnRenamed("node", "id"), ["treeID", "id"]) \
-            .select("treeID", F.col("pred").alias("root_pred"))
-    return contrib, bias
-
-
-def path_attribution(model, df: DataFrame, key: str, features, max_depth: int) -> DataFrame:
-    """``path_attribution``: per (row, feature) contribution averaged over trees, plus a
-    ``__bias__`` row; Σ over a row's features + bias = its prediction (log scale)."""
-    contrib, bias = leaf_contributions(model, max_depth)
-    n_trees = len(model.trees)
-    scored = model.transform(df).select(key, F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf"))
-    scored = scored.withColumn("leaf", F.col("leaf").cast("int"))
-    per = scored.join(F.broadcast(contrib), ["treeID", "leaf"]) \
-                .groupBy(key, "feature_index").agg((F.sum("contribution") / n_trees).alias("contribution"))
-    names = F.array(*[F.lit(f) for f in features])
-    per = per.select(key, F.element_at(names, F.col("feature_index") + 1).alias("feature"), "contribution")
-    b = bias.agg(F.avg("root_pred").alias("b")).select("b").scalar()
-    base = df.select(key).withColumn("feature", F.lit("__bias__")).withColumn("contribution", b)
-    return per.unionByName(base)
-
-
-def attribution_summary(attr: DataFrame, key: str) -> DataFrame:
-    """``attribution_summary``: mean |contribution| per feature (bias excluded), largest first."""
-    return (attr.filter(F.col("feature") != "__bias__").groupBy("feature")
-            .agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"),
-                 F.count(F.lit(1)).alias("n"))
-            .orderBy(F.col("mean_abs_contribution").desc(), "feature"))
-
-
 # ---------------------------------------------------------------- evaluation
 
 def regression_report(pred: DataFrame, spec: PanelSpec, model_name: str, split_col: str = "split") -> DataFrame:
@@ -242,11 +176,3 @@ def with_folds(df: DataFrame, key: str, k: int = 5, contiguous: bool = True) ->
     n = df.agg(F.count(F.lit(1))).scalar()
     return df.join(ranks, key, "left").withColumn(
         "fold", F.least(F.floor(F.col("_rk") * k / n), F.lit(k - 1)).cast("int")).drop("_rk")
-
-
-def importance_rows(model, features) -> list[tuple]:
-    """(rank, feature, importance) from a tree model, strongest first."""
-    imp = model.featureImportances.toArray().tolist()
-    order = sorted(range(len(features)), key=lambda i: (-imp[i], features[i]))
-    return [(r + 1, features[i], float(imp[i])) for r, i in enumerate(order)]
-

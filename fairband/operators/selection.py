@@ -296,15 +296,16 @@ class Models:
     """All ten models on one feature table: fitted once, predictions in one written table.
 
     ``table`` holds the key, ``split``, ``fold`` (train rows), label and raw features,
-    ``scaled`` the same features standardised.
+    ``scaled`` the same features standardised.  ``cv`` fits the models without each fold as well,
+    ``pairs`` without each two, which the stack's own cross-validation needs.
     """
 
     def __init__(self, table: DataFrame, scaled: DataFrame, spec: PanelSpec, features: list[str], tuned: dict[str, dict],
-                 sample: Sample, pairs: bool = True, models: tuple[str, ...] = ORDER, seed: int = 42):
+                 sample: Sample, pairs: bool = True, models: tuple[str, ...] = ORDER, seed: int = 42, cv: bool = True):
         self.spark, self.spec, self.features, self.models = table.sparkSession, spec, features, models
         self.params = {m: p for m, p in (UNTUNED | tuned).items() if m in models or (STACK in models and m in BASES)}
         self.linear = {m: p for m, p in LINEAR.items() if m in models or (STACK in models and m in BASES)}
-        self.folds = sorted({int(f) for f in sample.folds})
+        self.folds = sorted({int(f) for f in sample.folds}) if cv or STACK in models else []
         self.pairs = pairs and STACK in models
         self.predictions = self._predicted(table, scaled, sample, seed)
 
@@ -313,14 +314,15 @@ class Models:
         key = self.spec.key
         stacked = [m for m in self.params if m in BASES]
         tasks = [(m, p, out) for m, p in self.params.items() for out in _outs(self.folds, self.pairs and m in stacked)]
+        tasks.sort(key=lambda t: (not is_forest(t[0]), -t[1]["depth"]))  # the longest first
         fits = over_tasks(self.spark, tasks, (sample, seed), _fit_tree, PREDICTED + ", fitted binary")
-        path = scratch_path(self.spark, f"models/fits-{sample.digest(self.params, self.pairs, seed)}")
+        path = scratch_path(self.spark, f"models/fits-{sample.digest(self.params, self.folds, self.pairs, seed)}")
         if not _complete(self.spark, path):
             fits.write.mode("overwrite").parquet(path)
         fits = self.spark.read.schema(fits.schema).parquet(path)
         fitted = {r["model"]: pickle.loads(r["fitted"]) for r in fits.filter(F.col("fitted").isNotNull()).select("model", "fitted").collect()}
 
-        sums = gram(scaled.filter("split = 'train'"), self.features, ["fold"])
+        sums = gram(scaled.filter("split = 'train'"), self.features, ["fold"]) if self.linear else {}
         total = sum(sums.values())
         self.coefficients = {}
         for m, (kind, alpha) in self.linear.items():

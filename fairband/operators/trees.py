@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 BINS = 64
+CELLS = 1 << 22  # histogram cells held at once
 
 
 @dataclass
@@ -49,6 +50,8 @@ class Level:
     code: np.ndarray
     child: np.ndarray
     value: np.ndarray
+    tree: np.ndarray
+    gain: np.ndarray
 
 
 @dataclass
@@ -68,6 +71,28 @@ class Trees:
             node = level.child[node] + (codes[rows[at], level.feature[node]] > level.code[node])
         return value.reshape(count, -1)
 
+    def steps(self, codes: np.ndarray, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per row, summed over the trees: the root values, and for every feature what its splits on the way down changed."""
+        n = len(codes)
+        rows, node = np.tile(np.arange(n), count), np.repeat(np.arange(count), n)
+        start, changes = np.full(n, self.levels[0].value.sum()), np.zeros(n * width)
+        for level, below in zip(self.levels, self.levels[1:]):
+            inner = level.feature[node] >= 0
+            rows, node = rows[inner], node[inner]
+            feature = level.feature[node].astype(np.int64)
+            to = level.child[node] + (codes[rows, feature] > level.code[node])
+            changes += np.bincount(rows * width + feature, below.value[to] - level.value[node], n * width)
+            node = to
+        return start, changes.reshape(n, width)
+
+    def gains(self, count: int, width: int) -> np.ndarray:
+        """Per tree and feature: by how much its splits improved the objective."""
+        out = np.zeros(count * width)
+        for level in self.levels:
+            inner = level.feature >= 0
+            out += np.bincount(level.tree[inner] * width + level.feature[inner], level.gain[inner], count * width)
+        return out.reshape(count, width)
+
 
 def _soft(gradient: np.ndarray, alpha) -> np.ndarray:
     return np.sign(gradient) * np.maximum(np.abs(gradient) - alpha, 0.0)
@@ -105,80 +130,97 @@ def grow(codes: np.ndarray, bins: int, target: np.ndarray, weight: np.ndarray, d
             out[1, :, f] = np.bincount(cell, t, keys * bins).reshape(keys, bins)
         return out
 
+    def best_splits(both: np.ndarray, own: np.ndarray, sum_w: np.ndarray, sum_t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left_w, left_t = both.cumsum(axis=3)[..., :-1]
+        right_w, right_t = sum_w[:, None, None] - left_w, sum_t[:, None, None] - left_t
+        a, b = l1[own][:, None, None], l2[own][:, None, None]
+        enough = least[own][:, None, None] - 1e-9
+        bad = (left_w < enough) | (right_w < enough)
+        if l1.any():
+            left_t, right_t = np.maximum(np.abs(left_t) - a, 0.0), np.maximum(np.abs(right_t) - a, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left_t * left_t / (left_w + b) + right_t * right_t / (right_w + b)
+        gain[bad] = -np.inf
+        if allowed is not None:
+            gain[~allowed[own]] = -np.inf
+        gain = gain.reshape(len(own), -1)
+        top = gain.max(axis=1)
+        slack = np.where(np.isfinite(top), 1e-9 * (1 + np.abs(top)), 0.0)
+        best = (gain >= (top - slack)[:, None]).argmax(axis=1)  # the first of equal ones, whatever the rounding
+        return best, gain[np.arange(len(own)), best]
+
+    most = max(1, CELLS // (len(used) * bins))  # nodes whose histograms are held at once
     above = None  # histograms of the parents of this level's pairs of nodes
     for level in range(depth + 1):
         nodes = len(of)
         heavy = at[(light := flat_w[at] > 0)]
-        live, w, t = slot[light], flat_w[heavy], flat_t[heavy]
-        sum_w, sum_t = np.bincount(live, None if whole else w, nodes).astype(float), np.bincount(live, t, nodes)
+        live, w, t = slot[light], None if whole else flat_w[heavy], flat_t[heavy]
+        sum_w, sum_t = np.bincount(live, w, nodes).astype(float), np.bincount(live, t, nodes)
         node_value = np.divide(_soft(sum_t, l1[of]), sum_w + l2[of], out=np.zeros(nodes), where=sum_w + l2[of] > 0)
         value[at] = node_value[slot]
         if level in at_depths:
             stopped[level] = value.reshape(count, n).copy()
-        feature, code = np.full(nodes, -1), np.zeros(nodes, np.int64)
+        feature, code, gain = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
         if level < depth and nodes:
-            if above is None:
-                both = histogram(live, nodes, heavy % n, None if whole else w, t)
-            else:  # count the lighter of two siblings, the other is the rest of their parent
-                right = (sum_w[1::2] < sum_w[::2]).astype(np.int64)
-                few = live % 2 == right[live // 2]
-                one = histogram(live[few] // 2, nodes // 2, heavy[few] % n, None if whole else w[few], t[few])
-                both = np.empty_like(above, shape=(2, nodes, len(used), bins))
-                pair = 2 * np.arange(nodes // 2)
-                both[:, pair + right], both[:, pair + 1 - right] = one, above - one
-            left_w, left_t = both.cumsum(axis=3)[..., :-1]
-            right_w, right_t = sum_w[:, None, None] - left_w, sum_t[:, None, None] - left_t
-            a, b = l1[of][:, None, None], l2[of][:, None, None]
-            enough = least[of][:, None, None] - 1e-9
-            bad = (left_w < enough) | (right_w < enough)
-            if l1.any():
-                left_t, right_t = np.maximum(np.abs(left_t) - a, 0.0), np.maximum(np.abs(right_t) - a, 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = left_t * left_t / (left_w + b) + right_t * right_t / (right_w + b)
-            gain[bad] = -np.inf
-            if allowed is not None:
-                gain[~allowed[of]] = -np.inf
-            gain = gain.reshape(nodes, -1)
-            best = gain.argmax(axis=1)
+            if nodes <= most:
+                if above is None:
+                    both = histogram(live, nodes, heavy % n, w, t)
+                else:  # count the lighter of two siblings, the other is the rest of their parent
+                    right = (sum_w[1::2] < sum_w[::2]).astype(np.int64)
+                    few = live % 2 == right[live // 2]
+                    one = histogram(live[few] // 2, nodes // 2, heavy[few] % n, None if whole else w[few], t[few])
+                    both = np.empty_like(above, shape=(2, nodes, len(used), bins))
+                    pair = 2 * np.arange(nodes // 2)
+                    both[:, pair + right], both[:, pair + 1 - right] = one, above - one
+                best, gain = best_splits(both, of, sum_w, sum_t)
+            else:  # many small nodes: some at a time
+                both, best, order = None, np.zeros(nodes, np.int64), np.argsort(live, kind="stable")
+                cuts = np.searchsorted(live[order], np.arange(0, nodes + most, most))
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    some, part = order[i:j], slice(k * most, min(nodes, (k + 1) * most))
+                    each = histogram(live[some] - k * most, len(of[part]), heavy[some] % n, None if whole else w[some], t[some])
+                    best[part], gain[part] = best_splits(each, of[part], sum_w[part], sum_t[part])
             parent = np.divide(_soft(sum_t, l1[of]) ** 2, sum_w + l2[of], out=np.zeros(nodes), where=sum_w + l2[of] > 0)
-            split = gain[np.arange(nodes), best] > parent + 1e-10 * (1 + np.abs(parent))
+            gain = gain - parent
+            split = gain > 1e-10 * (1 + np.abs(parent))
             feature = np.where(split, used[best // (bins - 1)], -1)
             code = best % (bins - 1)
         inner = np.flatnonzero(feature >= 0)
         child = np.zeros(nodes, np.int64)
         child[inner] = 2 * np.arange(len(inner))
         if keep:
-            trees.levels.append(Level(feature.astype(np.int16), code.astype(np.int16), child, node_value))
+            trees.levels.append(Level(feature.astype(np.int16), code.astype(np.int16), child.astype(np.int32), node_value, of,
+                                      np.where(feature >= 0, gain, 0.0).astype(np.float32)))
         going = feature[slot] >= 0
         at, slot = at[going], slot[going]
         if not len(at):
             for d in at_depths:
                 stopped.setdefault(d, value.reshape(count, n).copy())
             break
-        above = both[:, inner]
+        above = None if both is None or 2 * len(inner) > most else both[:, inner]
         slot = child[slot] + (by_feature[feature[slot], at % n] > code[slot])
         of = np.repeat(of[inner], 2)
     return value.reshape(count, n), trees, stopped
 
 
 def forest(codes: np.ndarray, bins: int, target: np.ndarray, weight: np.ndarray, trees: int, depth: int, least: float, seed: int,
-           prefixes: tuple[int, ...] = (), depths: tuple[int, ...] = (), batch: int = 25, keep: bool = False):
+           prefixes: tuple[int, ...] = (), depths: tuple[int, ...] = (), batch: int = 25, keep: bool = False, first: int = 0):
     """Bagged trees: predictions ``{(depth, trees): mean}`` at every prefix and depth, and the trees if ``keep``.
 
     A tree stopped at a smaller depth is the tree of that depth, and the first trees of
     a forest are a forest, so one fit answers for all of them.  Every tree draws
-    as many rows as have weight, with replacement.
+    as many rows as have weight, with replacement; ``first`` is the number of the first
+    tree, for tasks that grow a part of a forest.
     """
     depths, prefixes = depths or (depth,), prefixes or (trees,)
     heavy = np.flatnonzero(weight > 0)
     sums, out, kept, done = {d: np.zeros(len(target)) for d in depths}, {}, [], 0
-    per_tree = []
     cuts = sorted({*prefixes, *range(batch, trees, batch), trees})
     for stop in cuts:
         count = stop - done
         drawn = np.zeros((count, len(target)))
         for i in range(count):
-            pick = np.random.default_rng([seed, done + i]).integers(0, len(heavy), len(heavy))
+            pick = np.random.default_rng([seed, first + done + i]).integers(0, len(heavy), len(heavy))
             drawn[i, heavy] = np.bincount(pick, minlength=len(heavy))
         none = np.zeros(count)
         value, grown, stopped = grow(codes, bins, np.broadcast_to(target, drawn.shape), drawn, depth, np.full(count, least), none, none,
@@ -187,11 +229,10 @@ def forest(codes: np.ndarray, bins: int, target: np.ndarray, weight: np.ndarray,
             sums[d] += stopped.get(d, value).sum(axis=0)
         if keep:
             kept.append((count, grown))
-            per_tree.append(value)
         done = stop
         if stop in prefixes:
             out |= {(d, stop): sums[d] / stop for d in depths}
-    return (out, kept, np.vstack(per_tree)) if keep else out
+    return (out, kept) if keep else out
 
 
 @dataclass(frozen=True)

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from fairband.functions.scalar import in_range, range_check_ok, status
 from fairband.operators import features as FE
+from fairband.operators import forests as FO
 from fairband.operators import models as M
 from fairband.operators import selection as S
 from fairband.operators.panel import first_best
 from fairband.plans.context import Ctx
 from fairband.plans.registry import register
 
-RF_TREES, RF_DEPTH = 200, 15
-ATTRIBUTED_TREES, ATTRIBUTED_DEPTH = 50, 8  # the forest whose paths are unrolled
 
 
 class Train:
@@ -26,10 +25,14 @@ class Train:
         self.spec = self.ctx.spec
         self.feats = self.spec.feature_columns
 
+    @cached_property
+    def rows(self):
+        """Features and label of every trained row."""
+        return M.with_label(FE.feature_table(self.ctx.trained, self.spec), self.spec).persist()
+
     @cached_property
     def table(self):
-        ft = FE.feature_table(self.ctx.trained, self.spec)
-        return M.assemble(M.with_label(ft, self.spec), self.feats).persist()
+        return M.assemble(self.rows, self.feats)
 
     @cached_property
     def scaled(self):
@@ -44,14 +47,11 @@ class Train:
     @property
     def folded(self):
         """Train rows with equal folds: ranks are taken among the train rows alone."""
-        return M.with_folds(self.train, self.spec.key)
-
-    def forest(self, trees=RF_TREES, depth=RF_DEPTH):
-        return M.forest(trees, depth).fit(M.stable_order(self.train, self.spec.key))
+        return M.with_folds(self.rows.filter(F.col("split") == "train"), self.spec.key)
 
     @cached_property
     def rf(self):
-        return self.forest()
+        return FO.fit(self.ctx.spark, self.sample, self.feats)
 
     @cached_property
     def sample(self):
@@ -66,11 +66,17 @@ class Train:
     def tuned(self):
         return S.winners(self.search)
 
-    def models(self, names=S.ORDER, pairs=True):
+    def models(self, names=S.ORDER, pairs=True, cv=True):
         """Ten models fitted once, with their table of predictions."""
         fold = self.folded.select(self.spec.key, "fold")
-        return S.Models(self.table.join(fold, self.spec.key, "left"), self.scaled.join(fold, self.spec.key, "left"), self.spec, self.feats,
-                        self.tuned, self.sample, pairs, names)
+        tuned = self.tuned if any(n in S.GRIDS or n == S.STACK for n in names) else {}
+        return S.Models(self.rows.join(fold, self.spec.key, "left"), self.scaled.join(fold, self.spec.key, "left"), self.spec, self.feats,
+                        tuned, self.sample, pairs, names, cv=cv)
+
+    def report(self, model, name):
+        """Train and test scores of one model of the prediction table."""
+        fit = self.models((model,), pairs=False, cv=False).predictions.filter((F.col("out_a") == S.NO_FOLD) & (F.col("model") == model))
+        return M.regression_report(fit.withColumnRenamed("key", self.spec.key), self.spec, name)
 
 
 def _report(model, df, spec, name):
@@ -92,25 +98,33 @@ for _k in ("linear", "ridge", "lasso"):
 
 
 @register("fit_rf")
-def q_fit_rf(spark, sf_dir, t=None):
-    t = t or Train(spark, sf_dir)
-    return _report(t.rf, t.table, t.spec, "random_forest")
+def q_fit_rf(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    return M.regression_report(FO.predict(t.rf, t.rows.select("split", M.LABEL, *t.feats)), t.spec, "random_forest")
 
 
 @register("fit_gbt")
-def q_fit_gbt(spark, sf_dir, t=None):
-    t = t or Train(spark, sf_dir)
-    m = M.boosting(200, 5, 0.1).fit(M.stable_order(t.train, t.spec.key))
-    return _report(m, t.table, t.spec, "gradient_boosting")
+def q_fit_gbt(spark, sf_dir):
+    return Train(spark, sf_dir).report("Gradient Boosting", "gradient_boosting")
 
 
 @register("fit_xgb")
 def q_fit_xgb(spark, sf_dir):
-    """Regularised boosting stand-in: row subsampling + per-tree feature subsets (no L1/L2 leaf penalty in MLlib)."""
+    """Boosting with penalised leaves (second-order gains with L1 and L2 terms)."""
+    return Train(spark, sf_dir).report("XGBoost", "boosting_regularised")
+
+
+@register("fit_rf_all_rows")
+def q_fit_rf_all_rows(spark, sf_dir):
+    """The learner that reads all rows in every pass, for train tables beyond the sample's bound."""
     t = Train(spark, sf_dir)
-    m = M.boosting(200, 5, 0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2) \
-        .fit(M.stable_order(t.train, t.spec.key))
-    return _report(m, t.table, t.spec, "boosting_regularised")
+    return _report(M.forest().fit(M.stable_order(t.train, t.spec.key)), t.table, t.spec, "random_forest")
+
+
+@register("fit_gbt_all_rows")
+def q_fit_gbt_all_rows(spark, sf_dir):
+    t = Train(spark, sf_dir)
+    return _report(M.boosting().fit(M.stable_order(t.train, t.spec.key)), t.table, t.spec, "gradient_boosting")
 
 
 @register("predict_range")
@@ -118,7 +132,7 @@ def q_predict_range(spark, sf_dir):
     """Random-forest P25-P75 ranges for every trained row, plus error, flags and status."""
     t = Train(spark, sf_dir)
     s = t.spec
-    out = M.predict_range(t.rf, t.table, s)
+    out = FO.predict_range(t.rf, t.rows.select(s.key, "split", s.target, *[f for f in t.feats]), s)
     a = F.col(s.target)
     return out.select(
         s.key, "split", a.alias(s.target), s.low, s.high, s.center,
@@ -158,9 +172,7 @@ def q_grid(spark, sf_dir):
 @register("stacking")
 def q_stacking(spark, sf_dir):
     """Ridge over the out-of-fold predictions of ridge, lasso and the three tuned tree models."""
-    t = Train(spark, sf_dir)
-    fit = t.models((S.STACK,), pairs=False).predictions.filter((F.col("out_a") == S.NO_FOLD) & (F.col("model") == S.STACK))
-    return M.regression_report(fit.withColumnRenamed("key", t.spec.key), t.spec, "stacking")
+    return Train(spark, sf_dir).report(S.STACK, "stacking")
 
 
 @register("model_metrics_table")
@@ -179,8 +191,7 @@ def q_model_select(spark, sf_dir):
 @register("feature_importance")
 def q_importance(spark, sf_dir):
     t = Train(spark, sf_dir)
-    rows = M.importance_rows(t.rf, t.feats)
-    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+    return spark.createDataFrame(t.rf.importances(), "rank int, feature string, importance double")
 
 
 @register("learning_curve")
@@ -193,26 +204,27 @@ def q_learning_curve(spark, sf_dir):
 @register("residual_std_model")
 def q_residual_std_model(spark, sf_dir):
     t = Train(spark, sf_dir)
-    p = t.rf.transform(t.table)
+    p = FO.predict(t.rf, t.rows.select(M.LABEL, *t.feats))
     return p.agg(F.stddev_pop(F.col(M.LABEL) - F.col("prediction")).alias("residual_std"))
 
 
 @register("path_attribution")
 def q_path_attribution(spark, sf_dir):
-    """Per-row forest attribution; returned with the additivity gap (bias + Σ - prediction)."""
+    """Value and contribution of every (row, feature) in the full forest, with the row's additivity gap (bias + sum - prediction)."""
     t = Train(spark, sf_dir)
-    attr = M.path_attribution(rf := t.forest(ATTRIBUTED_TREES, ATTRIBUTED_DEPTH), t.table, t.spec.key, t.feats, ATTRIBUTED_DEPTH)
-    tot = attr.groupBy(t.spec.key).agg(F.sum("contribution").alias("total"))
-    pred = rf.transform(t.table).select(t.spec.key, "prediction")
-    return tot.join(pred, t.spec.key).select(t.spec.key, "total", "prediction",
-                                             F.abs(F.col("total") - F.col("prediction")).alias("additivity_gap"))
+    key = t.spec.key
+    a = FO.path_attribution(t.rf, t.rows.select(key, *t.feats))
+    total = F.aggregate("contributions", F.col("bias"), lambda s, c: s + c)
+    gap = a.withColumns({"additivity_gap": F.abs(total - F.col("prediction"))})
+    names, values = F.array(*map(F.lit, t.feats)), F.array(*[F.col(f).cast("double") for f in t.feats])
+    pairs = F.arrays_zip(names.alias("feature"), values.alias("value"), F.col("contributions").alias("contribution"))
+    return gap.select(key, "bias", "prediction", "additivity_gap", F.explode(pairs).alias("p")).select(key, "bias", "prediction", "additivity_gap", "p.*")
 
 
 @register("attribution_summary")
 def q_attribution_summary(spark, sf_dir):
     t = Train(spark, sf_dir)
-    return M.attribution_summary(M.path_attribution(t.forest(ATTRIBUTED_TREES, ATTRIBUTED_DEPTH), t.table, t.spec.key, t.feats,
-                                                     ATTRIBUTED_DEPTH), t.spec.key)
+    return FO.attribution_summary(FO.path_attribution(t.rf, t.rows.select(t.spec.key, *t.feats)), t.feats)
 
 
 @register("feature_contributions")
@@ -221,10 +233,10 @@ def q_feature_contributions(spark, sf_dir):
     forest features with value, dataset mean and direction."""
     from fairband.operators.explain import feature_contributions
     t = Train(spark, sf_dir)
-    imps = M.importance_rows(t.rf, t.feats)
-    row = t.table.agg(*[F.avg(f).alias(f) for f in t.feats]).first()
+    imps = t.rf.importances()
+    row = t.rows.agg(*[F.avg(f).alias(f) for f in t.feats]).first()
     means = {f: row[f] for f in t.feats}
-    out = feature_contributions(t.table, imps, means, 10)
+    out = feature_contributions(t.rows, imps, means, 10)
     return out.select(t.spec.key, F.posexplode("contributions").alias("rank0", "c")).select(
         t.spec.key, (F.col("rank0") + 1).alias("rank"), F.col("c.feature").alias("feature"),
         F.col("c.importance").alias("importance"), F.col("c.value").alias("value"),

@@ -46,19 +46,6 @@ def test_stream_rollup_equals_batch(spark, sf_dir):
     assert len(got) > 0 and got == want
 
 
-def test_path_attribution_is_additive(spark, sf_dir):
-    from fairband.operators import models as M
-    from fairband.plans.q_models import Train
-    t = Train(spark, sf_dir)
-    model = M.forest(8, 4).fit(M.stable_order(t.train, t.spec.key))
-    attr = M.path_attribution(model, t.table, t.spec.key, t.feats, 4)
-    tot = attr.groupBy(t.spec.key).agg(F.sum("contribution").alias("total"))
-    pred = model.transform(t.table).select(t.spec.key, "prediction")
-    gap = tot.join(pred, t.spec.key).agg(F.max(F.abs(F.col("total") - F.col("prediction")))).first()[0]
-    assert gap < 1e-9
-    assert attr.filter(F.col("feature") == "__bias__").count() == t.table.count()
-
-
 def test_stream_append_mode_emits_only_closed_windows(spark, sf_dir):
     from fairband.streaming.rollup import stream_log_rollup
     import uuid
