@@ -160,6 +160,21 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
+def scored_features(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """``(feature, odds)`` of ``log_odds``, found where the features are.
+
+    A feature's score depends on features that share its first letters only, so
+    each task walks the chains of its own share of beginnings.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = [row for batch in batches for row in zip(batch["feature"], batch["toxic"].tolist(), batch["clean"].tolist())]
+        odds = log_odds(counts, toxic, clean)
+        yield pd.DataFrame({"feature": list(odds.keys()), "odds": list(odds.values())})
+
+    return counted.repartition(F.substring("feature", 1, SHORTEST)).mapInPandas(walk, "feature string, odds double")
+
+
 def log_odds(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Score of every feature whose score, or whose prefix's score, is above zero."""
     base = (toxic + 0.5) / (toxic + clean + 1)
@@ -224,32 +239,37 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 10_
     sizes = {(r["held"], r["label"]): r["n"] for r in sample.groupBy((F.col("part") == 0).alias("held"), "label")
              .agg(F.count("*").alias("n")).collect()}
     counted = (document_frequencies(sample.filter("part <> 0")).filter(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS))
-    model = Model(log_odds([tuple(r) for r in counted.collect()], sizes.get((False, 1), 0), sizes.get((False, 0), 0)))
+    kept = scored_features(counted, sizes.get((False, 1), 0), sizes.get((False, 0), 0)).toArrow()
+    model = Model(dict(zip(kept["feature"].to_pylist(), kept["odds"].to_pylist())))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer, histogram = Scorer(model), np.zeros(len(BINS) - 1, np.int64)
         for batch in batches:
             out = []
             for text, label in zip(batch["text"], batch["label"]):
                 tokens = words(text)
                 scores = scorer.token_scores(tokens)
-                out.append((label, len(scores), [s for _, _, s in scorer.segments(tokens, scores)],
-                            [] if label else np.histogram(np.clip(scores, BINS[0], BINS[-1] - 0.05), BINS)[0].tolist()))
+                out.append((label, len(scores), [s for _, _, s in scorer.segments(tokens, scores)], []))
+                if not label:
+                    histogram += np.histogram(np.clip(scores, BINS[0], BINS[-1] - 0.05), BINS)[0]
             yield pd.DataFrame(out, columns=["label", "n", "segments", "histogram"])
+        yield pd.DataFrame([(-1, 0, [], histogram.tolist())], columns=["label", "n", "segments", "histogram"])
 
-    held = (sample.filter("part = 0").select("text", "label")
-            .mapInPandas(measure, "label int, n int, segments array<double>, histogram array<long>").collect())
+    measured = (sample.filter("part = 0").select("text", "label")
+                .mapInPandas(measure, "label int, n int, segments array<double>, histogram array<long>").toArrow())
     discard(sample)
-    clean = [r for r in held if not r["label"]]
+    rows = list(zip(*(measured[c].to_numpy() for c in ("label", "n", "segments", "histogram"))))
+    held = [r for r in rows if r[0] >= 0]
+    clean = [r for r in held if not r[0]]
     if clean:
-        counts = np.sum([r["histogram"] for r in clean], axis=0)
+        counts = np.sum([r[3] for r in rows if r[0] < 0], axis=0)
         model.scale = karlin_scale((BINS[:-1] + BINS[1:]) / 2, counts)
         # n K exp(-lambda S) of the best segment is exponential with mean 1
-        chance = [r["n"] * math.exp(-model.scale * max(r["segments"], default=0.0)) for r in clean if r["n"]]
+        chance = [n * math.exp(-model.scale * max(s, default=0.0)) for _, n, s, _ in clean if n]
         model.rate = max(1e-6, len(chance) / max(1e-9, sum(chance))) if chance else 1.0
     if clean and len(clean) < len(held):
-        x = np.array([model.evidence(r["segments"], r["n"]) for r in held])
-        y = np.array([float(r["label"]) for r in held])
+        x = np.array([model.evidence(s, n) for _, n, s, _ in held])
+        y = np.array([float(label) for label, *_ in held])
         model.slope, model.shift = logistic(x, y)
     return model
 
