@@ -6,8 +6,10 @@
    weighted Jaccard similarity.  Equal shingle sets become one representative.
 3. Representatives that share a band meet in its bucket.  Nobody is paired with a
    whole bucket: every member names the few members of other classes whose samples
-   agree most with its own, found in blocks.  Those pairs are verified by exact
-   weighted Jaccard.
+   agree most with its own, found in blocks.  A pair is named only in the first
+   bucket that both share, and only if it can be similar: the weights that fall
+   into ``BOUND_CELLS`` hash cells bound the common weight from above.  Those pairs are
+   verified by exact weighted Jaccard.
 4. Verified links make classes by label propagation.  Members of larger buckets
    that had more such partners than they could name then name more of them outside
    their class, until nobody has further ones.  Very large buckets are searched in
@@ -37,6 +39,7 @@ SAMPLES = BANDS * ROWS
 AGREEING = 23  # of 42 samples, that a pair needs to be verified; 0.8 alike pairs have 33.6 on average, standard deviation 2.6
 PARTNERS, MORE = 6, 4  # partners that a member names in the first round, and how many times as many in each later one
 BUCKET_PART, MIXED = 4096, 2  # members that are compared at a time, and rounds in random parts only
+BOUND_CELLS = 128  # cells of the upper bound of a pair's common weight
 NO_ID = -(1 << 63)
 CELL_BITS = 18
 FLOOR = 0.01  # document frequencies below this share of all documents count as this share
@@ -156,16 +159,38 @@ def _sets(batch: pd.DataFrame) -> Iterator[tuple]:
             yield ids[some], _set_names(hashes, tf, counts[some]), hashes, tf, counts[some]
 
 
+_BOUND = np.dtype([("unit", "<f4"), ("total", "<f4"), ("cells", np.uint8, BOUND_CELLS)])
+
+
+def bound_sketches(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For every set its total weight, and its weight in each hash cell, rounded up to 255ths of the largest."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    cell = (hashes >> np.uint64(64 - (BOUND_CELLS - 1).bit_length())).astype(np.int64)
+    sums = np.bincount(owner * BOUND_CELLS + cell, weights, len(counts) * BOUND_CELLS).reshape(-1, BOUND_CELLS)
+    out = np.empty(len(counts), _BOUND)
+    out["unit"], out["total"] = sums.max(axis=1) / 255, sums.sum(axis=1)
+    out["cells"] = np.minimum(255, np.ceil(sums / out["unit"][:, None]))
+    return out
+
+
+def most_alike(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """An upper bound of the similarity of each pair of sketches."""
+    a, b = one["cells"] * one["unit"][:, None], other["cells"] * other["unit"][:, None]
+    common = np.minimum(np.minimum(a, b).sum(axis=1) * np.float32(1 + 1e-4), np.minimum(one["total"], other["total"]))
+    return common / (one["total"] + other["total"] - common) * np.float32(1 + 1e-4)  # float rounding never lowers it
+
+
 def signatures(docs: DataFrame, weights) -> DataFrame:
-    """``(doc, id, samples)`` of every document with words; ``id`` names its shingle set."""
+    """``(doc, id, samples, sketch)`` of every document with words; ``id`` names its shingle set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, names, hashes, tf, counts in _sets(batch):
-                drawn = samples(hashes, weights.value.of(hashes, tf), counts)
-                yield pd.DataFrame({"doc": ids, "id": names, "samples": [row.tobytes() for row in drawn]})
+                w = weights.value.of(hashes, tf)
+                drawn, bounds = samples(hashes, w, counts), bound_sketches(hashes, w, counts)
+                yield pd.DataFrame({"doc": ids, "id": names, "samples": [row.tobytes() for row in drawn], "sketch": [row.tobytes() for row in bounds]})
 
-    return docs.select("doc", "text").mapInPandas(sign, "doc long, id long, samples binary")
+    return docs.select("doc", "text").mapInPandas(sign, "doc long, id long, samples binary, sketch binary")
 
 
 def weighted_sets(docs: DataFrame, weights) -> DataFrame:
@@ -202,7 +227,9 @@ def likeness(h1: pd.Series, w1: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.S
 
 
 def band_keys(column: Column) -> list[Column]:
-    return [F.xxhash64(F.substring(column, 4 * ROWS * k + 1, 4 * ROWS), F.lit(k)) for k in range(BANDS)]
+    """A key for every band: its number in the four highest bits, and a hash of its samples."""
+    return [F.shiftleft(F.lit(k).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.substring(column, 4 * ROWS * k + 1, 4 * ROWS)), 4))
+            for k in range(BANDS)]
 
 
 def propagate(links: DataFrame, name: str) -> DataFrame:
@@ -235,11 +262,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             .filter(F.col("similarity") >= similarity).select("a", "b"))
 
 
-def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most: int,
-                  parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hopeful(drawn: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray, band: int, similarity: float) -> np.ndarray:
+    """Which pairs of rows meet in no band before ``band`` and can be similar."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), 1 << 16):
+        i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
+        first = (drawn[i, :band * ROWS] == drawn[j, :band * ROWS]).reshape(-1, band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(i), bool)
+        out[at:at + len(i)] = ~first
+        rest = np.flatnonzero(~first)
+        out[at + rest] = most_alike(bounds[i[rest]], bounds[j[rest]]) >= similarity
+    return out
+
+
+def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most: int, parts: np.ndarray | None = None,
+                  bounds: np.ndarray | None = None, band: int = 0, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """For each document the up to ``most`` of other classes whose samples agree most, if enough: ``(a, b)`` rows.
 
-    With ``parts`` they are of another part, too.  Members of the commonest class
+    With ``bounds`` only ``hopeful`` pairs count.  With ``parts`` they are of another part, too.  Members of the commonest class
     name nobody, the others name them.  The second result marks the documents
     between which pairs are left: those with more partners than ``most``, and then
     the commonest class.
@@ -256,6 +295,9 @@ def best_partners(ids: np.ndarray, labels: np.ndarray, drawn: np.ndarray, most:
         agreed[labels[rows, None] == labels[None, :]] = 0
         if parts is not None:
             agreed[parts[rows, None] == parts[None, :]] = 0
+        if bounds is not None:
+            i, j = np.nonzero(agreed >= AGREEING)
+            agreed[i, j] *= hopeful(drawn, bounds, rows[i], j, band, similarity)
         top = np.argpartition(agreed, len(ids) - k, axis=1)[:, len(ids) - k:]
         i, j = np.nonzero(np.take_along_axis(agreed, top, axis=1) >= AGREEING)
         found.append(np.stack((ids[rows[i]], ids[top[i, j]]), axis=1))
@@ -301,7 +343,7 @@ def visits(searched: DataFrame, turn: int) -> DataFrame:
                        F.lit(False).alias("more"))
 
 
-def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Best partners ``(key, a, b)`` in the other buckets, and ``(key, a, a)`` of the members that may have further ones."""
     most = PARTNERS * MORE ** turn
 
@@ -309,13 +351,14 @@ def _within_large(members: DataFrame, known: DataFrame, labels: DataFrame, turn:
         drawn = np.frombuffer(b"".join(group["samples"]), np.uint32).reshape(-1, SAMPLES)
         ids, first = group["id"].to_numpy(), group.iloc[0]
         parts = group["part"].to_numpy() if first["one"] != first["other"] else None
-        pairs, left = best_partners(ids, group["label"].to_numpy(), drawn, most, parts)
+        bounds = np.frombuffer(b"".join(group["sketch"]), _BOUND)
+        pairs, left = best_partners(ids, group["label"].to_numpy(), drawn, most, parts, bounds, int(first["band"]), similarity)
         left |= first["more"]
         pairs = pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)}).drop_duplicates()
         return pd.concat([pairs, pd.DataFrame({"a": ids[left], "b": ids[left]})]).assign(key=first["key"])[["key", "a", "b"]]
 
     searched = members.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    return (visits(searched, turn).join(known.select("id", "samples"), "id")
+    return (visits(searched, turn).withColumn("band", F.shiftright("key", 60).bitwiseAND(F.lit(15)).cast("int")).join(known, "id")
             .groupBy("key", "one", "other").applyInPandas(search, "key long, a long, b long"))
 
 
@@ -335,13 +378,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     weights = spark.sparkContext.broadcast(Weights(*cell_frequencies(texts)))
     signed = written(signatures(texts, weights), "near-signatures")
-    reps = written(signed.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("documents"), F.first("samples").alias("samples"))
-                   .withColumn("keys", F.array_distinct(F.array(*band_keys(F.col("samples"))))), "near-representatives")
+    reps = written(signed.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("documents"), F.first("samples").alias("samples"),
+                                                F.first("sketch").alias("sketch"))
+                   .withColumn("keys", F.array(*band_keys(F.col("samples")))), "near-representatives")
     banded = reps.select("id", "doc", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(banded.join(buckets, "key"), "near-members")
     wanted = written(members.groupBy("id").agg(F.first("doc").alias("doc")), "near-wanted")
-    known = written(reps.join(wanted.select("id"), "id", "left_semi").select("id", "samples"), "near-known")
+    known = written(reps.join(wanted.select("id"), "id", "left_semi").select("id", "samples", "sketch"), "near-known")
     asked = written(wanted.select("doc").distinct(), "near-asked")
     sets = written(weighted_sets(maybe_among(texts, asked, "doc").join(asked, "doc", "left_semi"), weights)
                    .join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "near-sets")
@@ -349,7 +393,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, tested, named = spark.createDataFrame([], "id long, label long"), [], []
     searched = members.filter(F.col("size") > PARTNERS + 1).select("key", "id")
     while True:
-        named.append(written(_within_large(searched, known, labels, len(named)), "near-named"))
+        named.append(written(_within_large(searched, known, labels, len(named), similarity), "near-named"))
         pairs = named[-1].filter("a <> b").select("a", "b")
         if not tested:
             pairs = pairs.unionByName(_within_small(members, known))

@@ -137,6 +137,38 @@ def test_samples_agree_as_often_as_weighted_jaccard():
     assert len(h) == 400
 
 
+def test_sketches_bound_the_similarity_from_above():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 150, 3000):
+        for _ in range(20):
+            keys = np.sort(rng.integers(0, 1 << 64, 2 * size, dtype=np.uint64))
+            w = rng.choice([0.75, 0.9, 1.0, 1.7, 5.0], 2 * size).astype(np.float32)
+            a, b = (rng.random(2 * size) < rng.choice([0.3, 0.9, 1.0]) for _ in range(2))
+            if a.any() and b.any():
+                bounds = [M.bound_sketches(keys[m], w[m], np.array([m.sum()])) for m in (a, b)]
+                true = M.weighted_jaccard(keys[a].tobytes(), w[a].tobytes(), keys[b].tobytes(), w[b].tobytes())
+                assert M.most_alike(*bounds)[0] >= true
+    one, other = np.sort(rng.integers(0, 1 << 64, 146, dtype=np.uint64)), np.sort(rng.integers(0, 1 << 64, 40, dtype=np.uint64))
+    mix = np.sort(np.concatenate([one[40:], other]))  # 106 of 186 in common
+    w = np.ones(146, np.float32)
+    assert M.most_alike(*[M.bound_sketches(h, w, np.array([146])) for h in (one, mix)])[0] < 0.75
+
+
+def test_a_pair_is_named_in_its_first_band_only(spark):
+    docs = spark.createDataFrame(related_documents(60, 20), SCHEMA).select(F.col("doc_id").alias("doc"), "text")
+    weights = spark.sparkContext.broadcast(M.Weights(*M.cell_frequencies(docs)))
+    signed = M.signatures(docs, weights).collect()
+    drawn = np.frombuffer(b"".join(r.samples for r in signed), np.uint32).reshape(-1, M.SAMPLES)
+    keys = [r.keys for r in spark.createDataFrame(signed).select(F.array(*M.band_keys(F.col("samples"))).alias("keys")).collect()]
+    assert all((k >> 60) & 15 == band for row in keys for band, k in enumerate(row))
+    for i in range(60):
+        for j in range(i):
+            shared = [b for b in range(M.BANDS) if keys[i][b] == keys[j][b]]
+            bounds = np.frombuffer(signed[i].sketch + signed[j].sketch, M._BOUND)
+            named = [b for b in shared if M.hopeful(drawn[[i, j]], bounds, np.array([0]), np.array([1]), b, 0.0)[0]]
+            assert named == shared[:1]
+
+
 def test_word_and_run_hashes_follow_the_words():
     texts = [b"The cat  sat\n", b"", b" \t", b"the CAT sat on", b"cat sat"]
     words, counts = word_hashes(texts)
