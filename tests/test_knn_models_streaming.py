@@ -6,7 +6,7 @@ from fairband.operators.neighbors import similar_entities
 
 def test_knn_equals_brute_force(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    got = similar_entities(emb, "vec_id", "embedding", k=4, block=8).collect()
+    got = similar_entities(emb, "vec_id", "embedding", k=4, cell_rows=100, leaf=8).collect()
     rows = emb.select("vec_id", "embedding").collect()
     ids = np.array([r.vec_id for r in rows])
     X = np.array([r.embedding for r in rows], dtype=np.float64)
