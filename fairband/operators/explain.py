@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairband.functions.scalar import (age_phrase, humanize_name, list_phrase, overall_phrase,
+from fairband.functions.scalar import (age_phrase, fmt_eur, humanize_name, list_phrase, overall_phrase,
                                        range_display, reputation_phrase)
 
 # Display names for features (our own wording; unknown names fall back to spaces).
@@ -34,11 +34,29 @@ def feature_contributions(df: DataFrame, importances: list[tuple], means: dict,
     return df.withColumn("contributions", F.slice(arr, 1, top))
 
 
-def explanation_context(df: DataFrame, factors: str = "contributions", n: int = 5) -> DataFrame:
-    """Top factor lines as one text block."""
+def similar_lines(neighbors: DataFrame, about: DataFrame, key: str, n: int = 3, name="short_name", position="position",
+                  overall="overall", pay="gross_annual_eur") -> DataFrame:
+    """``(key, similar)``: the first ``n`` neighbours of every row as lines of name, position, rating and pay.
+
+    ``neighbors`` has ``query_id``, ``neighbor_id``, ``rank``; at most ``n`` rows of a query are gathered.
+    """
+    line = F.concat(F.col(name), F.lit(" ("), F.col(position), F.lit(", rating "), F.format_number(F.col(overall).cast("double"), 1),
+                    F.lit("): paid "), fmt_eur(pay))
+    known = about.select(F.col(key).alias("neighbor_id"), line.alias("line"))
+    return (neighbors.filter(F.col("rank") <= n).join(known, "neighbor_id").groupBy(F.col("query_id").alias(key))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda r: r["line"]).alias("similar")))
+
+
+def explanation_context(df: DataFrame, factors: str = "contributions", n: int = 5, similar: str | None = None) -> DataFrame:
+    """All facts behind a row's estimate as one text block: its strongest factors with the
+    row's value and the average of all rows, and under ``similar`` the lines of rows like it."""
     lines = F.transform(F.slice(F.col(factors), 1, n), lambda c: F.concat(
-        humanize_name(c["feature"], DISPLAY_NAMES), F.lit(" ("), c["direction"], F.lit(")")))
-    return df.withColumn("explanation_context", F.array_join(lines, "\n"))
+        humanize_name(c["feature"], DISPLAY_NAMES), F.when(c["direction"] == "up", F.lit(": not below average (")).otherwise(F.lit(": below average (")),
+        F.format_number(c["value"], 2), F.lit(" against "), F.format_number(c["mean"], 2), F.lit(")")))
+    text = F.concat(F.lit("Factors:\n"), F.array_join(lines, "\n"))
+    if similar:
+        text = F.concat(text, F.when(F.size(similar) > 0, F.concat(F.lit("\nRows like it:\n"), F.array_join(F.col(similar), "\n"))).otherwise(F.lit("")))
+    return df.withColumn("explanation_context", text)
 
 
 def template_explanation(df: DataFrame, name="short_name", club="club_name", low="predicted_low_eur",

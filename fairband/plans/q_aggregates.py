@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairband.functions.scalar import per_90, snap
 from fairband.operators import analytics as A
+from fairband.operators.panel import numeric_columns
 from fairband.plans.context import Ctx
 from fairband.plans.oracle_sql import snap as S, with_panel
 from fairband.plans.q_features import SPLIT_SQL
@@ -273,16 +274,23 @@ NUMS = ["age", "overall", "international_reputation", "value_eur", "appearances"
         "goals", "assists", "rating", "market_value_eur"]
 
 
+# every numeric column of the modelling table but the target
+NUMERIC = ["player_pk", "api_football_id", "age", "overall", "international_reputation", "value_eur", "season", "appearances",
+           "minutes", "goals", "assists", "rating", "market_value_eur"]
+
+
 @register("corr_to_target", with_panel(
     "SELECT feature, " + S("corr", 9) + " AS corr, " + S("abs(corr)", 9) + " AS abs_corr FROM (SELECT unnest(["
-    + ", ".join(f"'{n}'" for n in NUMS) + "]) AS feature, unnest(["
-    + ", ".join(f"corr({n}, gross_annual_eur)" for n in NUMS) + "]) AS corr FROM scored) WHERE corr IS NOT NULL"))
+    + ", ".join(f"'{n}'" for n in NUMERIC) + "]) AS feature, unnest(["
+    + ", ".join(f"corr({n}, gross_annual_eur)" for n in NUMERIC) + "]) AS corr FROM trained) WHERE corr IS NOT NULL AND NOT isnan(corr)"))
 def q_corr_target(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return _snap_cols(A.corr_to_target(c.scored, NUMS, "gross_annual_eur"), {"corr": 9, "abs_corr": 9})
+    columns = [n for n in numeric_columns(c.trained) if n != "gross_annual_eur"]
+    return _snap_cols(A.corr_to_target(c.trained, columns, "gross_annual_eur"), {"corr": 9, "abs_corr": 9})
 
 
-KEYF = ["age", "overall", "minutes", "goals", "rating", "market_value_eur"]
+# the target and every measure the domain view has; it lacks potential, wage, pace, shooting, passing, dribbling, defending and physique
+KEYF = [*NUMS, "gross_annual_eur"]
 _PAIRS = [(a, b) for i, a in enumerate(KEYF) for b in KEYF[i + 1:]]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairband.functions.scalar import snap
@@ -88,19 +89,23 @@ UNION ALL SELECT 'stats', count(*), count(*) FILTER (WHERE player_pk IN (SELECT
 UNION ALL SELECT 'market', count(*), count(*) FILTER (WHERE player_pk IN (SELECT player_pk FROM attrs)) FROM market
 UNION ALL SELECT 'trained', count(*), count(*) FROM trained"""))
 def q_funnel(spark, sf_dir):
-    from functools import reduce
-    c = Ctx(spark, sf_dir)
-    t = c.tables
-    keys = t.attributes.select("player_pk")
+    """Rows of every source and how many belong to a known entity: one pass over each file.
 
-    def one(name, df):
-        m = df.join(keys, "player_pk", "left_semi").agg(F.count(F.lit(1)).alias("n_matched"))
-        n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-        return n.withColumn("n_matched", m.select("n_matched").scalar()).select(
-            F.lit(name).alias("source"), "n_rows", "n_matched")
-    parts = [one("attributes", t.attributes), one("salaries", t.salaries), one("stats", t.stats),
-             one("market", t.market), one("trained", c.trained)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    Season statistics carry all that the other activity sources are made of, so one
+    row per entity (from one aggregate) joined to the attributes counts all five.
+    """
+    c = Ctx(spark, sf_dir, persist_panel=False)
+    t = c.tables
+    both = t.attributes.select("player_pk", "league_name", F.lit(True).alias("_known")).join(t.activity, "player_pk", "full_outer")
+    known, sold, priced = F.col("_known").isNotNull(), F.col("gross_annual_eur").isNotNull(), F.col("market_value_eur").isNotNull()
+    n = F.coalesce("n_seasons", F.lit(0))
+    kept = (F.col("gross_annual_eur") > 0) & (F.col("appearances") >= c.spec.min_activity) & F.col("league_name").isin(list(c.spec.leagues)) & known
+    pairs = {"attributes": (F.count_if(known), F.count_if(known)), "salaries": (F.count_if(sold), F.count_if(sold & known)),
+             "stats": (F.sum(n), F.coalesce(F.sum(F.when(known, n)), F.lit(0))), "market": (F.count_if(priced), F.count_if(priced & known)),
+             "trained": (F.count_if(kept), F.count_if(kept))}
+    one = both.agg(F.array(*[F.struct(F.lit(k).alias("source"), a.cast("long").alias("n_rows"), b.cast("long").alias("n_matched"))
+                             for k, (a, b) in pairs.items()]).alias("rows"))
+    return one.select(F.inline("rows"))
 
 
 @register("json_payload_parse", with_panel("""
@@ -240,17 +245,74 @@ def q_cache_upsert(spark, sf_dir):
         F.date_format(F.max("computed_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
 
 
-@register("template_explanation")
+EXPLAINED = ["overall", "minutes", "appearances", "goals", "assists", "rating", "age"]
+
+
+def _explanation_sql() -> str:
+    """Factors by |correlation| with the target, the percentile, the phrases, and the three nearest rows on the standardised factors."""
+    from fairband.operators.explain import DISPLAY_NAMES
+    names = ", ".join(f"'{f}'" for f in EXPLAINED)
+    shown = "CASE f " + " ".join(f"WHEN '{f}' THEN '{DISPLAY_NAMES[f]}'" for f in EXPLAINED) + " END"
+    apart = " + ".join(f"(a.z_{f} - b.z_{f}) * (a.z_{f} - b.z_{f})" for f in EXPLAINED)
+    return with_panel(f"""
+, stat AS (SELECT unnest([{names}]) AS f, unnest([{", ".join(f"avg({f})" for f in EXPLAINED)}]) AS mean,
+           unnest([{", ".join(f"abs(corr({f}, gross_annual_eur))" for f in EXPLAINED)}]) AS weight FROM scored),
+val AS (SELECT player_pk, unnest([{names}]) AS f, unnest([{", ".join(f"{f}::DOUBLE" for f in EXPLAINED)}]) AS value FROM scored),
+ranked AS (SELECT v.*, mean, row_number() OVER (PARTITION BY player_pk ORDER BY weight DESC) AS place, {shown} AS shown FROM val v JOIN stat USING (f)),
+factors AS (SELECT player_pk, string_agg(shown || CASE WHEN value >= mean THEN ': not below average (' ELSE ': below average (' END
+              || format('{{:,.2f}}', value) || ' against ' || format('{{:,.2f}}', mean) || ')', chr(10) ORDER BY place) FILTER (WHERE place <= 5) AS lines,
+              max(shown) FILTER (WHERE place = 1) AS strongest FROM ranked GROUP BY 1),
+z AS (SELECT player_pk, {", ".join(f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS z_{f}" for f in EXPLAINED)} FROM scored),
+near AS (SELECT a.player_pk, b.player_pk AS other, row_number() OVER (PARTITION BY a.player_pk ORDER BY round_even(sqrt({apart}), 9), b.player_pk) AS place
+         FROM z a JOIN z b ON a.player_pk <> b.player_pk QUALIFY place <= 3),
+alike AS (SELECT n.player_pk, string_agg(s.short_name || ' (' || s.position || ', rating ' || format('{{:,.1f}}', s.overall) || '): paid EUR '
+            || format('{{:,.0f}}', s.gross_annual_eur), chr(10) ORDER BY place) AS lines FROM near n JOIN scored s ON s.player_pk = n.other GROUP BY 1),
+pct AS (SELECT player_pk, round_even(cume_dist() OVER (ORDER BY gross_annual_eur) * 100, 1) AS p FROM scored)
+SELECT s.player_pk,
+  'Yearly pay range of ' || short_name || ', ' || club_name || ': EUR ' || format('{{:,.0f}}', predicted_low_eur) || ' - EUR ' || format('{{:,.0f}}', predicted_high_eur)
+  || '; more than ' || CAST(p AS VARCHAR) || ' % of the rows. Strongest factor: ' || strongest || '. Profile: aged ' || CAST(CAST(age AS INTEGER) AS VARCHAR) || ' ('
+  || CASE WHEN age <= 23 THEN 'learning the trade' WHEN age <= 26 THEN 'best seasons to come' WHEN age <= 30 THEN 'at full strength'
+          WHEN age <= 33 THEN 'many seasons played' ELSE 'late career' END || '), '
+  || CASE WHEN overall >= 85 THEN 'top-tier rating, ' WHEN overall >= 80 THEN 'strong rating, ' WHEN overall >= 75 THEN 'sound rating, ' ELSE '' END
+  || CASE WHEN coalesce(international_reputation, 0) >= 5 THEN 'known worldwide' WHEN coalesce(international_reputation, 0) >= 4 THEN 'known abroad'
+          WHEN coalesce(international_reputation, 0) >= 3 THEN 'known outside the home league' WHEN coalesce(international_reputation, 0) >= 2 THEN 'known at home'
+          ELSE 'little known' END || '. Roles: ' || trim(split_part(player_positions, ',', 1)) || ' or ' || trim(split_part(player_positions, ',', 2))
+  || '. Traits: ' || split_part(short_name, ' ', 1) || ' and ' || split_part(short_name, ' ', 2) || '. Tags: ' || lower(league_name) || ' and ' || lower(position) || '.' AS explanation,
+  'Factors:' || chr(10) || factors.lines || chr(10) || 'Rows like it:' || chr(10) || alike.lines AS explanation_context
+FROM scored s JOIN factors USING (player_pk) JOIN alike USING (player_pk) JOIN pct USING (player_pk)""")
+
+
+@register("template_explanation", _explanation_sql())
 def q_explanation(spark, sf_dir):
-    """Sentence per trained row from the peer range, percentile rank and top factor."""
+    """Statements for every trained row and the facts behind them: peer range, percentile, factors, and three rows like it with their pay."""
     from fairband.operators.analytics import feature_stats, percentile_rank
-    from fairband.operators.explain import explanation_context, feature_contributions, template_explanation
+    from fairband.operators.explain import explanation_context, feature_contributions, similar_lines, template_explanation
+    from fairband.operators.features import standard_scale
+    from fairband.operators.neighbors import similar_entities
+    c = Ctx(spark, sf_dir)
+    key = c.spec.key
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in feature_stats(c.scored, EXPLAINED).collect()}
+    corr = c.scored.agg(*[F.corr(f, "gross_annual_eur").alias(f) for f in EXPLAINED]).first()
+    imps = sorted([(0, f, abs(corr[f] or 0.0)) for f in EXPLAINED], key=lambda t: -t[2])
+    # the adapter's tables have neither traits nor tags: words of the name and two categories stand for them
+    x = percentile_rank(c.scored, "gross_annual_eur").withColumns({
+        "player_traits": F.concat_ws(", ", F.split("short_name", " ")[0], F.split("short_name", " ")[1]),
+        "player_tags": F.concat(F.lit("#"), F.lower("league_name"), F.lit(", #"), F.lower("position"))})
+    x = feature_contributions(x, imps, {f: m for f, (m, _) in stats.items()}, 5)
+    x = template_explanation(x.withColumn("top_feature", F.col("contributions")[0]["feature"]), traits="player_traits", tags="player_tags")
+    points = standard_scale(c.scored.select(key, *EXPLAINED), stats).select(key, F.array(*EXPLAINED).alias("v"))
+    near = similar_entities(points, key, "v", 8)  # some more, so that equal distances are ordered by id alone
+    by = Window.partitionBy("query_id").orderBy(F.bround("distance", 9), "neighbor_id")
+    near = near.withColumn("rank", F.row_number().over(by)).filter("rank <= 3")
+    x = x.join(similar_lines(near, c.scored, key), key, "left")
+    return explanation_context(x, similar="similar").select(key, "explanation", "explanation_context")
+
+
+@register("missing_keys", with_panel("""
+SELECT w.player_pk FROM (SELECT unnest([1, 12, 30, 2000001, 2000002]) AS player_pk) w WHERE w.player_pk NOT IN (SELECT player_pk FROM combined)"""))
+def q_missing_keys(spark, sf_dir):
+    """The asked keys that no entity has: the not-found answer of a lookup."""
+    from fairband.operators.filters import missing_keys
     c = Ctx(spark, sf_dir)
-    feats = ["overall", "minutes", "appearances", "goals", "assists", "rating", "age"]
-    means = {r["feature"]: r["mean"] for r in feature_stats(c.scored, feats).collect()}
-    corr = c.scored.agg(*[F.corr(f, "gross_annual_eur").alias(f) for f in feats]).first()
-    imps = sorted([(0, f, abs(corr[f] or 0.0)) for f in feats], key=lambda t: -t[2])
-    x = feature_contributions(percentile_rank(c.scored, "gross_annual_eur"), imps, means, 5)
-    x = x.withColumn("top_feature", F.col("contributions")[0]["feature"])
-    x = explanation_context(template_explanation(x))
-    return x.select("player_pk", "explanation", "explanation_context")
+    asked = spark.createDataFrame([(1,), (12,), (30,), (2000001,), (2000002,)], "player_pk long")
+    return missing_keys(c.combined, asked, c.spec.key)

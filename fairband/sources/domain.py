@@ -153,7 +153,7 @@ def activity(seasons: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     g = (stats.groupBy("player_pk").agg(
         F.sum("pay_cents").alias("pay_cents"), F.sum("pay_n").alias("pay_n"),
         F.max("market_max").alias("market_value_eur"), F.min("min_suppkey").alias("api_football_id"),
-        latest.alias("_l")))
+        latest.alias("_l"), F.count(F.lit(1)).alias("n_seasons")))
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     return (g.join(sup, F.col("api_football_id") == F.col("s_suppkey"), "left")
@@ -161,7 +161,7 @@ def activity(seasons: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("player_pk", "api_football_id", F.col("n_name").alias("nationality"),
                     *[F.col(f"_l.{c}").alias(c) for c in ("season", "appearances", "minutes", "goals",
                                                            "assists", "rating")],
-                    "market_value_eur",
+                    "market_value_eur", "n_seasons",
                     F.when(F.col("pay_n") > 0, _cent_mean("pay_cents", "pay_n")).alias("gross_annual_eur")))
 
 

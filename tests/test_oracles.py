@@ -1,14 +1,13 @@
-"""Spark vs DuckDB on the smallest data set for a representative subset of queries."""
+"""Spark vs DuckDB on the smallest data set for every registered query that has a SQL twin."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fairband.plans.registry import ORACLE, QUERIES, load_all
 from tools.oracle_check import TABLES, _rows
 
-SUBSET = ["top_overpaid", "panel_left_joins", "status", "filter_league", "paginate", "league_stats",
-          "age_buckets", "percentile_rank", "histogram", "engineer_features", "similar_entities",
-          "statblock_rollup", "cache_upsert", "log_error_rollup"]
+load_all()
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +18,10 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", SUBSET)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, sf_dir, con, name):
-    df = E.queries()[name](spark, sf_dir)
-    rel = con.execute(E.oracle_sql()[name])
+    df = QUERIES[name](spark, sf_dir)
+    rel = con.execute(ORACLE[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, rel.fetchall())
