@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+import uuid
+from functools import cached_property, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairband.functions.scalar import in_range, range_check_ok, status
+from fairband.functions.scalar import in_range, range_check_ok, snap, status
 from fairband.operators import features as FE
 from fairband.operators import forests as FO
 from fairband.operators import models as M
 from fairband.operators import selection as S
 from fairband.operators.panel import first_best
+from fairband.operators.refresh import refresh_scores
 from fairband.plans.context import Ctx
+from fairband.plans.oracle_sql import snap as SQL_SNAP, with_panel
 from fairband.plans.registry import register
+from fairband.session import scratch_path
+from fairband.sources.buckets import BucketTable
 
 
 
@@ -141,20 +147,48 @@ def q_predict_range(spark, sf_dir):
         status(a, s.low, s.high).alias("status"))
 
 
+def _new_features(t):
+    """Features of entities outside the trained set: what is missing counts as 0.0, an unknown foot as the right one."""
+    s = t.spec
+    new = FE.onehot_drop_first(FE.encode_foot(t.ctx.untrained, s), s.position, s.position_categories)
+    return FE.engineer_features(new.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in s.base_features}), s)
+
+
+def _score_new(spark, sf_dir, runs=2):
+    """Refresh the cache of new entities ``runs`` times: ``(train, features, current rows, run in which each was scored)``."""
+    t = Train(spark, sf_dir)
+    s = t.spec
+    new = _new_features(t)
+    table = BucketTable(spark, scratch_path(spark, "scores/new_" + uuid.uuid4().hex[:8]), s.key)
+    score = lambda rows: FO.predict_range(t.rf, rows.select(s.key, *t.feats), s).select(s.key, s.low, s.high, s.center)
+    scored = []
+    for run in range(runs):
+        current, made = refresh_scores(table, new, score, f"forest:{len(t.feats)}", f"2001-11-{4 + run:02d}")
+        scored.append(made.select(s.key, F.lit(run + 1).alias("run")))
+    return t, new, current, reduce(DataFrame.unionByName, scored)
+
+
 @register("score_new_entities")
 def q_score_new(spark, sf_dir):
-    """Entities outside the trained set (e.g. other leagues): features from their latest
-    activity (missing -> training medians), then forest ranges."""
-    t = Train(spark, sf_dir)
+    """Entities outside the trained set (e.g. other leagues): forest ranges, scored once and then read from the cache."""
+    t, new, current, _ = _score_new(spark, sf_dir)
     s = t.spec
-    tr = t.train
-    med = FE.fit_medians(tr, list(s.base_features))
-    new = FE.onehot_drop_first(FE.encode_foot(t.ctx.untrained, s), s.position, s.position_categories)
-    new = FE.engineer_features(FE.median_impute(new, med), s)
-    new = M.assemble(new, t.feats)
-    out = M.predict_range(t.rf, new, s)
-    return out.select(s.key, s.league, s.low, s.high, s.center,
-                      status(F.col(s.target), s.low, s.high).alias("status"))
+    out = new.select(s.key, s.league, s.target).join(current, s.key)
+    return out.select(s.key, s.league, s.low, s.high, s.center, status(F.col(s.target), s.low, s.high).alias("status"))
+
+
+@register("score_new_keys", with_panel(f"""
+SELECT player_pk, 'forest:23' AS model_version, '2001-11-04' AS computed_on, 1 AS runs, 1 AS last_run, coalesce(minutes, 0.0) AS minutes,
+  coalesce(market_value_eur, 0.0) AS market_value_eur, {SQL_SNAP('coalesce(rating, 0.0)', 6)} AS rating,
+  CASE WHEN preferred_foot = 'Left' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS foot FROM untrained"""))
+def q_score_new_keys(spark, sf_dir):
+    """Which entities two refreshes scored (the second none), in which run, and what was filled in for them."""
+    t, new, current, runs = _score_new(spark, sf_dir)
+    key = t.spec.key
+    per = runs.groupBy(key).agg(F.count("*").alias("runs"), F.max("run").alias("last_run"))
+    return (new.join(current.select(key, "model_version", F.date_format("computed_at", "yyyy-MM-dd").alias("computed_on")), key).join(per, key)
+            .select(key, "model_version", "computed_on", "runs", "last_run", "minutes", "market_value_eur", snap("rating", 6).alias("rating"),
+                    F.col(t.spec.foot + "_code").alias("foot")))
 
 
 @register("cross_validate")
