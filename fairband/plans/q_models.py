@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairband.functions.scalar import in_range, range_check_ok, snap, status
+from fairband.operators import artifacts as AR
 from fairband.operators import features as FE
 from fairband.operators import forests as FO
 from fairband.operators import models as M
@@ -275,3 +276,54 @@ def q_feature_contributions(spark, sf_dir):
         t.spec.key, (F.col("rank0") + 1).alias("rank"), F.col("c.feature").alias("feature"),
         F.col("c.importance").alias("importance"), F.col("c.value").alias("value"),
         F.col("c.mean").alias("mean"), F.col("c.direction").alias("direction"))
+
+
+def _artifacts(spark, sf_dir):
+    """Fit, save and load again: ``(train, loaded pipeline, config, tables, pipeline as fitted)``."""
+    t = Train(spark, sf_dir)
+    s = t.spec
+    base = FE.train_test_split(t.ctx.trained, s.key)
+    medians = FE.fit_medians(base.filter(F.col("split") == "train"), list(s.base_features))
+    train = t.rows.filter(F.col("split") == "train")
+    fitted = AR.scoring_pipeline(s, medians, FE.fit_scaler(train, t.feats), t.rf)
+    residual = FO.predict(t.rf, t.rows.select(M.LABEL, *t.feats)).agg(F.stddev_pop(F.col(M.LABEL) - F.col("prediction"))).first()[0]
+    config = {"model": "forest", "trees": t.rf.count, "features": t.feats, "position_categories": sorted(s.position_categories),
+              "residual_std": residual, "n_rows": t.rows.count(), "n_train": train.count()}
+    tables = {"importances": spark.createDataFrame(t.rf.importances(), "rank int, feature string, importance double"),
+              "statistics": AR.dataset_statistics(t.rows, s),
+              "metrics": M.regression_report(FO.predict(t.rf, t.rows.select("split", M.LABEL, *t.feats)), s, "random_forest")}
+    folder = scratch_path(spark, "artifacts/" + uuid.uuid4().hex[:12])
+    AR.save(fitted, folder, config, tables)
+    return (t, *AR.load(spark, folder), fitted)
+
+
+@register("artifact_pipeline", with_panel("SELECT player_pk, true AS same_range, true AS same_scaled FROM trained"))
+def q_artifact_pipeline(spark, sf_dir):
+    """Every trained row scored from its raw panel columns by the saved and reloaded pipeline, against the pipeline as fitted."""
+    t, loaded, _, _, fitted = _artifacts(spark, sf_dir)
+    s = t.spec
+    score = lambda p, tag: p.transform(t.ctx.trained).select(s.key, *[F.col(c).alias(c + tag) for c in (s.low, s.high, s.center, "scaled")])
+    both = score(fitted, "").join(score(loaded, "_again"), s.key)
+    same = lambda *cs: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(c + "_again")) for c in cs])
+    return both.select(s.key, same(s.low, s.high, s.center).alias("same_range"), same("scaled").alias("same_scaled"))
+
+
+@register("artifact_statistics", with_panel(f"""
+, g AS (SELECT 'all' AS scope, 'all' AS name, gross_annual_eur AS v FROM trained UNION ALL SELECT 'league', league_name, gross_annual_eur FROM trained
+        UNION ALL SELECT 'position', position, gross_annual_eur FROM trained)
+SELECT scope, name, count(*) AS n, {SQL_SNAP('avg(v)', 4)} AS mean, {SQL_SNAP('min(v)', 4)} AS min, {SQL_SNAP('max(v)', 4)} AS max,
+  {SQL_SNAP('stddev_samp(v)', 4)} AS std, {SQL_SNAP('quantile_cont(v, 0.5)', 4)} AS median FROM g GROUP BY 1, 2"""))
+def q_artifact_statistics(spark, sf_dir):
+    """The statistics table of a saved version: pay of all rows, by league and by position."""
+    *_, tables, _ = _artifacts(spark, sf_dir)
+    return tables["statistics"].select("scope", "name", "n", *[snap(c, 4).alias(c) for c in ("mean", "min", "max", "std", "median")])
+
+
+@register("artifact_tables")
+def q_artifact_tables(spark, sf_dir):
+    """Config, importances and metrics of a saved version, one row per entry."""
+    _, _, config, tables, _ = _artifacts(spark, sf_dir)
+    rows = spark.createDataFrame([("config", k, str(v)) for k, v in sorted(config.items())], "artifact string, name string, value string")
+    shares = tables["importances"].select(F.lit("importances").alias("artifact"), F.col("feature").alias("name"), F.col("importance").cast("string").alias("value"))
+    scores = tables["metrics"].select(F.lit("metrics").alias("artifact"), F.concat_ws(".", "split", F.lit("r2")).alias("name"), F.col("r2").cast("string").alias("value"))
+    return rows.unionByName(shares).unionByName(scores)
