@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairband.llm.common import python_workers
+from fairband.llm.common import held, python_workers
 
 SPAN = 100_000  # pieces looked at together
 CACHED = 300_000  # encoded pieces a worker remembers
@@ -207,15 +207,9 @@ class Encoder:
         yield from self._block(block)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    key = (hash(rank_file), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary(rank_file), pattern)
-    return _ENCODERS[key]
+    return held(("byte_bpe", hash(rank_file), pattern), lambda: Encoder(Vocabulary(rank_file), pattern))
 
 
 @lru_cache(maxsize=2)

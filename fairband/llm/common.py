@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairband.session import scratch_path
 
 BATCH_BYTES = 8 << 20
+_TRIM = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)  # only where the C library has it
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -59,6 +64,27 @@ def python_workers(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     context._fairband_sent = True
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A large helper (a vocabulary, say) that a worker process keeps between its tasks; it keeps one at a time."""
+    if key not in _HELD:
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Let go of the helper that earlier tasks of this worker left, and return free memory to the system."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def upper_63(value: Column) -> Column:
     """A 64-bit hash as a non-negative long that keeps the hash's unsigned order."""
     return F.shiftrightunsigned(value, 1)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairband.llm.common import discard, maybe_among, python_workers, written
+from fairband.llm.common import discard, give_back, maybe_among, python_workers, written
 from fairband.llm.shingles import mixed, shingle_sets, text_blocks
 
 WORDS, SIMILARITY = 5, 0.8
@@ -119,6 +119,7 @@ def cell_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     block = 1 << 12
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         cells, documents = np.zeros(1 << CELL_BITS, np.int64), 0
         for batch in batches:
             for texts in text_blocks(batch["text"]):
@@ -184,11 +185,13 @@ def signatures(docs: DataFrame, weights) -> DataFrame:
     """``(doc, id, samples, sketch)`` of every document with words; ``id`` names its shingle set."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             for ids, names, hashes, tf, counts in _sets(batch):
                 w = weights.value.of(hashes, tf)
                 drawn, bounds = samples(hashes, w, counts), bound_sketches(hashes, w, counts)
                 yield pd.DataFrame({"doc": ids, "id": names, "samples": [row.tobytes() for row in drawn], "sketch": [row.tobytes() for row in bounds]})
+        give_back()
 
     return docs.select("doc", "text").mapInPandas(sign, "doc long, id long, samples binary, sketch binary")
 
@@ -197,11 +200,13 @@ def weighted_sets(docs: DataFrame, weights) -> DataFrame:
     """``(id, hashes, weights)``: sorted shingles and their weights, packed."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             for _, names, hashes, tf, counts in _sets(batch):
                 w, ends = weights.value.of(hashes, tf), np.cumsum(counts)
                 yield pd.DataFrame({"id": names, "hashes": [hashes[e - c:e].tobytes() for e, c in zip(ends, counts)],
                                     "weights": [w[e - c:e].tobytes() for e, c in zip(ends, counts)]})
+        give_back()
 
     return docs.select("doc", "text").mapInPandas(pack, "id long, hashes binary, weights binary")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fairband.llm.common import python_workers
+from fairband.llm.common import held, python_workers
 
 CAPACITY = 2048
 LOAD = 256  # full sequences that a load has tokens for, about
@@ -80,15 +80,9 @@ class WordEncoder:
         return b"".join(found)
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
 def _encoder(tokenizer_json: str) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
-    key = hash(tokenizer_json)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    return held(("words", hash(tokenizer_json)), lambda: WordEncoder(tokenizer_json))
 
 
 def cost(length, quadratic: float = QUADRATIC):

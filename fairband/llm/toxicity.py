@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairband.llm.common import discard, python_workers, written
+from fairband.llm.common import discard, give_back, python_workers, written
 
 WORD = regex.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 10  # prefix lengths
@@ -30,7 +30,7 @@ PRIOR = 3.0  # documents that the shorter prefix counts as
 DRIFT = 0.7  # what every token costs, so that harmless text scores below zero
 LEAST_DOCUMENTS = 3
 BINS = np.arange(-12.0, 12.05, 0.1)
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 DEFAULT = -DRIFT
 
 
@@ -281,6 +281,7 @@ def _scorer(docs: DataFrame, model: Model, text: Column, significance: float) ->
 
     @F.pandas_udf("score double, passages array<struct<first:int,after:int,score:double>>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         model = shared.value
         scorer = Scorer(model)
         for texts in batches:
