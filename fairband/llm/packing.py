@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,8 @@ QUADRATIC = 1 / 4096  # a document of 4,096 tokens costs as much for attention a
 END = 1  # id that closes a document
 CACHED = 1 << 20  # words whose ids a worker remembers
 
-PLAIN = "̀"  # texts of characters below this one are split here, others by the library
+FOREIGN = re.compile("[^\x00-\u02ff]").search  # texts with such characters are split by the library
+AHEAD = 1 << 20  # characters that are split before their new words are learned
 
 
 def _characters(category: str) -> str:
@@ -65,19 +66,34 @@ class WordEncoder:
         else:
             self.known.update(zip(words, (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)]))))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of every text; new words are learned for about a megabyte of text at a time."""
+        ahead, size = [], 0
+        for text in texts:
+            whole = FOREIGN(text) or any(s in text for s in self.special)
+            words = None if whole else self.words(text.lower())
+            ahead.append((text if whole else None, words))
+            size += len(text)
+            if size >= AHEAD:
+                yield from self._known(ahead)
+                ahead, size = [], 0
+        yield from self._known(ahead)
+
+    def _known(self, split: list[tuple]) -> Iterator[bytes]:
+        if len(self.known) > CACHED:
+            self.known.clear()
+        found = [words and list(map(self.known.get, words)) for _, words in split]
+        new = {w for (_, words), ids in zip(split, found) if ids and None in ids for w, x in zip(words, ids) if x is None}
+        if new:
+            self._learn(list(new))
+        for (text, words), ids in zip(split, found):
+            if words is None:
+                yield self._whole(text)
+            else:
+                yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if max(text, default="") >= PLAIN or any(s in text for s in self.special):
-            return self._whole(text)
-        words = self.words(text.lower())
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > CACHED:
-                self.known.clear()
-                found = [None] * len(words)
-            self._learn(list({w for w, ids in zip(words, found) if ids is None}))
-            found = map(self.known.__getitem__, words)
-        return b"".join(found)
+        return next(self.encode_all([text]))
 
 
 def _encoder(tokenizer_json: str) -> WordEncoder:
@@ -168,8 +184,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, load: i
         encoder = _encoder(vocabulary.value)
         sequence, held, tokens = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["id"].astype(object).where(batch["id"].notna(), None), batch["text"]):
-                held.append((doc_id, encoder.encode(text) + closing))
+            for doc_id, ids in zip(batch["id"].astype(object).where(batch["id"].notna(), None), encoder.encode_all(batch["text"])):
+                held.append((doc_id, ids + closing))
                 tokens += len(held[-1][1]) // 4
                 if tokens >= load * capacity:
                     out, sequence = place(held, sequence)
