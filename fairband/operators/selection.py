@@ -364,9 +364,9 @@ class Models:
         bases that saw neither fold k nor the row's own fold.
         """
         names = [f"m{i}" for i in range(len(BASES))]
-        wide = (long.filter(F.col("model").isin(*BASES)).groupBy("key", "split", "fold", "label", "out_a", "out_b")
-                .agg(*[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(n) for m, n in zip(BASES, names)])
-                .withColumnRenamed("label", LABEL).persist())
+        wide = materialize(long.filter(F.col("model").isin(*BASES)).groupBy("key", "split", "fold", "label", "out_a", "out_b")
+                           .agg(*[F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(n) for m, n in zip(BASES, names)])
+                           .withColumnRenamed("label", LABEL), "stack-inputs")
         oof = wide.filter("out_a = out_b and out_a >= 0 and m2 is not null")
         whole = gram(oof, names, ["fold"])
         self.meta = {NO_FOLD: solve(sum(whole.values()), "ridge", 1.0)}

@@ -14,6 +14,30 @@ from fairband.sources.domain import DomainTables
 from fairband.spec import PanelSpec, default_spec
 
 
+_SHARED: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, spec: PanelSpec, name: str, build) -> DataFrame:
+    """A persisted table that all queries on one folder share; opening another folder releases those of the one before."""
+    key = (spark.sparkContext.applicationId, sf_dir, spec)
+    if key not in _SHARED:
+        release()
+        _SHARED[key] = {}
+    if name not in _SHARED[key]:
+        _SHARED[key][name] = build().persist()
+    return _SHARED[key][name]
+
+
+def release() -> None:
+    """Unpersist all shared tables (of a session that is still there)."""
+    for (app, *_), tables in _SHARED.items():
+        current = SparkSession.getActiveSession()
+        if current is not None and current.sparkContext.applicationId == app:
+            for table in tables.values():
+                table.unpersist()
+    _SHARED.clear()
+
+
 class Ctx:
     """Lazily built panel views for one (session, data folder)."""
 
@@ -34,8 +58,8 @@ class Ctx:
         """One row per entity.  A batch job that derives several outputs from it sets
         ``persist_panel`` so the lineitem aggregation runs once (cached blocks are
         recomputed from lineage if an executor is lost)."""
-        p = P.base_projection(P.build_panel(self.tables, self.spec))
-        return p.persist() if self.persist_panel else p
+        build = lambda: P.base_projection(P.build_panel(self.tables, self.spec))
+        return shared(self.spark, self.sf_dir, self.spec, "panel", build) if self.persist_panel else build()
 
     @cached_property
     def trained(self) -> DataFrame:

@@ -16,7 +16,7 @@ from fairband.operators import models as M
 from fairband.operators import selection as S
 from fairband.operators.panel import first_best
 from fairband.operators.refresh import refresh_scores
-from fairband.plans.context import Ctx
+from fairband.plans.context import Ctx, shared
 from fairband.plans.oracle_sql import snap as SQL_SNAP, with_panel
 from fairband.plans.registry import register
 from fairband.session import scratch_path
@@ -35,7 +35,8 @@ class Train:
     @cached_property
     def rows(self):
         """Features and label of every trained row."""
-        return M.with_label(FE.feature_table(self.ctx.trained, self.spec), self.spec).persist()
+        return shared(self.ctx.spark, self.ctx.sf_dir, self.spec, "train-rows",
+                      lambda: M.with_label(FE.feature_table(self.ctx.trained, self.spec), self.spec))
 
     @cached_property
     def table(self):
