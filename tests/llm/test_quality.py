@@ -1,4 +1,8 @@
+import math
+
 import numpy as np
+from hypothesis import assume, given, settings
+from hypothesis import strategies as st
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -43,3 +47,52 @@ def test_edge_rows_and_no_labels(spark):
     assert len(got) == len(edge_rows()) and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1 == len({r.score for r in got if r.doc_id == 11})
     assert Q.score(empty_documents(spark), forest).count() == 0
+
+
+def plain_statistics(text):
+    """The same numbers, character by character and word by word."""
+    raw, words = text.encode(), text.split()
+    n, w = max(len(raw), 1), max(len(words), 1)
+    share = lambda chars: sum(b in chars for b in raw) / n
+    groups = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:?'\"-()", b"!#$%&*+/<=>@[\\]^_`{}~", bytes(range(128, 256)), b"|"]
+    lines = [x for x in text.split("\n") if x.strip()]
+    head, tail = words[:len(words) // 2], words[len(words) // 2:]
+    ends = sum(1 for i in range(len(text) - 1) if all(c in "!#$%&*+/<=>@^_`{}~|" for c in text[i:i + 2]) and (i + 2 == len(text) or text[i + 2].isspace()))
+    return [math.log1p(len(raw)), math.log1p(len(words)), len(raw) / w, *[share(g) for g in groups[:6]], share(groups[6]), share(groups[7]),
+            len(set(words)) / w, max((words.count(x) for x in words), default=0) / w, len(set(lines)) / max(len(lines), 1),
+            sum(a == b for a, b in zip(words, words[1:])) / w, ends / w, len({x for x in tail if x not in head}) / max(len(tail), 1),
+            min(max((len(x) for x in words), default=0), 200)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB1 \n\t.,$#|%é\\~", max_size=60) | st.text(max_size=40))
+def test_statistics_against_plain_counts(text):
+    assume("\x1c" not in text and not any(0xD800 <= ord(c) < 0xE000 for c in text))
+    assert np.allclose(Q.statistics(text), plain_statistics(text))
+
+
+def test_trees_in_step_against_walks():
+    rng = np.random.default_rng(6)
+    feature, threshold, left, right, value, roots = [], [], [], [], [], []
+
+    def grow(depth):
+        at = len(feature)
+        for column in (feature, threshold, left, right, value):
+            column.append(0)
+        feature[at], threshold[at], value[at] = -1, 0.0, float(rng.normal())
+        if depth and rng.random() < 0.8:
+            feature[at], threshold[at] = int(rng.integers(0, 4)), float(rng.integers(-1, 2))
+            left[at], right[at] = grow(depth - 1), grow(depth - 1)
+        return at
+
+    for _ in range(7):
+        roots.append(grow(4))
+    forest = Q.Forest(*map(np.array, (roots, feature, threshold, left, right, value)), 4)
+    rows = rng.integers(-2, 3, (50, 4)).astype(float)  # values on the thresholds too
+    for row, margin in zip(rows, forest.margin(rows)):
+        total = 0.0
+        for node in roots:
+            while feature[node] >= 0:
+                node = left[node] if row[feature[node]] <= threshold[node] else right[node]
+            total += value[node]
+        assert abs(total - margin) < 1e-12

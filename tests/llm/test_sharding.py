@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -54,3 +55,27 @@ def test_reruns_agree_and_written_shards_hold_every_row(spark, sf_dir, tmp_path)
     sharding.write_shards(docs, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r[0], r[3], r[4]) for r in first)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_shards_are_ranges_of_the_sorted_keys(spark, seed):
+    """Brute force: sort all keys, add up their sizes, and look where the boundaries had to be."""
+    rng = random.Random(seed)
+    data = [(i, "x" * rng.choice([0, 3, 40, 900]) + str(rng.randrange(400)), "en", "a", 1) for i in range(1500)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    order = sorted((r.text_hash, r.id_hash, r.id, r.size) for r in sharding.sharding_keys(docs, "doc_id", "text").collect())
+    placed = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(docs, 6).collect()}
+    shards = [placed[i][0] for *_, i, _ in order]
+    assert shards == sorted(shards) and set(shards) == set(range(6))
+    first = {s: shards.index(s) for s in set(shards)}
+    assert all(sorted(slot for shard, slot in placed.values() if shard == s) == list(range(shards.count(s))) for s in first)
+    total = sum(size for *_, size in order)
+    for cut in range(1, 6):
+        below = sum(size for *_, size in order[:first[cut]])
+        goal, groups, at = total * cut // 6, [], 0
+        for n, (text, *_, size) in enumerate(order):  # sums before every group of equal texts, and after the last
+            if n == 0 or text != order[n - 1][0]:
+                groups.append(at)
+            at += size
+        best = min(abs(g - goal) for g in [*groups, at])
+        assert abs(below - goal) <= max(best, 0.01 * total / 6, 1), (cut, below, goal, best)
