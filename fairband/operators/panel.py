@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from fairband.functions.scalar import (abs_error_pct, in_range, league_alias,
+from fairband.functions.scalar import (abs_error_pct, in_range, league_alias, nan_to_null,
                                        position_with_fallback, range_check_ok,
                                        signed_error_pct, status)
 from fairband.spec import PanelSpec
@@ -98,8 +98,10 @@ BASE_COLUMNS = (
 
 
 def base_projection(df: DataFrame, columns=BASE_COLUMNS) -> DataFrame:
-    """``base_projection``: the modelling/serving column set (only those present)."""
-    return df.select(*[c for c in columns if c in df.columns])
+    """``base_projection``: the modelling/serving column set (only those present); a NaN
+    counts as missing from here on, as it does for the means and medians that fill it."""
+    kinds = dict(df.dtypes)
+    return df.select(*[nan_to_null(c).alias(c) if kinds[c] == "double" else F.col(c) for c in columns if c in kinds])
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:

@@ -74,3 +74,12 @@ def test_percentile_rank_and_spearman_ties(spark):
         return np.array([r[a == v].mean() for v in a])
     x, y = [1, 2, 2, 4, 5], [2, 2, 3, 5, 4]
     assert abs(rho - np.corrcoef(avg_rank(x), avg_rank(y))[0, 1]) < 1e-12
+
+
+def test_nan_counts_as_missing_from_the_projection_on(spark):
+    from fairband.operators.features import fit_medians
+    from fairband.operators.panel import base_projection
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, float("nan"), "b"), (3, 3.0, "c"), (4, None, "d")], "player_pk long, rating double, short_name string")
+    rows = {r.player_pk: r.rating for r in base_projection(df).collect()}
+    assert rows == {1: 1.0, 2: None, 3: 3.0, 4: None}
+    assert fit_medians(base_projection(df), ["rating"]) == {"rating": 2.0}
