@@ -239,7 +239,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
 
 
 def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Add ``bytes_col``: the bytes that the packed ids of ``ids_col`` stand for (null ids: no bytes)."""
+    """Add ``bytes_col``: the bytes that the packed ids of ``ids_col`` stand for (null ids: no bytes).
+
+    A column named ``bytes_col`` is replaced; other columns pass through untouched, rows are
+    decoded whole and each for itself, empty tables stay empty.
+    """
     spark = docs.sparkSession
     python_workers(spark)
     rank_file = spark.sparkContext.broadcast(read_ranks(rank_path))
@@ -255,7 +259,11 @@ def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str
 
 def token_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """Encode, decode, and reduce both to digests: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+    """Encode, decode, and reduce both to digests: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    One row per input row, with null or repeated ids too; null texts are empty and have no ids; texts are
+    encoded whole, however long; other columns are not read; an empty table gives an empty result.
+    """
     both = decode(encode(docs.select(id_col, text_col), rank_path, pattern, text_col), rank_path)
     return both.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

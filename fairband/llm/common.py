@@ -9,6 +9,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -85,6 +86,20 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns of the given names called otherwise, and what gives a result its names back."""
+    before, taken = docs.columns, {c.lower() for c in docs.columns}
+    if not taken & {n.lower() for n in names}:
+        return docs, lambda result: result
+    own, after = {n.lower() for n in names}, []
+    for c in before:
+        new = c
+        while new.lower() in own or (new != c and new.lower() in taken):
+            new += "_"
+        after.append(new)
+    return docs.toDF(*after), lambda result: result.toDF(*before)
+
+
 def upper_63(value: Column) -> Column:
     """A 64-bit hash as a non-negative long that keeps the hash's unsigned order."""
     return F.shiftrightunsigned(value, 1)

@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairband.llm.common import (MOST_FILTER_BITS, filter_bitmaps, filter_bits, filter_block, filter_blocks, filter_hit,
+from fairband.llm.common import (MOST_FILTER_BITS, aside, filter_bitmaps, filter_bits, filter_block, filter_blocks, filter_hit,
                                  with_group_facts, written)
 
 
@@ -66,8 +66,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
     Survivors are found by id.  Ids that several rows carry (only there an id
-    does not name one row) are told apart by their text once more.
+    does not name one row) are told apart by their text once more.  Null texts count
+    as empty ones; a null id is an id, smaller than others; of rows that repeat id and text one stays;
+    texts of any length are compared by digest; an empty table stays empty; extra columns may have any name.
     """
+    docs, back = aside(docs, "__kept_id", "__kept_text", "__rows", "__own_text")
     kept = written(exact_duplicates(docs, id_col, text_col, **options).filter("kept")
                    .select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__kept_text")), "dedup-kept")
     shared = docs.groupBy(F.col(id_col).alias("__kept_id")).agg(F.count("*").alias("__rows")).filter("__rows > 1").drop("__rows")
@@ -75,7 +78,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     plain = docs.join(shared, same, "left_anti").join(kept.hint("shuffle_hash"), same, "left_semi")
     told_apart = (docs.join(shared, same, "left_semi").withColumn("__own_text", F.sha2(lower_ascii(F.col(text_col)), 256))
                   .join(kept, same & (F.col("__own_text") == F.col("__kept_text")), "left_semi"))
-    return plain.unionByName(told_apart.dropDuplicates([id_col, "__own_text"]).drop("__own_text"))
+    return back(plain.unionByName(told_apart.dropDuplicates([id_col, "__own_text"]).drop("__own_text")))
 
 
 QUERY_SQL = """

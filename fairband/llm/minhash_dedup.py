@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairband.llm.common import discard, give_back, maybe_among, python_workers, written
+from fairband.llm.common import aside, discard, give_back, maybe_among, python_workers, written
 from fairband.llm.shingles import mixed, shingle_sets, text_blocks
 
 WORDS, SIMILARITY = 5, 0.8
@@ -437,6 +437,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
+    """The rows of ``docs`` whose document stays, with all their columns (which may have any name).
+
+    Rows that repeat a kept id all stay; null ids, null, empty and very long texts, and
+    empty tables are treated as in ``near_duplicates``.
+    """
+    docs, back = aside(docs, "__kept_id")
     kept = written(near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__kept_id")).distinct(), "near-kept")
-    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    return back(docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi"))

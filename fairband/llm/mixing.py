@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairband.llm.common import running, written
+from fairband.llm.common import aside, running, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -87,12 +87,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix with all their columns: a document taken twice is there twice.
 
-    Rows that repeat an id are as often in the mix as the one of them taken most often.
+    Rows that repeat an id are as often in the mix as the one of them taken most often;
+    a null id is an id; texts without words are not taken; an empty table stays empty; extra columns may have any name.
     """
+    docs, back = aside(docs, "__mix_id", "__copies")
     copies = written(mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
                      .groupBy(F.col(id_col).alias("__mix_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__copies")), "mix-copies")
-    return (docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
-            .withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns))
+    return back(docs.join(copies.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__mix_id")))
+                .withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns))
 
 
 QUERY_SQL = r"""

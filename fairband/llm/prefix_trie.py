@@ -175,7 +175,8 @@ def joined_digests(ends: DataFrame) -> DataFrame:
                     at, state = node, hashlib.sha256(part.encode())
                 else:
                     state.update(b"," + part.encode())
-            yield pd.DataFrame(done, columns=["node", "ends_sha256"])
+            if done:
+                yield pd.DataFrame(done, columns=["node", "ends_sha256"])
         if at is not None:
             yield pd.DataFrame([(at, state.hexdigest())], columns=["node", "ends_sha256"])
 

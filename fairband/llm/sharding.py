@@ -32,12 +32,21 @@ class Splitter:
         return (t < self.text) | ((t == self.text) & (i < self.id))
 
 
-def sharding_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sharding_keys(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """Slim rows ``(id, size, text_crc32, text_hash, id_hash)``; a null text has no bytes, and every row counts 1 more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"), upper_63(F.xxhash64(text)).alias("text_hash"),
-                       upper_63(F.xxhash64(F.col(id_col), F.lit("shard"))).alias("id_hash"))
+                       upper_63(F.xxhash64(F.col(id_col), F.lit("shard"))).alias("id_hash"), *others)
+
+
+def _numbered(keys: DataFrame, splitters: list[Splitter]) -> DataFrame:
+    """Rows with their ``shard`` and ``slot``."""
+    shard = reduce(lambda a, s: a + F.when(s.before(), 0).otherwise(1), splitters, F.lit(0))
+    placed = (keys.withColumn("shard", shard.cast("int")).withColumn("one", F.lit(1).cast("long"))
+              .withColumn("cell_text", F.shiftright("text_hash", 63 - CELLS_TEXT))
+              .withColumn("cell_id", F.shiftright("id_hash", 63 - CELLS_ID)))
+    return running(placed, "one", ["shard"], ["cell_text", "cell_id"], ["text_hash", "id_hash", "id", "size"], "slot").withColumn("slot", F.col("slot") - 1)
 
 
 @dataclass
@@ -127,20 +136,18 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     table gives an empty result.  The order is by hash, so reruns agree.
     """
     keys = written(sharding_keys(docs, id_col, text_col), "shard-keys")
-    splitters = find_splitters(keys, shards, tolerance)
-    shard = reduce(lambda a, s: a + F.when(s.before(), 0).otherwise(1), splitters, F.lit(0))
-    placed = (keys.withColumn("shard", shard.cast("int")).withColumn("one", F.lit(1).cast("long"))
-              .withColumn("cell_text", F.shiftright("text_hash", 63 - CELLS_TEXT))
-              .withColumn("cell_id", F.shiftright("id_hash", 63 - CELLS_ID)))
-    numbered = running(placed, "one", ["shard"], ["cell_text", "cell_id"], ["text_hash", "id_hash", "id", "size"], "slot")
-    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("slot") - 1).alias("slot"))
+    numbered = _numbered(keys, find_splitters(keys, shards, tolerance))
+    return numbered.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as Parquet, one folder per shard, rows in slot order; each row is exchanged once.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> None:
+    """Write whole rows as Parquet, one folder per shard, rows in slot order.
 
-    A document id names one row here.  Columns ``shard`` and ``slot`` of the input are replaced.
+    A row's shard follows from its own text and id, so rows with null or repeated ids and
+    rows that repeat others are written each once.  Columns ``shard`` and ``slot`` of the input are replaced, others
+    may have any name; null and very long texts are written as they are; an empty table writes no shard.
     """
-    placed = assign_shards(docs, shards, id_col, text_col).select(F.col(id_col).alias("_id"), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    whole = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
+    splitters = find_splitters(written(sharding_keys(docs, id_col, text_col), "shard-keys"), shards, tolerance)
+    rows = _numbered(sharding_keys(whole, f"row.{id_col}", f"row.{text_col}", "row"), splitters).select("row.*", "shard", "slot")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairband.llm.common import python_workers, written
+from fairband.llm.common import aside, python_workers, written
 
 WINDOW = 16  # bytes that the hash depends on
 REACH = 16  # a cut's hash is the largest of so many bytes on either side
@@ -154,7 +154,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with every chunk of a repeated passage left in its first document only; other columns unchanged."""
+    """``docs`` with every chunk of a repeated passage left in its first document only; other columns unchanged, whatever their names.
+
+    Null and empty texts stay as they are; a null id is an id; rows that repeat an id are one document
+    and lose the same bytes; very long texts are cut like others; an empty table stays empty.
+    """
+    docs, back = aside(docs, "__cut_id", "__cut")
     python_workers(docs.sparkSession)
     later = (_runs(docs, id_col, text_col, least_words).filter(F.size("parts") > 0)
              .select(_id("doc").alias("__cut_id"), F.explode("parts").alias("part")).groupBy("__cut_id")
@@ -173,4 +178,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(out, dtype=object)
 
     names = [without(F.col(text_col), F.col("__cut")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.join(later, F.col(id_col).eqNullSafe(F.col("__cut_id")), "left").select(*names)
+    return back(docs.join(later, F.col(id_col).eqNullSafe(F.col("__cut_id")), "left").select(*names))

@@ -170,7 +170,8 @@ def scored_features(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [row for batch in batches for row in zip(batch["feature"], batch["toxic"].tolist(), batch["clean"].tolist())]
         odds = log_odds(counts, toxic, clean)
-        yield pd.DataFrame({"feature": list(odds.keys()), "odds": list(odds.values())})
+        if odds:
+            yield pd.DataFrame({"feature": list(odds.keys()), "odds": list(odds.values())})
 
     return counted.repartition(F.substring("feature", 1, SHORTEST)).mapInPandas(walk, "feature string, odds double")
 
@@ -231,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 10_
     """Learn from at most ``per_class`` labelled documents of either label (rows where ``usable`` holds).
 
     Four fifths of them give the log-odds; lambda, K and the final logistic come
-    from the other fifth, which the log-odds have not seen.
+    from the other fifth, which the log-odds have not seen.  Labels other than 0 and 1, and
+    null ids, are left out; of rows that repeat an id the larger label counts; null texts are empty;
+    ties in the choice of rows go to the smaller id.  Without labels, or with one kind only, what cannot be learned
+    keeps its default.
     """
     python_workers(docs.sparkSession)
     sample = written(labelled(docs, labels, usable, per_class, id_col, text_col, label_col)
@@ -311,7 +315,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that score below ``limit``, with all their columns (of any name); nothing is shuffled.
+
+    Null and empty texts have no tokens and get the score of no evidence; whole texts are scored,
+    however long; rows with null or repeated ids are scored each for itself; an empty table stays empty.
+    """
     return docs.filter(_scorer(docs, model, F.col(text_col), 0.05)["score"] < limit)
 
 

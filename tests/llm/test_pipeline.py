@@ -9,7 +9,7 @@ import test_mixing
 import corpus_pipeline
 from fairband.llm import toxicity
 from fairband.llm.common import load
-from llm_rows import edge_rows
+from llm_rows import edge_rows, rows, with_clashes
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +65,22 @@ def test_run(spark, tables):
 
 
 def test_awkward_and_empty_tables_pass_every_stage(spark, tables):
-    for rows in (edge_rows(), []):
-        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for data in (edge_rows(), []):
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, tables).count() >= min(len(rows), 1)
+            assert stage(spark, docs, tables).count() >= min(len(data), 1)
+
+
+HELPERS = ("__kept_id", "__kept_text", "__rows", "__own_text", "__mix_id", "__copies", "__cut_id", "__cut")
+
+
+def test_extra_columns_may_have_the_helpers_names(spark, tables):
+    docs = spark.createDataFrame(edge_rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = with_clashes(docs, *HELPERS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, tables)
+        assert out.columns == clashing.columns, name
+        assert rows(out.select(docs.columns)) == rows(stage(spark, docs, tables)), name
+        assert all(v == "clash" for r in out.select(*HELPERS).collect() for v in r)
+    encoded = dict(corpus_pipeline.STAGES)["byte_bpe"](spark, clashing, tables)
+    assert rows(encoded) == rows(dict(corpus_pipeline.STAGES)["byte_bpe"](spark, docs, tables))

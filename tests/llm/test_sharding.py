@@ -79,3 +79,16 @@ def test_shards_are_ranges_of_the_sorted_keys(spark, seed):
             at += size
         best = min(abs(g - goal) for g in [*groups, at])
         assert abs(below - goal) <= max(best, 0.01 * total / 6, 1), (cut, below, goal, best)
+
+
+def test_written_shards_hold_repeated_and_null_ids_once_each(spark, tmp_path):
+    data = edge_rows() + [(11, "other text", "en", "b", 1), (None, None, None, None, None)]
+    docs = with_clashes(spark.createDataFrame(data, SCHEMA), "row", "size", "text_hash", "_inside", "_offset", "shard")
+    sharding.write_shards(docs, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "size"]
+    assert sorted(map(tuple, back.select(names).collect()), key=repr) == sorted(map(tuple, docs.select(names).collect()), key=repr)
+    slots = defaultdict(list)
+    for r in back.select("shard", "slot").collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

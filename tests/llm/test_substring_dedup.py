@@ -103,3 +103,19 @@ def test_what_is_dropped_stays_once(spark):
 
 def test_empty_table(spark):
     assert S.repeated_passages(empty_documents(spark)).count() == 0
+
+
+def test_dropped_repeats_with_null_and_repeated_ids(spark):
+    passage = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
+    data = [(1, "first " + passage, "en", "a", 1), (None, passage + " no id", "en", "a", 1), (7, "seventh " + passage + " end", "en", "a", 1),
+            (7, "seventh " + passage + " end", "en", "a", 1), (8, None, None, None, None), (9, "", "en", "a", 0)]
+    docs = with_clashes(spark.createDataFrame(data, SCHEMA), "__cut", "__cut_id")
+    out = S.drop_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(data)
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r.text)
+    assert got[None] == [data[1][1]]  # a null id is the smallest, so it keeps the passage
+    assert len(got[1][0]) < len(data[0][1]) and got[7][0] == got[7][1] and len(got[7][0]) < len(data[2][1])
+    assert got[8] == [None] and got[9] == [""]
+    assert S.drop_repeats(docs.limit(0)).count() == 0
