@@ -11,6 +11,7 @@ made where the texts are read: neither texts nor ids are shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,11 @@ class WordEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.library = Tokenizer.from_str(tokenizer_json)
+        settings = json.loads(tokenizer_json)
+        # the same vocabulary for words that are lower-cased and split already, one a line
+        settings |= {"normalizer": None, "added_tokens": []}
+        settings["pre_tokenizer"]["pretokenizers"][0] = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+        self.lines = Tokenizer.from_str(json.dumps(settings))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         letters, digits, spaces = _characters("L"), _characters("N"), r"\t-\r \x85\xa0"
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
@@ -58,7 +64,7 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        encoded = self.library.encode("\n".join(words), add_special_tokens=False)
+        encoded = self.lines.encode("\n".join(words), add_special_tokens=False)
         ids, of = np.array(encoded.ids, "<u4").tobytes(), np.array(encoded.word_ids)
         cuts = (4 * np.flatnonzero(np.diff(of, prepend=-1))).tolist()
         if len(cuts) != len(words):
@@ -90,7 +96,8 @@ class WordEncoder:
             if words is None:
                 yield self._whole(text)
             else:
-                yield b"".join(map(self.known.__getitem__, words) if None in ids else ids)
+                known = self.known  # looked up again only where a word was new: most of the time goes into such looks
+                yield b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
