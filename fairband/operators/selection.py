@@ -72,7 +72,7 @@ class Sample:
         h = hashlib.sha256()
         for part in (self.keys, self.folds, self.labels, self.values):
             h.update(np.ascontiguousarray(part).tobytes())
-        h.update(json.dumps(more, sort_keys=True).encode())
+        h.update(json.dumps([T.VERSION, *more], sort_keys=True).encode())
         return h.hexdigest()[:32]
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+VERSION = 1  # of what is grown: kept results of other versions are not read
 BINS = 64
 CELLS = 1 << 22  # histogram cells held at once
 
