@@ -31,6 +31,24 @@ def paginate(df: DataFrame, spec: PanelSpec, sort_by: str = "actual_salary", ord
     return df.orderBy(c, F.col(spec.key).asc()).offset((page - 1) * per_page).limit(per_page)
 
 
+def paginate_after(df: DataFrame, spec: PanelSpec, last_value: float | None, last_key: int, sort_by: str = "actual_salary",
+                   order: str = "desc", per_page: int = 50) -> DataFrame:
+    """The page that follows a row, given its sort value (None: it has none) and key.
+
+    However deep it lies, every partition keeps ``per_page`` rows only; ``paginate``
+    keeps page x per_page of them, so use it to enter and this to go on.
+    """
+    if not (1 <= per_page <= 1000):
+        raise ValueError("per_page must be in 1..1000")
+    c, key = F.col(SORT_FIELDS.get(sort_by, SORT_FIELDS["actual_salary"])), F.col(spec.key)
+    if last_value is None:
+        later = c.isNull() & (key > last_key)
+    else:
+        beyond = c > last_value if order == "asc" else c < last_value
+        later = beyond | ((c == last_value) & (key > last_key)) | c.isNull()
+    return df.filter(later).orderBy(c.asc_nulls_last() if order == "asc" else c.desc_nulls_last(), key.asc()).limit(per_page)
+
+
 def page_count(df: DataFrame, per_page: int) -> DataFrame:
     """Total rows and ``ceil(total / per_page)`` as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn(

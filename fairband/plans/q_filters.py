@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fairband.functions.scalar import snap
 from fairband.operators import filters as FL
 from fairband.operators import panel as P
-from fairband.operators.ranking import compare_side_by_side, page_count, paginate
+from fairband.operators.ranking import compare_side_by_side, page_count, paginate, paginate_after
 from fairband.plans.context import Ctx
 from fairband.plans.oracle_sql import snap as S, with_panel
 from fairband.plans.registry import register
@@ -158,6 +158,15 @@ def q_paginate_asc(spark, sf_dir):
     return _out(paginate(c.combined_status, c.spec, "prediction_error", "asc", page=3, per_page=30))
 
 
+@register("paginate_after", with_panel(f"""
+SELECT {OUT_SQL} FROM cstat ORDER BY gross_annual_eur DESC NULLS LAST, player_pk LIMIT 50 OFFSET 100"""))
+def q_paginate_after(spark, sf_dir):
+    """The third page, from the last row of the second."""
+    c = Ctx(spark, sf_dir)
+    last = paginate(c.combined_status, c.spec, page=2, per_page=50).select("gross_annual_eur", c.spec.key).collect()[-1]
+    return _out(paginate_after(c.combined_status, c.spec, last[0], last[1], per_page=50))
+
+
 @register("page_count", with_panel("""
 SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages
 FROM cstat WHERE contains(lower(league_name), 'a')"""))

@@ -83,3 +83,18 @@ def test_nan_counts_as_missing_from_the_projection_on(spark):
     rows = {r.player_pk: r.rating for r in base_projection(df).collect()}
     assert rows == {1: 1.0, 2: None, 3: 3.0, 4: None}
     assert fit_medians(base_projection(df), ["rating"]) == {"rating": 2.0}
+
+
+def test_pages_that_follow_a_row_are_the_pages(spark):
+    from fairband.operators.ranking import paginate, paginate_after
+    from fairband.spec import default_spec
+    spec = default_spec()
+    rows = [(k, None if k % 7 == 0 else float(k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "player_pk long, gross_annual_eur double")
+    for order in ("asc", "desc"):
+        last = None
+        for page in range(1, 9):
+            want = [tuple(r) for r in paginate(df, spec, order=order, page=page, per_page=9).collect()]
+            if last is not None:
+                assert [tuple(r) for r in paginate_after(df, spec, last[1], last[0], order=order, per_page=9).collect()] == want
+            last = want[-1] if want else last
