@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from fairband.plans import (q_core, q_filters, q_aggregates,  # noqa: F401
-                                q_features, q_models, q_neighbors, q_io, q_streaming, q_invariants)
+                                q_features, q_models, q_neighbors, q_io, q_streaming, q_invariants, q_rows)
