@@ -89,6 +89,38 @@ def test_trees_do_not_depend_on_how_they_are_batched(monkeypatch):
     assert np.allclose(whole[12, 12], T.forest(codes, 64, y, np.ones(300), 12, 12, 1, 3, batch=5)[12, 12], rtol=0, atol=1e-12)
 
 
+def test_features_are_counted_in_few_passes(monkeypatch):
+    """Small features share a pass, large ones pair up, equal columns are counted once; the splits stay those of plain sums."""
+    x, y = data(2000)
+    x = np.column_stack([x, np.exp(x[:, 0]), x[:, 1] > 0.3, x[:, 2] > 1, 3 * x[:, 4]])
+    b = T.binned(x, T.quantile_edges(x, 32))
+    passes = T.Features(b.codes, 32).passes(np.arange(9), True)
+    keys, w, t = np.arange(2000) % 3, np.ones(2000), y
+    both = passes.histogram(3, keys, np.arange(2000), None, t)
+    for i, sums in enumerate(passes.left(both)):
+        for c, (f, code) in enumerate(zip(passes.feature, passes.code)):
+            on = b.codes[:, f] <= code
+            assert np.allclose(sums[:, c], [(t if i else w)[on & (keys == k)].sum() for k in range(3)])
+    assert len(passes.code) == sum(len(e) for e in b.edges)
+    seen, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda cells, *a, **k: seen.append(len(cells)) or plain(cells, *a, **k))
+    one = np.ones(1)
+    got, _, _ = T.grow(b.codes, 32, y[None], np.ones((1, 2000)), 3, 5 * one, 0 * one, 0 * one)
+    assert sum(seen) < 45_000  # 82,402 with two passes for each of the nine features
+    assert len(np.unique(got)) == 8
+
+
+def test_of_equal_features_a_tree_may_use_the_one_it_is_left():
+    x, y = data(400)
+    x = np.column_stack([x[:, 0], x[:, 0] ** 3, x[:, 1]])
+    codes = T.binned(x, T.quantile_edges(x, 32)).codes
+    allowed, one = np.array([[True, False, True], [False, True, True]]), np.ones(2)
+    got, trees, _ = T.grow(codes, 32, np.stack([y, y]), np.ones((2, 400)), 3, one, 0 * one, 0 * one, allowed, keep=True)
+    assert np.array_equal(got[0], got[1])
+    used = [{int(f) for level in trees.levels for f in level.feature[level.tree == k] if f >= 0} for k in (0, 1)]
+    assert used == [{0, 2}, {1, 2}]
+
+
 def test_linear_fits_from_cross_products():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5))
@@ -186,6 +218,22 @@ def test_learning_curve_is_nested(spark, train):
         assert sizes == sorted(sizes) and sizes[-1] == (train.sample.folds != f).sum() and sizes[0] >= 1
 
 
+def test_learning_curve_searches_the_grid_it_uses(spark, train, monkeypatch):
+    from fairband.plans import q_models
+    searched, plain = [], S.grid_search
+    monkeypatch.setattr(S, "GRIDS", GRIDS)
+
+    def search(spark, sample, grids=None, **k):
+        searched.append(list(GRIDS if grids is None else grids))
+        return plain(spark, sample, grids, **k)
+
+    monkeypatch.setattr(S, "grid_search", search)
+    assert q_models.q_learning_curve(spark, train.ctx.sf_dir).count() == 50
+    assert searched == [["Tuned RF"]]
+    alone = S.winners(plain(spark, train.sample, {"Tuned RF": GRIDS["Tuned RF"]}))
+    assert alone["Tuned RF"] == S.winners(plain(spark, train.sample, GRIDS))["Tuned RF"]
+
+
 def test_forest_ranges_and_attribution(spark, train):
     forest = FO.fit(spark, train.sample, train.feats, trees=25, depth=6)
     alone = T.forest(T.binned(train.sample.values, forest.edges).codes, T.BINS, train.sample.labels, np.ones(len(train.sample.labels)), 25, 6, 1, 42)
