@@ -98,3 +98,13 @@ def test_pages_that_follow_a_row_are_the_pages(spark):
             if last is not None:
                 assert [tuple(r) for r in paginate_after(df, spec, last[1], last[0], order=order, per_page=9).collect()] == want
             last = want[-1] if want else last
+
+
+def test_tree_fits_hold_little_in_a_task_and_do_not_depend_on_it(spark):
+    from fairband.operators import models as M
+    for learner in (M.forest(), M.boosting()):
+        assert 4 * learner.getMaxMemoryInMB() <= 1024  # four tasks at once in an executor
+    rows = M.assemble(spark.range(600).selectExpr("id", "id % 17 + 0.0 as a", "id % 23 + 0.0 as b", "sin(id) + id % 17 as label"), ["a", "b"])
+    rows = M.stable_order(rows, "id")
+    wide = M.forest(10, 6, maxMemoryInMB=2048, cacheNodeIds=True).fit(rows)
+    assert M.forest(10, 6).fit(rows).toDebugString.split("\n", 1)[1] == wide.toDebugString.split("\n", 1)[1]
