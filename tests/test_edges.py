@@ -108,3 +108,20 @@ def test_tree_fits_hold_little_in_a_task_and_do_not_depend_on_it(spark):
     rows = M.stable_order(rows, "id")
     wide = M.forest(10, 6, maxMemoryInMB=2048, cacheNodeIds=True).fit(rows)
     assert M.forest(10, 6).fit(rows).toDebugString.split("\n", 1)[1] == wide.toDebugString.split("\n", 1)[1]
+
+
+def test_boosting_reads_large_tables_in_many_partitions(spark, sf_dir, monkeypatch):
+    from fairband.operators import models as M
+    from fairband.plans import q_models
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return M.boosting(1, 2).fit(rows)
+
+    monkeypatch.setattr(M, "boosting", (lambda real: lambda *a: real(*a) if a else Learner())(M.boosting))
+    monkeypatch.setattr(M, "BOOSTED_ROWS_PER_PARTITION", 10)
+    q_models.q_fit_gbt_all_rows(spark, sf_dir)
+    n = q_models.Train(spark, sf_dir).train.count()
+    assert seen == [-(-n // 10)]
