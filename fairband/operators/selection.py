@@ -429,25 +429,17 @@ def r2(where: Column | None = None) -> Column:
 
 # ------------------------------------------------------------------ learning curve
 
-def _curve(task: tuple, shared: tuple) -> pd.DataFrame:
-    (share, fold), (sample, params, order, seed) = task, shared
-    weight = _kept(sample.folds, (fold,))
-    kept = np.flatnonzero(weight)
-    kept = kept[np.argsort(order[kept], kind="stable")][:max(1, len(kept) * share // 100)]  # nested: a larger share holds the smaller one
-    use = np.zeros(len(weight))
-    use[kept] = 1.0
-    edges = T.quantile_edges(sample.values[kept], T.BINS)
-    codes = T.binned(sample.values, edges).codes
-    p = T.forest(codes, T.BINS, sample.labels, use, params["trees"], params["depth"], params["least"], seed)[params["depth"], params["trees"]]
-    score = lambda rows: None if np.ptp(sample.labels[rows]) == 0 else float(
-        1 - ((sample.labels[rows] - p[rows]) ** 2).mean() / sample.labels[rows].var())
-    return pd.DataFrame([(share, fold, len(kept), score(use > 0), score(weight == 0))],
-                        columns=["train_share", "fold", "train_rows", "train_r2", "validation_r2"])
+def learning_curve(spark: SparkSession, rows: Rows, params: dict, shares=range(10, 101, 10), seed: int = 42) -> DataFrame:
+    """Forest R² on the rows it learned from and on the held-out fold, for growing nested shares of the other folds."""
+    heads = [(s, f) for s in reversed(list(shares)) for f in rows.fold_numbers]
+    words = G.forest_task(seed, T.BINS, params["least"], (params["trees"],), (params["depth"],), "both")
 
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, out in zip(batch["id"], batch["out"]):
+                sums = np.frombuffer(out, "<f8").reshape(2, 3)  # of learnt and held rows
+                yield pd.DataFrame([(*heads[i], int(sums[0, 0]), *[None if s[2] == 0 else 1 - s[1] / s[2] for s in sums])],
+                                   columns=["train_share", "fold", "train_rows", "train_r2", "validation_r2"])
 
-def learning_curve(spark: SparkSession, sample: Sample, params: dict, shares=range(10, 101, 10), seed: int = 42) -> DataFrame:
-    """Forest R² on the rows it learned from and on the held-out fold, for growing nested shares of the other folds."""
-    order = np.array([int.from_bytes(hashlib.md5(str(k).encode(), usedforsecurity=False).digest()[:8], "big") for k in sample.keys], np.uint64)
-    tasks = [(s, f) for s in reversed(list(shares)) for f in sorted({int(f) for f in sample.folds})]
-    return over_tasks(spark, tasks, (sample, params, order, seed), _curve,
-                      "train_share int, fold int, train_rows int, train_r2 double, validation_r2 double")
+    fits = rows.fitted([((f, f, s), words) for s, f in heads], T.BINS)
+    return fits.select("id", "out").mapInPandas(scored, "train_share int, fold int, train_rows int, train_r2 double, validation_r2 double")

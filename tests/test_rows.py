@@ -6,7 +6,7 @@ from fairband.operators import grower as G
 from fairband.operators import models as M
 from fairband.operators import selection as S
 from fairband.operators import trees as T
-from fairband.operators.rows import HELD, IDLE, LEARNT, NO_FOLD, WHOLE, Rows, states
+from fairband.operators.rows import HELD, IDLE, LEARNT, NO_FOLD, WHOLE, Rows, place, states
 from fairband.plans.q_models import Train
 
 MANY = 20_100  # more than trees were once searched and fitted on
@@ -119,3 +119,16 @@ def test_rows_are_named_by_what_they_hold(spark):
     a, b = Rows(rows, "id", ["a", "b"]), Rows(rows.orderBy("b").repartition(7), "id", ["a", "b"])
     assert a.digest(1) == b.digest(1) != a.digest(2)
     assert a.digest(1) != Rows(rows.withColumn("a", F.when(F.col("id") == 7, -1.0).otherwise(F.col("a"))), "id", ["a", "b"]).digest(1)
+
+
+def test_the_learning_curve_grows_to_every_row(spark, big):
+    curve = S.learning_curve(spark, big.sample, big.tuned_forest).collect()
+    assert len(curve) == 50 and sum(r["train_rows"] for r in curve if r["train_share"] == 100) == 4 * MANY
+    assert all(r["train_rows"] == 4 * MANY // 5 * r["train_share"] // 100 for r in curve)
+    s, params = big.sample, {"trees": 1, "depth": 3, "least": 2}
+    (row,) = (r for r in S.learning_curve(spark, s, params, shares=(30,)).collect() if r["fold"] == 2)
+    state = states(s.folds, np.array([place(k) for k in s.keys.tolist()], np.uint64), (2, 2, 30))
+    codes = T.binned(s.values, T.quantile_edges(s.values[state == LEARNT], T.BINS)).codes
+    p = grown(spark, codes, s.labels, state, G.forest_task(42, T.BINS, 2, (1,), (3,), "all"))
+    for name, on in (("train_r2", state == LEARNT), ("validation_r2", state == HELD)):
+        assert abs(row[name] - (1 - ((s.labels - p)[on] ** 2).mean() / s.labels[on].var())) < 1e-9
