@@ -132,3 +132,27 @@ def test_the_learning_curve_grows_to_every_row(spark, big):
     p = grown(spark, codes, s.labels, state, G.forest_task(42, T.BINS, 2, (1,), (3,), "all"))
     for name, on in (("train_r2", state == LEARNT), ("validation_r2", state == HELD)):
         assert abs(row[name] - (1 - ((s.labels - p)[on] ** 2).mean() / s.labels[on].var())) < 1e-9
+
+
+def test_models_learn_from_and_predict_every_row(spark, big, monkeypatch):
+    monkeypatch.setattr(S, "UNTUNED", {"Random Forest": {"trees": 2, "depth": 4, "least": 1}, "Gradient Boosting": {"trees": 3, "depth": 2, "rate": 0.1},
+                                       "XGBoost": {"trees": 3, "depth": 2, "rate": 0.1, "l2": 1.0}})
+    both = many_rows(spark, MANY + 700).withColumn("split", F.when(F.col("id") < MANY, "train").otherwise("test")).drop("fold")
+    big.rows = both
+    big.scaled = both.withColumn("b", F.col("b") / 10)
+    models = big.models()
+    oof = models.out_of_fold().groupBy("model").agg(F.count("prediction").alias("n"), F.count_distinct("key").alias("keys")).collect()
+    assert {(r["model"], r["n"], r["keys"]) for r in oof} == {(m, MANY, MANY) for m in S.ORDER}
+    table = {r["model"]: r for r in models.metrics().collect()}
+    assert all(r["n_train"] == MANY and r["n_test"] == 700 for r in table.values())
+    pd = both.orderBy("id").toPandas()
+    x, y = pd[["a", "b", "c"]].to_numpy(float), pd[M.LABEL].to_numpy(float)
+    w = (np.arange(len(y)) < MANY).astype(float)
+    codes = T.binned(x, T.quantile_edges(x[w > 0], T.BINS)).codes
+    p = T.boosted(codes, T.BINS, y, w, [T.Boost(depth=2, rate=0.1)], 3, 42)[3][0]
+    fit = models.predictions.filter("model = 'Gradient Boosting' and out_a = -1").orderBy("key").toPandas()
+    assert np.allclose(fit["prediction"], p, rtol=0, atol=1e-9) and (fit["split"] == np.where(w > 0, "train", "test")).all()
+    pairs = models.predictions.filter("out_a <> out_b").groupBy("model", "out_a", "out_b").agg(F.count("*").alias("n"), F.count_if((F.col("fold") == F.col("out_a")) | (F.col("fold") == F.col("out_b"))).alias("left"))
+    assert all(r["n"] == r["left"] == 2 * MANY // 5 for r in pairs.collect()) and pairs.count() == 10 * len(S.BASES)
+    ranges = models.predictions.filter("model = 'Tuned RF' and out_a = -1").agg(F.count("*").alias("n"), F.count_if(F.col("low") <= F.col("high")).alias("ordered")).first()
+    assert ranges["n"] == ranges["ordered"] == MANY + 700
