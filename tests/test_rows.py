@@ -156,3 +156,28 @@ def test_models_learn_from_and_predict_every_row(spark, big, monkeypatch):
     assert all(r["n"] == r["left"] == 2 * MANY // 5 for r in pairs.collect()) and pairs.count() == 10 * len(S.BASES)
     ranges = models.predictions.filter("model = 'Tuned RF' and out_a = -1").agg(F.count("*").alias("n"), F.count_if(F.col("low") <= F.col("high")).alias("ordered")).first()
     assert ranges["n"] == ranges["ordered"] == MANY + 700
+
+
+def test_the_forest_of_all_rows_is_spark_mls_with_trees_of_the_learner(spark, monkeypatch):
+    n = 3000
+    rows = M.stable_order(M.assemble(many_rows(spark, n), ["a", "b", "c"]), "id")
+    model = M.forest(7, 6, seed=5).fit(rows)
+    x, y = (np.array([r[c] for r in rows.select("a", "b", "c", M.LABEL).collect()]) for c in (slice(0, 3), 3))
+    edges = T.quantile_edges(x, 32)  # of all rows, as many as Spark ML's bins
+    want = grown(spark, T.binned(x, edges).codes, y, np.zeros(n), G.forest_task(5, 32, 1, (7,), (6,), "all"))
+    got = model.transform(rows).select("prediction", "leaves").collect()
+    assert np.allclose([r["prediction"] for r in got], want, rtol=0, atol=1e-9)
+    assert model.getNumTrees == 7 and all(t.depth <= 6 for t in model.trees) and abs(sum(model.featureImportances) - 1) < 1e-9
+    nodes = M.node_table(model).select("treeID", "nodeData.*").collect()
+    assert {r["rawCount"] for r in nodes if r["id"] == 0} == {n} and all(r["gain"] > 0 for r in nodes if r["leftChild"] >= 0)
+    assert {r["split"]["leftCategoriesOrThreshold"][0] for r in nodes if r["leftChild"] >= 0 and r["split"]["featureIndex"] == 0} <= set(edges[0].tolist())
+    monkeypatch.setattr(M, "TREES_PER_TASK", 2)
+    assert M.forest(7, 6, seed=5).fit(rows).toDebugString.split("\n", 1)[1] == model.toDebugString.split("\n", 1)[1]
+    few = M.forest(2, 3, seed=5, featureSubsetStrategy="onethird").fit(rows)  # Spark ML's own
+    assert few.getNumTrees == 2
+
+
+def test_a_forest_of_one_leaf(spark):
+    rows = M.assemble(spark.range(20).selectExpr("id", "1.0 as a", "2.5 as label"), ["a"])
+    model = M.forest(3, 4).fit(rows)
+    assert {r["prediction"] for r in model.transform(rows).collect()} == {2.5} and model.totalNumNodes == 3
