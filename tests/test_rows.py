@@ -181,3 +181,10 @@ def test_a_forest_of_one_leaf(spark):
     rows = M.assemble(spark.range(20).selectExpr("id", "1.0 as a", "2.5 as label"), ["a"])
     model = M.forest(3, 4).fit(rows)
     assert {r["prediction"] for r in model.transform(rows).collect()} == {2.5} and model.totalNumNodes == 3
+
+
+def test_tables_without_rows(spark):
+    none = Rows(many_rows(spark, 10).filter("id < 0"), "id", ["a", "b"])
+    assert [r["best"] for r in S.grid_search(spark, none, GRIDS).collect()] == []
+    assert S.learning_curve(spark, none, {"trees": 2, "depth": 2, "least": 1}).count() == 0
+    assert none.digest() != Rows(many_rows(spark, 10), "id", ["a", "b"]).digest()
